@@ -17,8 +17,9 @@ def _teacher_marks(st):
 SELECT "Name", "Student ID", l.name AS listed_name, grp FROM tracker LEFT JOIN roster l USING (person)
 WHERE grp IS NOT NULL""")
 def j1(st):
-    out = joins.left_on(st.tracker, st.roster, ["person"]).filter("grp IS NOT NULL")
-    return out.select("Name", "Student ID", F.col("name").alias("listed_name"), "grp")
+    listed = st.roster.withColumnRenamed("name", "listed_name")
+    out = joins.left_on(st.tracker, listed, ["person"]).filter("grp IS NOT NULL")
+    return out.select("Name", "Student ID", "listed_name", "grp")
 
 
 @query("j1_missing_keys_match", """

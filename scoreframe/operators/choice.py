@@ -69,8 +69,8 @@ def choice_sets(nominations: DataFrame, roster: DataFrame, order: list[str],
 
 
 def slice_bounds(sets: DataFrame) -> DataFrame:
-    """First and last row of each set in the flattened list of all sets."""
-    flat = running_sum(sets, [], CHOICE, "set_size", "possibles_upper")
+    """First and last row of each set in the flattened list of all sets; empty sets have none."""
+    flat = running_sum(sets.filter("set_size > 0"), [], CHOICE, "set_size", "possibles_upper")
     return flat.withColumn("possibles_lower", F.col("possibles_upper") - F.col("set_size") + 1)
 
 

@@ -148,3 +148,17 @@ def response_profile(df: DataFrame, rater: str, value: str) -> DataFrame:
 def null_fractions(df: DataFrame) -> DataFrame:
     """Share of missing values of every column, in one pass."""
     return df.agg(*[F.avg(as_col(c).isNull().cast("double")).alias(c) for c in df.columns])
+
+
+def signal_to_noise(df: DataFrame, score: str, rater: str, ratee: str, trait: str) -> DataFrame:
+    """Spread between people over spread within people, per trait, weighted by rows.
+
+    Scores are scaled within raters; a person's mean score and the rows' distances
+    from it give the two spreads.
+    """
+    z = zscore(df.filter(as_col(score).isNotNull()), {score: "z"}, [rater])
+    z = attach(z, [trait, ratee], mean_z=F.when(F.count("z") == F.count(F.lit(1)), F.avg("z")))
+    return z.groupBy(trait).agg(
+        F.stddev_samp("mean_z").alias("sd_people"),
+        F.stddev_samp(F.col("z") - F.col("mean_z")).alias("sd_noise"),
+    ).withColumn("signal_to_noise", F.try_divide("sd_people", "sd_noise"))

@@ -200,3 +200,15 @@ def group_median(df: DataFrame, by: list[str], column: str, out: str) -> DataFra
     groups = df.groupBy(*by).agg((F.count(as_col(column)) == F.count(F.lit(1))).alias("__whole"))
     medians = group_quantiles(df, by, column, {out: 0.5})
     return left_on(groups, medians, by).withColumn(out, F.when(F.col("__whole"), F.col(out))).drop("__whole")
+
+
+def positional_score(df: DataFrame, by: list[str], order: list, size: int, out: str) -> DataFrame:
+    """``size`` for the first row of a group down to 1 for the last of ``size`` rows."""
+    return number_within(df, by, order, "__place").withColumn(
+        out, F.lit(size + 1) - F.col("__place")
+    ).drop("__place")
+
+
+def groups_not_of_size(df: DataFrame, by: list[str], size: int) -> DataFrame:
+    """Groups for which ``positional_score`` of that size is not well defined."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != size)

@@ -71,7 +71,7 @@ _DEMOGRAPHIC = {
     "guardian_2": """CASE (c_custkey + 3) % 8 WHEN 0 THEN 'Graduate Degree (PhD, MD, JD...)'
       WHEN 1 THEN 'Bachelor’s Degree (finished university)' WHEN 2 THEN 'Not been to school'
       WHEN 5 THEN 'They completed high school, or their primary education' WHEN 6 THEN 'Trade certificate' END""",
-    "quintile": """CASE (c_custkey + CAST(c_acctbal AS INT)) % 7 WHEN 0 THEN 'Fifth quintile (Bottom 20%)'
+    "quintile": """CASE (c_custkey + CAST(floor(c_acctbal) AS INT)) % 7 WHEN 0 THEN 'Fifth quintile (Bottom 20%)'
       WHEN 1 THEN 'Fourth quintile' WHEN 2 THEN 'Third quintile' WHEN 3 THEN 'Second quintile'
       WHEN 4 THEN 'Top quintile (Top 20%)' WHEN 5 THEN 'Unsure' END""",
     "phone": "CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Pre-paid' ELSE 'Post-paid' END",
