@@ -14,7 +14,7 @@ def _teacher_marks(st):
 
 
 @query("j1_left_join", """
-SELECT "Name", "Student ID", l.name AS listed_name, grp FROM tracker LEFT JOIN roster l USING (person)
+SELECT tracker."Name", "Student ID", l.name AS listed_name, grp FROM tracker LEFT JOIN roster l USING (person)
 WHERE grp IS NOT NULL""")
 def j1(st):
     listed = st.roster.withColumnRenamed("name", "listed_name")

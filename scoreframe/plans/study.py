@@ -55,7 +55,7 @@ _DEMOGRAPHIC = {
     "id": "c_custkey",
     "name": "'Person ' || CAST(c_custkey - CASE WHEN c_custkey % 20 = 19 THEN 1 ELSE 0 END AS STRING)",
     "student_id": "'S' || CAST(c_custkey AS STRING)",
-    "alternate_email": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Alt' || CAST(c_custkey AS STRING) || '@x.org' END",
+    "alternate_email": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'User' || CAST(c_custkey AS STRING) || '@Mail.org' END",
     "birth_days": "CAST((c_custkey * 37) % 9000 AS INT)",
     "gender": "CASE c_custkey % 4 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' WHEN 3 THEN 'Another' END",
     "english": "CASE WHEN c_custkey % 5 < 3 THEN 'Yes' ELSE 'No' END",
