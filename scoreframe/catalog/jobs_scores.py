@@ -13,6 +13,7 @@ from scoreframe.catalog.windows import z_sql
 from scoreframe.functions.text import TRAITS
 from scoreframe.operators import choice, grouped, joins, ordered, proximity, reshape
 from scoreframe.plans import forms, scores
+from scoreframe.session import cut_lineage
 
 NOMINATION_ORDER = ["l_shipdate", "l_orderkey", "nominee"]
 strict = ck.strict_avg_sql
@@ -105,7 +106,7 @@ facts AS (SELECT l.pos, l.uid2, l.trait, l.numeric_response, r.id AS reviewer_id
   WHERE l.numeric_response IS NOT NULL AND s.theta IS NOT NULL AND qa.score IS NOT NULL AND qb.score IS NOT NULL)"""
 
 
-def review_facts(st, close=None):
+def review_facts(st):
     lookup = address_lookup(st)
     reviewers = scores.reviewer_identities(likert(st), lookup)
     candidates = scores.candidate_identities(st.tracker, lookup)
@@ -113,7 +114,7 @@ def review_facts(st, close=None):
     reference = joins.left_on(st.person_scores, st.tracker, ["person"]).select(
         F.col("User ID").alias("uid2"), "trait", "grp", "theta")
     quiz = joins.left_on(quiz_scores(st), lookup, [("student_id", "email")]).select("id", "score")
-    return scores.rating_facts(likert(st), reviewers, candidates, people, reference, quiz, close)
+    return scores.rating_facts(likert(st), reviewers, candidates, people, reference, quiz)
 
 
 @query("c14_rating_facts", f"""
@@ -128,13 +129,13 @@ def c14(st):
 
 @query("c14_rating_facts_with_proximity")
 def c14_proximity(st):
-    plain = review_facts(st)
-    people = people_clean(st)
-    leaves = proximity.leaf_vectors(people, "demographics_id", ["gender", "school_type", "esl"], ["age"], trees=20)
-    pairs = plain.select("reviewer_id", "reviewee_id").distinct()
+    facts = cut_lineage(review_facts(st).select(
+        "pos", "uid2", "trait", "numeric_response", "reviewer_id", "reviewee_id"))
+    leaves = proximity.leaf_vectors(people_clean(st), "demographics_id", ["gender", "school_type", "esl"],
+                                    ["age"], trees=20)
+    pairs = facts.select("reviewer_id", "reviewee_id").distinct()
     close = proximity.pair_proximity(pairs, leaves, "reviewer_id", "reviewee_id", "demographics_id")
-    return review_facts(st, close).select(
-        "pos", "uid2", "trait", "numeric_response", "reviewer_id", "reviewee_id", "proximity")
+    return scores.with_proximity(facts, close)
 
 
 @query("c15_indexed_facts", """

@@ -84,7 +84,7 @@ def candidate_identities(tracker: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def rating_facts(likert: DataFrame, reviewers: DataFrame, candidates: DataFrame, people: DataFrame,
-                 reference: DataFrame, quiz: DataFrame, proximity: DataFrame | None = None) -> DataFrame:
+                 reference: DataFrame, quiz: DataFrame) -> DataFrame:
     """Review marks with the attributes and quiz scores of both parties.
 
     ``reviewers``: (email, id); ``candidates``: (user_id, reviewee_id); ``people`` has
@@ -95,14 +95,15 @@ def rating_facts(likert: DataFrame, reviewers: DataFrame, candidates: DataFrame,
     facts = joins.left_on(facts, candidates, [("uid2", "user_id")])
     facts = joins.join_in_role(facts, people, "demographics_id", "reviewee_id", "reviewee")
     facts = joins.join_in_role(facts, people, "demographics_id", "reviewer_id", "reviewer")
-    needed = ["theta", "reviewee_quiz", "reviewer_quiz"]
-    if proximity is not None:
-        facts = joins.left_on(facts, proximity, ["reviewer_id", "reviewee_id"])
-        needed.append("proximity")
     facts = joins.left_on(facts, reference, ["uid2", "trait"])
     for role in ("reviewee", "reviewer"):
         facts = joins.left_on(facts, quiz.withColumnRenamed("score", f"{role}_quiz"), [(f"{role}_id", "id")])
-    return facts.dropna(subset=needed)
+    return facts.dropna(subset=["theta", "reviewee_quiz", "reviewer_quiz"])
+
+
+def with_proximity(facts: DataFrame, proximity: DataFrame) -> DataFrame:
+    """Facts whose two parties have a known proximity."""
+    return joins.left_on(facts, proximity, ["reviewer_id", "reviewee_id"]).filter("proximity IS NOT NULL")
 
 
 def indexed_facts(facts: DataFrame, codes: dict[str, str]) -> DataFrame:

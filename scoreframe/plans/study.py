@@ -117,6 +117,13 @@ class Study:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A derived table that several steps of one query share."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
