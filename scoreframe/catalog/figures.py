@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from scoreframe.catalog import checks as ck
 from scoreframe.catalog import query
 from scoreframe.catalog.fits import (FACTORS, INTERACTION_SQL, STEPS, interaction_fit, mixed_fit, mixed_sql,
-                                     safe_corr, score_matrix)
+                                     score_matrix)
 from scoreframe.catalog.jobs import people_clean
 from scoreframe.catalog.jobs_scores import rounded
+from scoreframe.functions.missing import correlation
 from scoreframe.functions.text import TRAITS, cell_index
 from scoreframe.operators import covariance, grouped, joins, mixed, ordered
 from scoreframe.operators.lines import fit_lines
@@ -51,7 +52,7 @@ def v3(st):
 SELECT a.trait AS trait_i, b.trait AS trait_j, round(corr(a.theta, b.theta), 6) AS r
 FROM person_scores a JOIN person_scores b ON a.person = b.person AND a.trait <= b.trait GROUP BY ALL""")
 def v4(st):
-    return rounded(covariance.pair_statistics(score_matrix(st), TRAITS, [], safe_corr, "r"), "r")
+    return rounded(covariance.pair_statistics(score_matrix(st), TRAITS, [], correlation, "r"), "r")
 
 
 @query("v5_variance_curve")

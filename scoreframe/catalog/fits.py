@@ -10,7 +10,7 @@ from scoreframe.catalog.aggregates import CHOICE_SQL
 from scoreframe.catalog.jobs import people_clean, teacher_long
 from scoreframe.catalog.jobs_scores import rounded, sets
 from scoreframe.catalog.windows import z_sql
-from scoreframe.functions.missing import all_present, missing_as_number
+from scoreframe.functions.missing import correlation
 from scoreframe.functions.text import TRAITS
 from scoreframe.operators import covariance, grouped, joins, mixed, ordinal, proximity, regression, reshape
 from scoreframe.operators.choice import fit_strengths, log_likelihood
@@ -266,8 +266,8 @@ def ordinal_sql(facts: str, score_key: list[str], cut_key: list[str], levels: in
     for k in range(2, levels):
         starts.append(f"greatest(ln(s{k} / (1 - s{k})), c{k - 1} + 0.001) AS c{k}")
     ctes.append(f"g{tag} AS (SELECT {', '.join(starts)} FROM s{tag})")
-    ctes.append(f"t{tag}0 AS (SELECT DISTINCT {sk}, 0.0::DOUBLE AS theta FROM f{tag})")
-    ctes.append(f"c{tag}0 AS (SELECT k.*, [{', '.join(f'g{tag}.c{k}' for k in range(1, levels))}] AS cuts "
+    ctes.append(f"th{tag}_0 AS (SELECT DISTINCT {sk}, 0.0::DOUBLE AS theta FROM f{tag})")
+    ctes.append(f"cut{tag}_0 AS (SELECT k.*, [{', '.join(f'g{tag}.c{k}' for k in range(1, levels))}] AS cuts "
                 f"FROM (SELECT DISTINCT {ckey} FROM f{tag}) k CROSS JOIN g{tag})")
 
     def cell(theta, cuts):
@@ -276,9 +276,9 @@ def ordinal_sql(facts: str, score_key: list[str], cut_key: list[str], levels: in
           FROM f{tag} JOIN {theta} USING ({sk}) JOIN {cuts} USING ({ckey}))"""
 
     for i in range(1, steps + 1):
-        ctes.append(f"""t{tag}{i} AS (SELECT {sk}, theta + (grad - theta) / (info + 1) AS theta FROM t{tag}{i - 1} JOIN (
+        ctes.append(f"""th{tag}_{i} AS (SELECT {sk}, theta + (grad - theta) / (info + 1) AS theta FROM th{tag}_{i - 1} JOIN (
           SELECT {sk}, sum(n * (up + lo - 1)) AS grad, sum(n * (up * (1 - up) + lo * (1 - lo))) AS info
-          FROM {cell(f't{tag}{i - 1}', f'c{tag}{i - 1}')} GROUP BY ALL) USING ({sk}))""")
+          FROM {cell(f'th{tag}_{i - 1}', f'cut{tag}_{i - 1}')} GROUP BY ALL) USING ({sk}))""")
         sums = []
         for k in range(1, levels):
             sums.append(f"sum(CASE WHEN y = {k} THEN n * fu WHEN y = {k + 1} THEN -n * fl ELSE 0 END) AS g{k}")
@@ -286,13 +286,13 @@ def ordinal_sql(facts: str, score_key: list[str], cut_key: list[str], levels: in
                         f"THEN n * (fl * fl + fl * (1 - 2 * lo)) ELSE 0 END) AS h{k}")
         ctes.append(f"""m{tag}{i} AS (SELECT {ckey}, {', '.join(sums)} FROM (
           SELECT *, up * (1 - up) / (up - lo) AS fu, lo * (1 - lo) / (up - lo) AS fl
-          FROM {cell(f't{tag}{i}', f'c{tag}{i - 1}')}) GROUP BY {ckey})""")
+          FROM {cell(f'th{tag}_{i}', f'cut{tag}_{i - 1}')}) GROUP BY {ckey})""")
         news = []
         for k in range(1, levels):
             new = f"cuts[{k}] + 0.5 * (g{k} - cuts[{k}] / 4) / (h{k} + 0.25)"
             news.append(f"{new} AS c1" if k == 1 else f"greatest({new}, c{k - 1} + 0.001) AS c{k}")
-        ctes.append(f"""c{tag}{i} AS (SELECT {ckey}, [{', '.join(f'c{k}' for k in range(1, levels))}] AS cuts FROM (
-          SELECT {ckey}, {', '.join(news)} FROM c{tag}{i - 1} JOIN m{tag}{i} USING ({ckey})))""")
+        ctes.append(f"""cut{tag}_{i} AS (SELECT {ckey}, [{', '.join(f'c{k}' for k in range(1, levels))}] AS cuts FROM (
+          SELECT {ckey}, {', '.join(news)} FROM cut{tag}_{i - 1} JOIN m{tag}{i} USING ({ckey})))""")
     return ",\n".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes)
 
 
@@ -301,7 +301,7 @@ RATING_FACTS_SQL = "SELECT rater, ratee, trait, CAST(score AS INT) AS y FROM rat
 
 @query("m13_rater_adjusted_scores", "WITH " + ordinal_sql(
     RATING_FACTS_SQL, ["ratee", "trait"], ["rater"], 5, NEWTON_STEPS)
-    + f" SELECT ratee, trait, round(theta, 6) AS theta FROM t{NEWTON_STEPS}")
+    + f" SELECT ratee, trait, round(theta, 6) AS theta FROM th_{NEWTON_STEPS}")
 def m13(st):
     found, _ = ordinal.fit_scores(rating_facts(st), 5, ["ratee", "trait"], ["rater"], NEWTON_STEPS)
     return rounded(found, "theta")
@@ -309,16 +309,12 @@ def m13(st):
 
 @query("m13_cut_points", "WITH " + ordinal_sql(
     RATING_FACTS_SQL, ["ratee", "trait"], ["rater"], 5, NEWTON_STEPS)
-    + f" SELECT rater, {', '.join(f'round(cuts[{k}], 6) AS c{k}' for k in range(1, 5))} FROM c{NEWTON_STEPS}")
+    + f" SELECT rater, {', '.join(f'round(cuts[{k}], 6) AS c{k}' for k in range(1, 5))} FROM cut_{NEWTON_STEPS}")
 def m13_cuts(st):
     _, cuts = ordinal.fit_scores(rating_facts(st), 5, ["ratee", "trait"], ["rater"], NEWTON_STEPS)
     return cuts.select("rater", *[F.round(F.get("cuts", F.lit(k - 1)), 6).alias(f"c{k}") for k in range(1, 5)])
 
 
-def safe_corr(a, b):
-    return missing_as_number(F.corr(a, b))
-
-
 def score_matrix(st):
     return reshape.to_wide(st.person_scores, ["person", "grp"], "trait", "theta", TRAITS)
 
@@ -334,8 +330,8 @@ s AS (SELECT og.grp, og.trait_i, og.trait_j, a.tau * b.tau * (0.6 * omega + 0.4
 SELECT grp, trait_i, trait_j, CASE WHEN NOT isnan(sigma) THEN round(sigma, 6) END AS sigma FROM s""")
 def m14(st):
     wide = score_matrix(st)
-    specific = covariance.pair_statistics(wide, TRAITS, ["grp"], safe_corr, "omega_g")
-    common = covariance.pair_statistics(wide, TRAITS, [], safe_corr, "omega")
+    specific = covariance.pair_statistics(wide, TRAITS, ["grp"], correlation, "omega_g")
+    common = covariance.pair_statistics(wide, TRAITS, [], correlation, "omega")
     taus = st.person_scores.groupBy("grp", "trait").agg(F.stddev_samp("theta").alias("tau"))
     return rounded(covariance.compose(common, specific, taus, 0.6), "sigma")
 
@@ -359,11 +355,11 @@ TEACHER_FACTS_SQL = """SELECT name, trait, grp, CAST(teacher_raw AS INT) AS y FR
 
 @query("m17_joint_scores", f"""
 WITH {strength_sql()}, {ordinal_sql(TEACHER_FACTS_SQL, ['name', 'trait'], ['grp'], 5, NEWTON_STEPS, 'q')},
-both AS (SELECT w.person, w.grp, w.trait, ln(w.w) AS student_theta, q.theta AS teacher_theta FROM w{MM_STEPS} w
-  JOIN roster r ON r.person = w.person LEFT JOIN tq{NEWTON_STEPS} q ON q.name = r.name AND q.trait = w.trait),
-z AS (SELECT *, {z_sql('student_theta', 'trait, grp')} AS zs, {z_sql('teacher_theta', 'trait, grp')} AS zt FROM both)
+joined_scores AS (SELECT w.person, w.grp, w.trait, ln(w.w) AS student_theta, q.theta AS teacher_theta FROM w{MM_STEPS} w
+  JOIN roster r ON r.person = w.person LEFT JOIN thq_{NEWTON_STEPS} q ON q.name = r.name AND q.trait = w.trait),
+z AS (SELECT *, {z_sql('student_theta', 'trait, grp')} AS zs, {z_sql('teacher_theta', 'trait, grp')} AS zt FROM joined_scores)
 SELECT person, grp, trait, round(zs, 5) AS student_theta, round(zt, 5) AS teacher_theta,
-  round({z_sql('zs + zt', 'trait, grp')}, 5) AS ground_truth FROM z""")
+  round({z_sql('round(zs + zt, 9)', 'trait, grp')}, 5) AS ground_truth FROM z""")
 def m17(st):
     """Choice strengths and teacher scores, each scaled in its class, then combined."""
     strengths = fit_strengths(sets(st), st.roster, MM_STEPS).select(

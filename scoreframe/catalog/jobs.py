@@ -11,6 +11,7 @@ from scoreframe.functions.text import QUESTION_TRAITS
 from scoreframe.operators import joins
 from scoreframe.plans import forms
 from scoreframe.plans.study import INTERVIEW_TRAITS, SELF_QUESTIONS, STEPS, TEACHER_TRAITS
+from scoreframe.session import cut_lineage
 from scoreframe.sources.scan import inline_table
 
 AS_OF = "2020-09-17"
@@ -49,6 +50,11 @@ def people_clean(st):
     return forms.clean_demographics(st.demographic_form, interviewers, voters, participants, AS_OF)
 
 
+def people_table(st):
+    """Clean demographics written once: one row per person, read many times."""
+    return st.once("people", lambda: cut_lineage(people_clean(st)))
+
+
 def reviews_clean(st):
     first_questions = inline_table(st.spark, QUESTION_TRAITS, "trait string, question_text string")
     return st.once("reviews_clean", lambda: forms.clean_reviews(st.review_rows, first_questions, {}))
@@ -146,7 +152,7 @@ LOOKUP_SQL = """addresses AS (SELECT DISTINCT lower(email) AS email, demographic
 
 
 def address_lookup(st):
-    people = people_clean(st).select(F.col("demographics_id").alias("id"), *ADDRESSES)
+    people = people_table(st).select(F.col("demographics_id").alias("id"), *ADDRESSES)
     return joins.identity_lookup(people, "id", ADDRESSES)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scoreframe.catalog import checks as ck
 from scoreframe.catalog import query
 from scoreframe.catalog.aggregates import CHOICE_SQL
-from scoreframe.catalog.jobs import (address_lookup, interviews_long, likert, noms_count, people_clean,
+from scoreframe.catalog.jobs import (address_lookup, interviews_long, likert, noms_count, people_clean, people_table,
                                      quiz_scores, reviews_clean, self_long, teacher_long)
 from scoreframe.catalog.windows import z_sql
 from scoreframe.functions.text import TRAITS
@@ -110,10 +110,10 @@ def review_facts(st):
     lookup = address_lookup(st)
     reviewers = scores.reviewer_identities(likert(st), lookup)
     candidates = scores.candidate_identities(st.tracker, lookup)
-    people = people_clean(st).select("demographics_id", "school_type", "gender", "age")
+    people = people_table(st).select("demographics_id", "school_type", "gender", "age")
     reference = joins.left_on(st.person_scores, st.tracker, ["person"]).select(
         F.col("User ID").alias("uid2"), "trait", "grp", "theta")
-    quiz = joins.left_on(quiz_scores(st), lookup, [("student_id", "email")]).select("id", "score")
+    quiz = cut_lineage(joins.left_on(quiz_scores(st), lookup, [("student_id", "email")]).select("id", "score"))
     return scores.rating_facts(likert(st), reviewers, candidates, people, reference, quiz)
 
 
@@ -131,7 +131,7 @@ def c14(st):
 def c14_proximity(st):
     facts = cut_lineage(review_facts(st).select(
         "pos", "uid2", "trait", "numeric_response", "reviewer_id", "reviewee_id"))
-    leaves = proximity.leaf_vectors(people_clean(st), "demographics_id", ["gender", "school_type", "esl"],
+    leaves = proximity.leaf_vectors(people_table(st), "demographics_id", ["gender", "school_type", "esl"],
                                     ["age"], trees=20)
     pairs = facts.select("reviewer_id", "reviewee_id").distinct()
     close = proximity.pair_proximity(pairs, leaves, "reviewer_id", "reviewee_id", "demographics_id")

@@ -70,6 +70,28 @@ def missing_as_number(x) -> Column:
     return F.when(~F.isnan(as_col(x)), as_col(x))
 
 
+def _paired(x, y) -> tuple[Column, Column]:
+    """Both values where both are present."""
+    return F.when(as_col(y).isNotNull(), as_col(x)), F.when(as_col(x).isNotNull(), as_col(y))
+
+
+def correlation(x, y) -> Column:
+    """Pearson correlation; NULL when either side does not vary."""
+    px, py = _paired(x, y)
+    return F.try_divide(F.covar_pop(px, py), F.sqrt(F.var_pop(px) * F.var_pop(py)))
+
+
+def slope(y, x) -> Column:
+    """Least-squares slope; NULL when ``x`` does not vary."""
+    px, py = _paired(x, y)
+    return F.try_divide(F.covar_pop(px, py), F.var_pop(px))
+
+
+def intercept(y, x) -> Column:
+    px, py = _paired(x, y)
+    return F.avg(py) - slope(y, x) * F.avg(px)
+
+
 def add_all(columns) -> Column:
     """Row sum; NULL if any term is NULL."""
     total = as_col(columns[0])

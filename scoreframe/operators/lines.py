@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.missing import as_col
+from scoreframe.functions.missing import as_col, correlation, intercept, slope
 
 
 def within_limits(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -15,12 +15,11 @@ def within_limits(df: DataFrame, column: str, low: float, high: float) -> DataFr
 
 def fit_lines(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
     """Slope, intercept, r and number of points per facet."""
-    px, py = as_col(x), as_col(y)
     return df.groupBy(*by).agg(
-        F.regr_slope(py, px).alias("slope"),
-        F.regr_intercept(py, px).alias("intercept"),
-        F.corr(px, py).alias("r"),
-        F.regr_count(py, px).alias("n_points"),
+        slope(y, x).alias("slope"),
+        intercept(y, x).alias("intercept"),
+        correlation(x, y).alias("r"),
+        F.regr_count(as_col(y), as_col(x)).alias("n_points"),
     )
 
 
@@ -33,8 +32,7 @@ def fit_weighted_lines(df: DataFrame, x: str, y: str, weight: str, by: list[str]
         F.sum(w * px * px).alias("sxx"), F.sum(w * px * py).alias("sxy"),
         F.count(F.lit(1)).alias("n_points"),
     )
-    slope = F.try_divide(F.expr("sw * sxy - sx * sy"), F.expr("sw * sxx - sx * sx"))
-    with_slope = sums.withColumn("slope", slope)
-    return with_slope.withColumn(
+    tilt = F.try_divide(F.expr("sw * sxy - sx * sy"), F.expr("sw * sxx - sx * sx"))
+    return sums.withColumn("slope", tilt).withColumn(
         "intercept", F.try_divide(F.expr("sy - slope * sx"), F.col("sw"))
     ).select(*by, "slope", "intercept", "n_points")

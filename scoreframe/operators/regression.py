@@ -9,7 +9,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.missing import as_col
+from scoreframe.functions.missing import as_col, intercept, slope
 from scoreframe.operators.grouped import attach
 from scoreframe.operators.joins import left_on
 
@@ -182,8 +182,7 @@ def penalised_fits(df: DataFrame, y: str, xs: list[str], by: list[str], key: str
     keys = "".join(f"`{c}` {types[c]}, " for c in by)
     schema = keys + ("lambda_min double, lambda_1se double, cv_error double, "
                      "coef_min array<double>, coef_1se array<double>")
-    grouped = sums.groupBy(*by) if by else sums.groupBy(F.lit(0))
-    return grouped.applyInPandas(solve, schema)
+    return sums.withColumn("__all", F.lit(0)).groupBy("__all", *by).applyInPandas(solve, schema)
 
 
 def predict(df: DataFrame, fits: DataFrame, xs: list[str], by: list[str], which: str = "coef_min",
@@ -206,5 +205,5 @@ def coefficient_table(fits: DataFrame, xs: list[str], by: list[str], which: str
 
 def within_group_residual(df: DataFrame, y: str, x: str, by: list[str], out: str) -> DataFrame:
     """Residual of a per-group straight line, without an ML design."""
-    fitted = attach(df, by, __b=F.regr_slope(as_col(y), as_col(x)), __a=F.regr_intercept(as_col(y), as_col(x)))
+    fitted = attach(df, by, __b=slope(y, x), __a=intercept(y, x))
     return fitted.withColumn(out, as_col(y) - F.col("__a") - F.col("__b") * as_col(x)).drop("__a", "__b")

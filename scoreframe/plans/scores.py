@@ -286,6 +286,10 @@ def keyed_scores(cells: DataFrame, students: DataFrame, traits: DataFrame, acade
 
 
 def combined_score(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Ground truth from two sources: z of the sum of peer and teacher scores."""
-    out = scores.withColumn("sum_score", F.col("student_theta") + F.col("teacher_theta"))
+    """Ground truth from two sources: z of the sum of peer and teacher scores.
+
+    Sums that differ only by rounding error count as equal.
+    """
+    total = F.round(F.col("student_theta") + F.col("teacher_theta"), 9)
+    out = scores.withColumn("sum_score", total)
     return grouped.zscore(out, {"sum_score": "ground_truth"}, by).drop("sum_score")
