@@ -18,18 +18,27 @@ AS_OF = "2020-09-17"
 ITEMS = ["Item 4", "Item 5", "Item 6", "Item 7"]
 
 
-def teacher_long(st):
+# Cleaned tables that other jobs read several times are written once per query, as a
+# day's snapshot would be.
+
+
+def teacher_form_to_long(st):
     traits = cols_between(st.teacher_form, TEACHER_TRAITS[0], "Interview-ability")
     return forms.teacher_marks_to_long(st.teacher_form, traits)
 
 
+def teacher_long(st):
+    return st.once("teacher_long", lambda: cut_lineage(teacher_form_to_long(st)))
+
+
 def noms_long(st):
     return forms.nominations_to_long(st.nomination_form, st.tracker, {ck.WRONG_NAME: ck.RIGHT_NAME})
 
 
 def noms_count(st):
-    return noms_long(st).groupBy("name", "trait", "group_peer").agg(
-        F.count(F.lit(1)).alias("n_nominations"), F.min("student_id").alias("student_id"))
+    return st.once("noms_count", lambda: cut_lineage(
+        noms_long(st).groupBy("name", "trait", "group_peer").agg(
+            F.count(F.lit(1)).alias("n_nominations"), F.min("student_id").alias("student_id"))))
 
 
 def self_long(st):
@@ -61,7 +70,7 @@ def reviews_clean(st):
 
 
 def likert(st):
-    return forms.likert_reviews(reviews_clean(st))
+    return st.once("likert", lambda: cut_lineage(forms.likert_reviews(reviews_clean(st))))
 
 
 def quiz_scores(st, attempt="last"):
@@ -100,7 +109,7 @@ SELECT name, student_id, grp, trait, teacher_raw, round(teacher_score, 6) AS tea
   round(creativity, 6) AS creativity FROM teacher_long""")
 def c3(st):
     rounded = ["teacher_score", "standardized_test", "interviewability", "creativity"]
-    return teacher_long(st).withColumns({c: F.round(c, 6) for c in rounded})
+    return teacher_form_to_long(st).withColumns({c: F.round(c, 6) for c in rounded})
 
 
 @query("c4_interviews_long", """
@@ -141,7 +150,7 @@ def c8(st):
 @query("c9_likert_centred", """
 SELECT pos, name, uid2, trait, question_number, numeric_response, round(scaled_numeric, 6) AS scaled_numeric FROM likert""")
 def c9(st):
-    return likert(st).select("pos", "name", "uid2", "trait", "question_number", "numeric_response",
+    return forms.likert_reviews(reviews_clean(st)).select("pos", "name", "uid2", "trait", "question_number", "numeric_response",
                              F.round("scaled_numeric", 6).alias("scaled_numeric"))
 
 

@@ -214,7 +214,7 @@ def c19_strict(st):
     return rounded(out.select("person", "trait", "grp", "theta", "interview_z"), "interview_z")
 
 
-CELL_SQL = """cells AS (SELECT CAST(regexp_extract(variable, '\\[([0-9]+),([0-9]+)\\]', 1) AS INT) AS student_index,
+CELL_SQL = """cells AS (SELECT CAST(regexp_extract(variable, '\\[([0-9]+),([0-9]+)\\]', 1) AS BIGINT) AS student_index,
   CAST(regexp_extract(variable, '\\[([0-9]+),([0-9]+)\\]', 2) AS INT) AS trait_index, avg(value) AS teacher_theta,
   avg(value * (draw % 3)) AS student_theta FROM draws GROUP BY variable),
 students AS (SELECT grp, person, name, row_number() OVER (ORDER BY name, grp, person) AS student_index FROM roster),

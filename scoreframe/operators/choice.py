@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.operators.grouped import attach, first_rows, value_where
+from scoreframe.operators.grouped import attach, first_rows
 from scoreframe.operators.joins import left_on
 from scoreframe.operators.ordered import number_rows, running_sum
 from scoreframe.session import cut_lineage
@@ -34,10 +34,10 @@ def choice_sets(nominations: DataFrame, roster: DataFrame, order: list[str],
     that are members of the group, so the set is the roster of ``grp`` without them.
     """
     picks = first_rows(nominations, CHOICE, order).select(*CHOICE, "grp", "nominee")
-    by = ["nominator", "trait"]
-    picks = value_where(picks, "nominee", F.col("rank") == 1, by, "first_pick")
-    picks = value_where(picks, "nominee", F.col("rank") == 2, by, "second_pick")
     rank = F.col("rank")
+    picks = attach(picks, ["nominator", "trait"],
+                   first_pick=F.max(F.when(rank == 1, F.col("nominee"))),
+                   second_pick=F.max(F.when(rank == 2, F.col("nominee"))))
     if apply_exclusions:
         picks = picks.withColumns({
             "out_1": F.when(rank.isin(2, 3), F.col("first_pick")),
@@ -106,6 +106,7 @@ def fit_strengths(sets: DataFrame, roster: DataFrame, iterations: int = 20,
     Equal (group, trait, people taken out) are collapsed to counts once, so a step
     costs that many rows and not one per choice, however popular a group is.
     """
+    sets = cut_lineage(sets)
     valid = sets.filter("winner_in_set")
     wins = valid.groupBy("grp", "trait", F.col("nominee").alias("person")).agg(
         F.count(F.lit(1)).cast("double").alias("wins")

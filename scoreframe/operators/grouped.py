@@ -153,12 +153,20 @@ def null_fractions(df: DataFrame) -> DataFrame:
 def signal_to_noise(df: DataFrame, score: str, rater: str, ratee: str, trait: str) -> DataFrame:
     """Spread between people over spread within people, per trait, weighted by rows.
 
-    Scores are scaled within raters; a person's mean score and the rows' distances
-    from it give the two spreads.
+    Scores are scaled within raters. One aggregation per (trait, person) yields both
+    spreads: between the means, and within them. A person with an undefined scaled
+    score is left out.
     """
     z = zscore(df.filter(as_col(score).isNotNull()), {score: "z"}, [rater])
-    z = attach(z, [trait, ratee], mean_z=F.when(F.count("z") == F.count(F.lit(1)), F.avg("z")))
-    return z.groupBy(trait).agg(
-        F.stddev_samp("mean_z").alias("sd_people"),
-        F.stddev_samp(F.col("z") - F.col("mean_z")).alias("sd_noise"),
+    people = z.groupBy(trait, ratee).agg(
+        F.count(F.lit(1)).alias("n"), F.count("z").alias("n_z"), F.avg("z").alias("m"), F.var_pop("z").alias("v"))
+    n, m = F.col("n"), F.col("m")
+    whole = people.filter("n = n_z").groupBy(trait).agg(
+        F.sum("n").alias("n_rows"), F.sum(n * m).alias("s1"), F.sum(n * m * m).alias("s2"),
+        F.sum(n * F.col("v")).alias("within"))
+    freedom = F.col("n_rows") - 1
+    between = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n_rows"), F.lit(0.0))
+    return whole.select(
+        trait, F.sqrt(F.try_divide(between, freedom)).alias("sd_people"),
+        F.sqrt(F.try_divide(F.col("within"), freedom)).alias("sd_noise"),
     ).withColumn("signal_to_noise", F.try_divide("sd_people", "sd_noise"))

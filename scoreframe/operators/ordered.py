@@ -162,44 +162,44 @@ def order_by_group_mean(df: DataFrame, by: list[str], column: str, out: str) ->
     return number_rows(means, ["mean_value", *by], out)
 
 
-def group_quantiles(df: DataFrame, by: list[str], column: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, missing values left out.
-
-    Works on counts of distinct values, cumulated by the distributed running sum,
-    so that no task holds the values of a group.
+def group_quantiles(df: DataFrame, by: list[str], column: str, probs: dict[str, float],
+                    strict: bool = False) -> DataFrame:
+    """Exact interpolated quantiles per group.
+
+    Missing values are left out, and groups without a value dropped; with ``strict``
+    a group that has a missing value gets NULL. Works on counts of distinct values,
+    cumulated by the distributed running sum, so that no task holds the values of a
+    group.
     """
-    counts = (
-        df.filter(as_col(column).isNotNull())
-        .groupBy(*by, as_col(column).alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    rows = _running(sliced(counts, by, ["__value"]), by, F.col("__n"), "__upto")
-    rows = attach(rows, by, __total=F.sum("__n"))
-    first = F.col("__upto") - F.col("__n")
+    value, n = F.col("__value"), F.col("__n")
+    counts = df.groupBy(*by, as_col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = _running(sliced(counts, by, ["__value"]), by, n, "__upto")
+    present = F.sum(F.when(value.isNotNull(), n).otherwise(0))
+    rows = attach(rows, by, __total=present, __gaps=F.max(value.isNull()))
+    first = F.col("__upto") - n
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("__upto")), F.col("__value")))
+        return F.max(F.when((first <= rank) & (rank < F.col("__upto")), value))
 
-    picks = {}
+    picks = {"__size": F.max("__total"), "__any_gap": F.max("__gaps")}
     for name, p in probs.items():
         place = (F.col("__total") - 1) * F.lit(float(p))
         picks[f"__lo_{name}"] = at(F.floor(place))
         picks[f"__hi_{name}"] = at(F.ceil(place))
-    picks["__size"] = F.max("__total")
     wide = rows.groupBy(*by).agg(*[c.alias(k) for k, c in picks.items()])
     outs = []
     for name, p in probs.items():
         place = (F.col("__size") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        outs.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return wide.select(*[as_col(c) for c in by], *outs)
+        found = low + (high - low) * (place - F.floor(place))
+        outs.append((F.when(~F.col("__any_gap"), found) if strict else found).alias(name))
+    kept = wide if strict else wide.filter("__size > 0")
+    return kept.select(*[as_col(c) for c in by], *outs)
 
 
 def group_median(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
     """Strict exact median: NULL when the group has a missing value."""
-    groups = df.groupBy(*by).agg((F.count(as_col(column)) == F.count(F.lit(1))).alias("__whole"))
-    medians = group_quantiles(df, by, column, {out: 0.5})
-    return left_on(groups, medians, by).withColumn(out, F.when(F.col("__whole"), F.col(out))).drop("__whole")
+    return group_quantiles(df, by, column, {out: 0.5}, strict=True)
 
 
 def positional_score(df: DataFrame, by: list[str], order: list, size: int, out: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreframe.functions import text
 from scoreframe.functions.missing import (as_col, fill_and_flag, if_known, strict_avg, weighted_avg)
 from scoreframe.operators import grouped, joins, ordered, reshape
+from scoreframe.session import cut_lineage
 
 
 def teacher_with_nominations(teacher: DataFrame, counts: DataFrame) -> DataFrame:
@@ -87,12 +88,16 @@ def rating_facts(likert: DataFrame, reviewers: DataFrame, candidates: DataFrame,
                  reference: DataFrame, quiz: DataFrame) -> DataFrame:
     """Review marks with the attributes and quiz scores of both parties.
 
+    A party whose identity is unknown has no proximity to the other, so such rows
+    leave early instead of meeting every other unknown identity.
+
     ``reviewers``: (email, id); ``candidates``: (user_id, reviewee_id); ``people`` has
     ``demographics_id``; ``reference``: (uid2, trait, grp, theta); ``quiz``: (id, score).
     """
     facts = likert.filter("numeric_response IS NOT NULL")
     facts = joins.left_on(facts, reviewers.select("email", F.col("id").alias("reviewer_id")).distinct(), ["email"])
     facts = joins.left_on(facts, candidates, [("uid2", "user_id")])
+    facts = facts.dropna(subset=["reviewer_id", "reviewee_id"])
     facts = joins.join_in_role(facts, people, "demographics_id", "reviewee_id", "reviewee")
     facts = joins.join_in_role(facts, people, "demographics_id", "reviewer_id", "reviewer")
     facts = joins.left_on(facts, reference, ["uid2", "trait"])
@@ -222,6 +227,7 @@ def simple_peer_scores(means: DataFrame, relevant: Column, how: str = "mean") ->
     if how == "mean":
         kept = grouped.keep_within_range(means.filter(relevant), "scaled_numeric", by)
         return kept.groupBy(*by).agg(strict_avg("theta").alias("theta"), strict_avg("scaled_numeric").alias("prediction"))
+    means = cut_lineage(means)
     scores = ordered.group_median(means, by, "theta", "theta")
     chosen = ordered.group_median(means.filter(relevant), by, "scaled_numeric", "prediction")
     return joins.left_on(scores, chosen, by)
