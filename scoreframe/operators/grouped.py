@@ -2,9 +2,12 @@
 
 Every operator here aggregates first, so a group shrinks to one row per map task
 before it is exchanged, and then joins the statistics back. No window holds a
-whole group, so a group with a third of all rows is spread over many tasks: the
-statistics are broadcast when they are small, and otherwise the join is split at
-the hot key by adaptive execution.
+whole group, so a group with a third of all rows is spread over many tasks.
+
+The statistics are written before the join. Their size is then known when the join
+is planned: small ones are broadcast and the rows are not shuffled at all, large
+ones are joined by shuffle, split at a hot key by adaptive execution. A chain of
+such steps reads its input once per step and computes no statistic twice.
 """
 
 from __future__ import annotations
@@ -12,17 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.missing import as_col, strict_max, strict_min
-from scoreframe.operators.joins import left_on
+from scoreframe.functions.missing import as_col, distinct_with_missing, strict_max, strict_min
+from scoreframe.operators.joins import keep_known, left_on
+from scoreframe.session import cut_lineage
 
 
 def attach(df: DataFrame, by: list[str], **aggregates: Column) -> DataFrame:
     """Add group aggregates as columns; an empty ``by`` means the whole table."""
     columns = [c.alias(name) for name, c in aggregates.items()]
     if not by:
-        whole = df.agg(*columns)
+        whole = cut_lineage(df.agg(*columns))
         return df.withColumns({n: whole.select(n).scalar() for n in aggregates})
-    return left_on(df, df.groupBy(*by).agg(*columns), by)
+    return left_on(df, cut_lineage(df.groupBy(*by).agg(*columns)), by)
 
 
 def zscore(df: DataFrame, columns: dict[str, str] | list[str], by: list[str]) -> DataFrame:
@@ -79,9 +83,7 @@ def violations_of_one_match(df: DataFrame, condition: Column, by: list[str]) ->
 
 def keep_groups_with(df: DataFrame, condition: Column, by: list[str]) -> DataFrame:
     """All rows of the groups that have at least one row meeting ``condition``."""
-    from scoreframe.operators.joins import keep_known
-
-    return keep_known(df, df.filter(condition), by)
+    return keep_known(df, cut_lineage(df.filter(condition).select(*[as_col(c) for c in by]).distinct()), by)
 
 
 def keep_latest(df: DataFrame, column: str, by: list[str], latest: bool = True) -> DataFrame:
@@ -138,8 +140,6 @@ def cap_repeats(df: DataFrame, by: list[str], order: list[str], uncapped: Column
 
 def response_profile(df: DataFrame, rater: str, value: str) -> DataFrame:
     """Number of marks and of different marks per rater (straight-liner check)."""
-    from scoreframe.functions.missing import distinct_with_missing
-
     return df.groupBy(rater).agg(
         F.count(F.lit(1)).alias("n"), distinct_with_missing(value).alias("n_values")
     )

@@ -24,7 +24,7 @@ def sliced(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """Range-sorted rows with slice number and position, written once.
 
     Range bounds are sampled anew by each run of a plan, so the numbered rows are
-    checkpointed: all later steps must see the same slices.
+    written: all later steps must see the same slices.
     """
     keys = [as_col(c).asc_nulls_last() for c in by]
     keys += [as_col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]

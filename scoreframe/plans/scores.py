@@ -253,7 +253,8 @@ def evidence_panel(interviews: DataFrame, teacher: DataFrame, counts: DataFrame)
     """Interviewer marks one by one beside one teacher and one peer score per student."""
     marks = grouped.zscore(teacher_with_nominations(teacher, counts), {"n_nominations": "peer_score"}, ["trait"])
     marks = marks.select(F.col("name").alias("student"), "student_id", "trait", "teacher_score", "peer_score", "grp")
-    rows = joins.left_on(interviews.drop("name"), marks, ["student_id", "trait"])
+    # Unpivoting and parsing the forms is the costly part, so it is done once.
+    rows = cut_lineage(joins.left_on(interviews.drop("name"), marks, ["student_id", "trait"]))
     rows = grouped.zscore(rows, {"score": "interviewer_score"}, ["trait", "grp"]).filter("teacher_score IS NOT NULL")
     long = reshape.to_long(rows, ["interviewer_score", "teacher_score", "peer_score"], "type", "value",
                            ids=["trait", "interviewer", "student"])

@@ -1,4 +1,4 @@
-"""Session settings the jobs rely on, and durable lineage cuts."""
+"""Session settings the jobs rely on, and tables written between steps."""
 
 from __future__ import annotations
 
@@ -36,13 +36,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder once and read it back from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """A new folder for written tables beside the checkpoints, on the same storage."""
+    """A new folder for written tables beside the checkpoints, on the same storage.
+
+    All folders of an application lie under one directory, which can be removed when
+    its results have been read.
+    """
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    return f"{context.getCheckpointDir()}/tables-{context.applicationId}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Unlike a checkpointed RDD the table has a known size, so later joins broadcast it
+    when it is under the session's threshold and shuffle it otherwise; columns that are
+    not needed are not read.
+    """
+    path = scratch_root(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
