@@ -62,15 +62,12 @@ def fit_intercepts(df: DataFrame, y: str, covariates: list[str], factors: dict[s
     """``y`` on ``covariates`` plus a random intercept per level of each factor."""
     rows = df.dropna(subset=[y, *covariates])
     beta, noise, _ = _fixed_step(rows, as_col(y), covariates)
-    effects = {
-        name: rows.select(*keys).distinct().withColumns({"effect": F.lit(0.0), "n": F.lit(0)})
-        for name, keys in factors.items()
-    }
+    effects: dict[str, DataFrame] = {}
     penalty = {name: 1.0 for name in factors}
     spread = {name: noise for name in factors}
     for _ in range(iterations):
         for name, keys in factors.items():
-            others = {k: v for k, v in factors.items() if k != name}
+            others = {k: v for k, v in factors.items() if k != name and k in effects}
             joined = _with_effects(rows, others, effects)
             rest = as_col(y) - _fixed(covariates, beta) - _total(others)
             sums = joined.groupBy(*keys).agg(F.sum(rest).alias("s"), F.count(F.lit(1)).alias("n"))
