@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreframe.llm import nbsvm, simhash, suffix_dedup
+from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, weak_rules
 from scoreframe.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_quality_classifier")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return nbsvm.quality(read(spark, folder, "documents"), read(spark, folder, "labels"), cut=0.3)
+
+
+@register("op1_quality_rules")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_rules.judge(read(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "posterior")
+
+
+@register("op7_source_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.taken_words(read(spark, folder, "documents")).drop("source")
