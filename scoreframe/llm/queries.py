@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, weak_rules
+from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, url_model, weak_rules
 from scoreframe.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,15 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_source_mixing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.taken_words(read(spark, folder, "documents")).drop("source")
+
+
+#: Verdict, host and path of each rule.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@register("op5_url_filters")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return url_model.judge(read(spark, folder, "pages"), URL_RULES)
