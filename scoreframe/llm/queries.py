@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, url_model, weak_rules
+from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, templates, url_model, weak_rules
 from scoreframe.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ URL_RULES = [
 @register("op5_url_filters")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return url_model.judge(read(spark, folder, "pages"), URL_RULES)
+
+
+@register("op6_benchmark_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
