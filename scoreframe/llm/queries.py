@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreframe.llm import mixture, nbsvm, simhash, suffix_dedup, templates, url_model, weak_rules
+from scoreframe.llm import mixture, nbsvm, pii, simhash, suffix_dedup, templates, url_model, weak_rules
 from scoreframe.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @register("op6_benchmark_decontamination")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return templates.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@register("op3_personal_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(read(spark, folder, "documents"))
