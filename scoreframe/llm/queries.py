@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoreframe.llm import mixture, nbsvm, pii, simhash, suffix_dedup, templates, url_model, weak_rules
+from scoreframe.llm import licenses, mixture, nbsvm, pii, simhash, suffix_dedup, templates, url_model, warc, weak_rules
 from scoreframe.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op3_personal_data")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(read(spark, folder, "documents"))
+
+
+@register("op2_license_scans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: every tenth is a licence file of its language's directory, every
+    hundredth one of its source's, the others lie in directories of a hundred."""
+    path = F.expr("""concat_ws('/', source, case
+        when doc_id % 100 = 0 then concat('LICENSE-', doc_id)
+        when doc_id % 10 = 0 then concat_ws('/', lang, concat('LICENSE-', doc_id))
+        else concat_ws('/', lang, doc_id div 100, concat(doc_id, '.txt')) end)""")
+    files = read(spark, folder, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files)
+
+
+@register("op8_warc_derivatives")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select(
+        F.col("page_id"), F.col("url").alias("uri"), F.lit("2024-01-01T00:00:00Z").alias("date"),
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("headers"), F.col("html").alias("payload"))
+    return warc.derived(pages, "page_id")

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.llm.text import whole
 from scoreframe.session import cut_lineage
 
 BITS = 64
@@ -246,3 +247,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", size: int = 3, m
     of_print = cut_lineage(named.join(component, "root").select("fp", "component_id"))
     return prints.join(of_print, "fp").select(
         F.col("id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_column: str = "doc_id", size: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest id, a missing id last.
+
+    Rows that share an id are told apart by their text; of equal rows one stays.
+    """
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(whole()).alias("mark"))
+    kept = near_duplicates(docs.select(key.alias("key"), "text"), "key", size, max_bits)
+    kept = cut_lineage(kept.where("key <=> component_id").select(F.col("key").alias("_kept_key")).distinct())
+    keyed = docs.withColumn("_kept_key", key)
+    return keyed.join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).select(*docs.columns)
