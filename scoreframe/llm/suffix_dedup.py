@@ -13,8 +13,9 @@ of the anchor's context, the text all its windows cover.
    window: the identifier of a window is made from the q-gram identifiers at its later
    offsets, pairs of which name strings twice as long, and these again, until ``length``
    bytes are named. Identifiers are computed once for a context and used by all windows.
-3. A bucket of up to ``SMALL`` contexts is refined inside a task. Larger ones give one row
-   a window, which are counted and joined back, so no bucket has to fit into one task.
+3. A bucket of up to ``SMALL`` contexts is refined inside a task. In larger ones intervals
+   of windows are refined by halves, with counts by key, so no bucket has to fit into one
+   task and the rows stay in proportion to the contexts.
 
 Identifiers are 64-bit values; two windows count as equal if bucket, place of the anchor
 and identifier agree. Long texts are scanned in pieces that overlap by ``length - 1``.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ PIECE = 1 << 18
 POS_BITS = 20
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xBF58476D1CE4E5B9
+MASK = (1 << 64) - 1
+INTERVAL = ["doc_id", "mark", "bucket", "first", "shift", "lone", "bytes", "lo", "hi"]
 
 
 def gram_for(length: int) -> int:
@@ -218,20 +222,57 @@ def _whole_buckets(rows: list[tuple], size: int) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def _explode(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "mark", "bucket", "place", "name", "first", "lone"]
-    tables = tables_for(length)
+def _halves(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Both halves of each row's interval of places, as far as the row has windows there.
+
+    ``core`` names the bytes all windows of the half share, ``full`` those they cover.
+    """
     for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for start in range(0, len(rows), 500):
-            part = rows[start:start + 500]
-            row, place, ids = _window_rows(part, tables, length)
-            of = pa.array(row + start)
-            begin = np.array([r[3] + r[4] for r in part])[row] + place
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), batch.column(2).take(of),
-                 pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.array(begin.astype(np.int32)),
-                 batch.column(5).take(of)], names)
+        kind, rows = batch.schema.field(0).type, []
+        for *own, shift, lone, text, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            last = len(text) - length - shift
+            middle = (low + high) // 2
+            for lo, hi in ((low, middle), (middle + 1, high)):
+                begin, end = max(lo, -shift), min(hi, last)
+                if begin <= end:
+                    core = xxhash.xxh3_64_intdigest(text[hi + shift:lo + shift + length])
+                    full = xxhash.xxh3_64_intdigest(text[begin + shift:end + shift + length], begin * length + end & MASK)
+                    rows.append((*own, shift, lone, text, lo, hi, begin, end, _signed(core), _signed(full)))
+        kinds = [kind, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), *[pa.int32()] * 4, pa.int64(), pa.int64()]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*INTERVAL, "begin", "end", "core", "full"])
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _by_halves(contexts: DataFrame, key: str, length: int) -> list[DataFrame]:
+    """Spans of shared windows in buckets of any size, by halving intervals of window places.
+
+    A half whose core no other context of the bucket has is dropped, one whose full bytes
+    another has is settled and stays as one row to compare with, the others are halved again.
+    A context keeps about one open interval for each end of a passage, so each of the rounds,
+    as many as halvings of ``length``, has about two rows for it.
+    """
+    settled = []
+    rows = contexts.select("doc_id", "mark", "bucket", "first", "shift", "lone", "bytes",
+                           F.lit(gram_for(length) - length).alias("lo"), F.lit(0).alias("hi"))
+    while not rows.isEmpty():
+        halves = cut_lineage(rows.mapInArrow(
+            lambda it: _halves(it, length),
+            f"{key}, bucket bigint, first int, shift int, lone boolean, bytes binary, lo int, hi int, begin int, end int, core bigint, full bigint")
+            .withColumn("pointer", F.xxhash64("doc_id", "mark", "first")))
+        place = ["bucket", "lo", "hi"]
+        cores = halves.groupBy(*place, "core").count().where("count > 1").drop("count")
+        fulls = halves.groupBy(*place, "full").agg(F.count("*").alias("n"), F.min("pointer").alias("chosen")).where("n > 1").drop("n")
+        kept = cut_lineage(halves.join(cores, [*place, "core"]).join(fulls, [*place, "full"], "left"))
+        start = F.col("first") + F.col("shift")
+        settled.append(kept.where("lone and chosen is not null").select(
+            "doc_id", "mark", (start + F.col("begin")).alias("first"), (start + F.col("end") + F.lit(length)).alias("end")))
+        rows = kept.where("lo < hi and (chosen is null or pointer = chosen)").withColumn(
+            "lone", F.expr("lone and chosen is null")).select(*INTERVAL)
+    return settled
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -267,13 +308,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     f"{key}, bucket bigint, first int, shift int, lone boolean, contexts bigint, bytes binary"))
     small = cut_out.where(F.col("contexts") <= SMALL).repartition("bucket").sortWithinPartitions("bucket")
     refined = small.mapInArrow(lambda it: _refine(it, length), f"{key}, first int, end int")
-    large = cut_out.where(F.col("contexts") > SMALL).mapInArrow(
-        lambda it: _explode(it, length),
-        f"{key}, bucket bigint, place int, name bigint, first int, lone boolean")
-    shared = large.groupBy("bucket", "place", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    counted = large.where("lone").join(shared, ["bucket", "place", "name"]).select(
-        "doc_id", "mark", "first", (F.col("first") + length).alias("end"))
-    return settled.union(refined).union(counted).groupBy("doc_id", "mark").agg(
+    spans = settled.union(refined)
+    for part in _by_halves(cut_out.where(F.col("contexts") > SMALL), key, length):
+        spans = spans.union(part)
+    return spans.groupBy("doc_id", "mark").agg(
         F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
