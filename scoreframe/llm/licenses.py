@@ -122,23 +122,26 @@ def directories(path: Column) -> Column:
 def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
     """(path, license, score, origin, from_directory) of each row of (path, text, ...).
 
-    ``origin`` is ``own``, ``inherited`` or NULL; other columns of ``files`` are kept.
+    ``origin`` is ``own``, ``inherited`` or NULL. Other columns of ``files`` are kept, but
+    for those named like a result.
     """
-    keyed = files.withColumn("key", row_key("path"))
-    rows = keyed.select("key", "path", "text")
-    own = cut_lineage(own_licenses(rows, templates or TEMPLATES, cosine))
-    known = cut_lineage(keyed.drop("text").join(own, "key", "left"))
+    results = ("license", "score", "origin", "from_directory")
+    kept = [c for c in files.columns if c not in (*results, "text")]
+    key = row_key("path")
+    own = cut_lineage(own_licenses(files.select(key.alias("key"), "path", "text"), templates or TEMPLATES, cosine))
+    own = own.select(F.col("key").alias("_key"), F.col("license").alias("_own"), F.col("score").alias("_score"))
+    known = cut_lineage(files.select(*kept, key.alias("_key")).join(own, "_key", "left"))
     parent = F.element_at(directories(F.col("path")), -1)
     of_directory = cut_lineage(
-        known.where(F.col("license").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy(parent.alias("directory"))
-        .agg(F.min(F.struct((-F.col("score")).alias("minus"), "path", "license")).alias("best"))
-        .select("directory", F.col("best.license").alias("given")))
-    orphans = known.where("license is null and path is not null").select("path").distinct()
+        known.where(F.col("_own").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy(parent.alias("directory"))
+        .agg(F.min(F.struct((-F.col("_score")).alias("minus"), "path", "_own")).alias("best"))
+        .select("directory", F.col("best._own").alias("given")))
+    orphans = known.where("_own is null and path is not null").select("path").distinct()
     above = orphans.select("path", F.posexplode(directories(F.col("path"))).alias("depth", "directory"))
     nearest = above.join(of_directory, "directory").groupBy("path").agg(
-        F.max(F.struct("depth", "directory", "given")).alias("near")).select("path", "near.directory", "near.given")
-    joined = known.join(nearest.withColumnRenamed("path", "at"), F.expr("license is null and path = at"), "left")
-    origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited")
-    return joined.select(
-        *(c for c in files.columns if c != "text"), F.coalesce("license", "given").alias("license"), "score",
-        origin.alias("origin"), F.col("directory").alias("from_directory"))
+        F.max(F.struct("depth", "directory", "given")).alias("near")).select(
+        F.col("path").alias("_at"), F.col("near.directory").alias("_directory"), F.col("near.given").alias("_given"))
+    joined = known.join(nearest, F.expr("_own is null and path = _at"), "left")
+    origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_given").isNotNull(), "inherited")
+    return joined.select(*kept, F.coalesce("_own", "_given").alias("license"), F.col("_score").alias("score"),
+                         origin.alias("origin"), F.col("_directory").alias("from_directory"))

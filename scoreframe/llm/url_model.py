@@ -54,10 +54,12 @@ def by_rules(rules: Sequence[Rule], host: Column, path: Column) -> Column:
 
 def windows(urls: DataFrame, *keep: str) -> DataFrame:
     """One row for each character and the end: the character with its context before it."""
-    padded = F.concat(F.lit(START * ORDER), F.col("text"), F.lit(END))
-    places = F.sequence(F.lit(1), F.length("text") + 1)
-    return urls.select(*keep, padded.alias("padded"), F.explode(places).alias("i")).select(
-        *keep, F.col("padded").substr(F.col("i"), F.lit(ORDER + 1)).alias("gram"))
+    padded = F.split(F.concat(F.lit(START * ORDER), F.col("text"), F.lit(END)), "")
+    # a column of its own, used twice, so that it is split once and not for every character
+    chars = urls.select(*(F.col(c).alias(f"own_{c}") for c in keep), padded.alias("chars"))
+    grams = F.transform("chars", lambda _, i: F.when(
+        i >= ORDER, F.array_join(F.slice("chars", F.greatest(i - ORDER + 1, F.lit(1)), ORDER + 1), "")))
+    return chars.select(*(F.col(f"own_{c}").alias(c) for c in keep), F.explode(grams).alias("gram")).where("gram is not null")
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
@@ -99,7 +101,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", u
     urls = rows.groupBy("text").agg(F.count("*").alias("n"))
     urls = urls.withColumn("host", host_of(F.col("text"))).withColumn("path", path_of(F.col("text")))
     urls = cut_lineage(urls.withColumn("by_rule", by_rules(rules, F.col("host"), F.col("path"))).select(
-        "text", "n", "host", "path", "by_rule.*", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")))
+        F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text", "n", "host", "path", "by_rule.*", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held")))
+
+    key = ["k1", "k2"]  # stands for the URL on each of its windows, however long it is
 
     def counted(verdict: str) -> Column:
         own = F.coalesce((F.col("verdict") == verdict) & ~F.col("held"), F.lit(False))
@@ -108,8 +112,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id", u
     grams = cut_lineage(windows(urls, "n", "verdict", "held").groupBy("gram").agg(
         counted(ALLOW).alias("yes"), counted(BLOCK).alias("no")))
     ratios = cut_lineage(log_ratios(grams))
-    scores = cut_lineage(windows(urls, "text").join(ratios, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    scored = cut_lineage(urls.join(scores, "text"))
+    scores = cut_lineage(windows(urls, *key).join(ratios, "gram").groupBy(*key).agg(F.avg("ratio").alias("score")))
+    scored = cut_lineage(urls.join(scores, key))
     sides = {(r["verdict"], r["held"]): (r["n"], r["m"], r["v"]) for r in scored.where("verdict is not null")
              .groupBy("verdict", "held").agg(F.sum("n").alias("n"), F.avg("score").alias("m"), F.var_pop("score").alias("v")).collect()}
     none = (0, 0.0, 0.0)
