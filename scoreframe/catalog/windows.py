@@ -146,7 +146,8 @@ def x12(st):
 @query("x13_union_by_name", """
 SELECT 'R' AS tag, l_orderkey AS key, NULL AS price FROM lineitem WHERE l_returnflag = 'R'
 UNION ALL SELECT 'order', o_orderkey, o_totalprice FROM orders
-UNION ALL SELECT 'A', l_orderkey, NULL FROM lineitem WHERE l_returnflag = 'A'""")
+UNION ALL SELECT 'A', l_orderkey, NULL FROM lineitem WHERE l_returnflag = 'A'
+UNION ALL SELECT 'N', l_orderkey, NULL FROM lineitem WHERE l_returnflag = 'N'""")
 def x13(st):
     lines = st.table("lineitem")
     parts = [
@@ -154,5 +155,6 @@ def x13(st):
         st.table("orders").select(F.lit("order").alias("tag"), F.col("o_orderkey").alias("key"),
                                   F.col("o_totalprice").alias("price")),
         lines.filter("l_returnflag = 'A'").select(F.lit("A").alias("tag"), F.col("l_orderkey").alias("key")),
+        lines.filter("l_returnflag = 'N'").select(F.lit("N").alias("tag"), F.col("l_orderkey").alias("key")),
     ]
     return unite(parts)

@@ -26,6 +26,23 @@ def _cell_columns(df: DataFrame) -> DataFrame:
     })
 
 
+def _log_logistic(x: Column) -> Column:
+    return F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
+
+
+def _log_cell() -> Column:
+    """Log probability of the mark ``y``: finite for any finite score and increasing cuts.
+
+    logistic(a) - logistic(b) = logistic(a) * logistic(-b) * (1 - exp(b - a)).
+    """
+    upper = F.get("cuts", F.col("y") - 1) - F.col("theta")
+    lower = F.get("cuts", F.col("y") - 2) - F.col("theta")
+    none = F.lit(0.0)
+    known = F.col("theta").isNotNull() & F.col("cuts").isNotNull() & F.col("y").isNotNull()
+    return F.when(known, F.coalesce(_log_logistic(upper), none) + F.coalesce(_log_logistic(-lower), none)
+                  + F.coalesce(F.log(-F.expm1(lower - upper)), none))
+
+
 def log_likelihood(facts: DataFrame, scores: DataFrame, cuts: DataFrame,
                    score_key: list[str], cut_key: list[str]) -> DataFrame:
     """Adds ``log_lik`` of each mark ``y`` in 1..K.
@@ -34,9 +51,7 @@ def log_likelihood(facts: DataFrame, scores: DataFrame, cuts: DataFrame,
     K - 1 cut points by ``cut_key`` (a rater, or a group).
     """
     joined = left_on(left_on(facts, scores, score_key), cuts, cut_key)
-    return _cell_columns(joined).withColumn("log_lik", F.log(F.col("up") - F.col("lo"))).drop(
-        "up", "lo", "theta", "cuts"
-    )
+    return joined.withColumn("log_lik", _log_cell()).drop("theta", "cuts")
 
 
 def starting_cuts(facts: DataFrame, levels: int) -> Column:

@@ -11,7 +11,6 @@ from scoreframe.functions.text import extract
 
 # One letter per column in a compact type string.
 TYPE_LETTERS = {"c": T.StringType(), "n": T.DoubleType(), "l": T.BooleanType()}
-INLINE_ROWS = 10_000
 
 
 def typed_schema(names: list[str], letters: str) -> T.StructType:
@@ -80,10 +79,8 @@ def scan_sheets(spark: SparkSession, folder: str, ids: list[str], key: str, valu
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Small literal table, safe to broadcast because its size is checked here."""
-    if len(rows) > INLINE_ROWS:
-        raise ValueError(f"{len(rows)} rows are too many for a literal table")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """Literal table of any size; the optimizer sees its size and broadcasts it if it is small."""
+    return spark.createDataFrame(rows, schema)
 
 
 def draws_to_long(draws: DataFrame, parameter: str, ids: list[str]) -> DataFrame:
