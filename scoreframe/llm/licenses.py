@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import row_key, whole
+from scoreframe.llm.text import whole
 from scoreframe.session import cut_lineage
 
 COSINE = 0.6
@@ -127,7 +127,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     """
     results = ("license", "score", "origin", "from_directory")
     kept = [c for c in files.columns if c not in (*results, "text")]
-    key = row_key("path")
+    key = F.unhex(F.md5(F.concat_ws(":", F.col("path").isNull(), F.col("path"), whole())))  # 16 bytes a file
     own = cut_lineage(own_licenses(files.select(key.alias("key"), "path", "text"), templates or TEMPLATES, cosine))
     own = own.select(F.col("key").alias("_key"), F.col("license").alias("_own"), F.col("score").alias("_score"))
     known = cut_lineage(files.select(*kept, key.alias("_key")).join(own, "_key", "left"))
