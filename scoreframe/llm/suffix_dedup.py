@@ -41,6 +41,7 @@ from scoreframe.session import cut_lineage
 
 LENGTH = 400
 SMALL = 64
+HOT = 1_000
 PIECE = 1 << 18
 POS_BITS = 20
 BASE = 0x9E3779B97F4A7C15
@@ -275,6 +276,18 @@ def _by_halves(contexts: DataFrame, key: str, length: int) -> list[DataFrame]:
     return settled
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined to a written ``table`` of one row a key, of which ``n`` of ``total`` rows have it.
+
+    Fewer than ``HOT`` keys can hold more than a ``HOT``-th of the rows each: these few are
+    sent to every task, and their rows stay where they are; the others meet by key.
+    """
+    hot = F.col("n") * HOT > total
+    often, seldom = table.where(hot), table.where(~hot)
+    spread = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
+    return spread.unionByName(rows.join(F.broadcast(often), keys))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, mark, spans): per row with repeats the places its repeated windows cover.
 
@@ -287,16 +300,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         f"{key}, bucket bigint, context bigint, first int, windows int, shift int"))
     buckets = anchors.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    buckets = buckets.select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
+    buckets = cut_lineage(buckets.select("bucket", (F.col("low") != F.col("high")).alias("mixed"), "n"))
+    total = anchors.count()
     end = (F.col("first") + F.col("windows") + F.lit(length - 1)).alias("end")
-    rows = cut_lineage(anchors.join(buckets, "bucket"))
+    rows = cut_lineage(_looked_up(anchors, buckets, ["bucket"], total).drop("n"))
     settled = rows.where("not mixed").select("doc_id", "mark", "first", end)
 
     # Mixed buckets: one row for each context, counted; the least pointer stands for equal ones.
     mixed = rows.where("mixed").withColumn("pointer", F.xxhash64("doc_id", "mark", "first"))
     contexts = mixed.groupBy("bucket", "context").agg(F.count("*").alias("n"), F.min("pointer").alias("chosen"))
     sizes = contexts.groupBy("bucket").agg(F.count("*").alias("contexts"))
-    mixed = mixed.join(cut_lineage(contexts.join(sizes, "bucket")), ["bucket", "context"])
+    mixed = _looked_up(mixed, cut_lineage(contexts.join(sizes, "bucket")), ["bucket", "context"], total)
     settled = settled.union(mixed.where("n > 1").select("doc_id", "mark", "first", end))
     todo = mixed.where("n = 1 or pointer = chosen").groupBy("doc_id", "mark").agg(F.collect_list(F.struct(
         "bucket", "first", "windows", "shift", (F.col("n") == 1).alias("lone"), "contexts")).alias("todo"))
