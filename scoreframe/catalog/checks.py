@@ -66,7 +66,7 @@ VIEW_SQL.update({
         coalesce(phone, 'Unanswered') AS mobile_plan,
         CAST(len(string_split(coalesce(subscriptions, 'Unanswered'), ', ')) AS INT) AS paid_subscriptions, balance,
         CASE WHEN id IN (SELECT user_id FROM events) THEN 'Interviewer'
-          WHEN id IN (SELECT nominator FROM nominations WHERE nominator % 3 = 0) THEN 'Peer reviewer'
+          WHEN id IN (SELECT nominator FROM nominations) THEN 'Peer reviewer'
           WHEN lower(student_id) IN (SELECT "Student ID" FROM tracker) THEN 'Study participant' ELSE 'Other' END AS type,
         {QUINTILE_SQL} AS income
       FROM demographic_form QUALIFY row_number() OVER (PARTITION BY name ORDER BY id) = 1""",

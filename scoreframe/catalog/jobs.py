@@ -50,13 +50,16 @@ def interviews_long(st, need_user=False):
 
 
 def people_clean(st):
-    person = F.concat(F.lit("Person "), F.col("user_id").cast("string"))
-    interviewers = st.table("events").select(person.alias("name")).distinct()
-    voters = st.nominations.filter("nominator % 3 = 0").select("nominator").distinct().select(
+    return forms.clean_demographics(st.demographic_form, AS_OF)
+
+
+def people_with_roles(st):
+    interviewers = st.table("events").select(F.concat(F.lit("Person "), F.col("user_id").cast("string")).alias("name"))
+    voters = st.nominations.select("nominator").distinct().select(
         F.lit(None).cast("string").alias("name"),
         F.concat(F.lit("S"), F.col("nominator").cast("string")).alias("student_id"))
     participants = st.tracker.select(F.col("Student ID").alias("student_id"))
-    return forms.clean_demographics(st.demographic_form, interviewers, voters, participants, AS_OF)
+    return forms.with_role(people_clean(st), interviewers.distinct(), voters, participants)
 
 
 def people_table(st):
@@ -134,7 +137,7 @@ def c5(st):
 
 @query("c6_demographics", "SELECT * EXCLUDE (income, age), round(age, 6) AS age FROM people_clean")
 def c6(st):
-    return people_clean(st).withColumn("age", F.round("age", 6))
+    return people_with_roles(st).withColumn("age", F.round("age", 6))
 
 
 @query("c7_reviews_long", "SELECT * FROM reviews_clean")

@@ -88,19 +88,14 @@ def self_ratings_to_long(form: DataFrame, people: DataFrame, renames: dict[str,
     return joins.left_on(long, ids, ["student_id"])
 
 
-def clean_demographics(form: DataFrame, interviewers: DataFrame, reviewers: DataFrame,
-                       participants: DataFrame, as_of: str) -> DataFrame:
-    """One row per name with recoded answers, subscription count and role.
-
-    ``interviewers`` (name); ``reviewers`` (name, student_id); ``participants``
-    (student_id). The first row of a name (by id) is kept.
-    """
+def clean_demographics(form: DataFrame, as_of: str) -> DataFrame:
+    """One row per name with recoded answers and subscription count; the first row of a name (by id) is kept."""
     def answered(c: str) -> Column:
         return F.coalesce(as_col(c), F.lit("Unanswered"))
 
     people = grouped.first_rows(form, ["name"], ["id"])
     born = F.date_add(F.lit("1985-01-01").cast("date"), F.col("birth_days"))
-    people = people.select(
+    return people.select(
         F.col("id").alias("demographics_id"), "name", F.lower("student_id").alias("student_id"),
         F.when(F.col("other_language").isNull(), "No").otherwise("Yes").alias("esl"),
         text.age_in_years(born, as_of).alias("age"), "alternate_email",
@@ -113,6 +108,10 @@ def clean_demographics(form: DataFrame, interviewers: DataFrame, reviewers: Data
         answered("phone").alias("mobile_plan"),
         reshape.list_length(answered("subscriptions")).alias("paid_subscriptions"), "balance",
     )
+
+
+def with_role(people: DataFrame, interviewers: DataFrame, reviewers: DataFrame, participants: DataFrame) -> DataFrame:
+    """Adds ``type``, the role: ``interviewers`` (name); ``reviewers`` (name, student_id); ``participants`` (student_id)."""
     people = joins.flag_member(people, F.col("name"), interviewers, F.col("name"), "is_interviewer")
     people = joins.flag_member(people, F.col("student_id"), reviewers, F.lower("student_id"), "is_reviewer_id")
     people = joins.flag_member(people, F.col("name"), reviewers, F.col("name"), "is_reviewer_name")

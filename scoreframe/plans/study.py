@@ -21,6 +21,7 @@ TRAIT_CASE = """CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'Boost' WHEN 'A
   WHEN 'NF' THEN 'Integrity' WHEN 'NO' THEN 'Intelligence' WHEN 'RF' THEN 'Perseverance' ELSE 'Spike' END"""
 TRAIT_NUMBER = """CASE l_returnflag || l_linestatus WHEN 'AF' THEN 1 WHEN 'AO' THEN 2
   WHEN 'NF' THEN 3 WHEN 'NO' THEN 4 WHEN 'RF' THEN 5 ELSE 6 END"""
+RANK = "CAST(1 + (l_linenumber - 1) % 3 AS INT)"  # a form has three boxes a trait
 CLASSMATE = {
     "Boost": "Boostable classmate", "Empathy": "Empathetic classmate",
     "Integrity": "High integrity classmate", "Intelligence": "Intelligent classmate",
@@ -178,15 +179,14 @@ class Study:
         places = self.places.select("n_nationkey", "r_name")
         voters = self.table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
             "c_custkey", F.col("r_name").alias("grp"))
-        picked = self.roster.select("person", "name", F.col("grp").alias("picked_grp"))
+        picked = self.roster.select("person", "name")
         return (
-            self.table("lineitem").filter("l_linenumber <= 3")
+            self.table("lineitem")
             .join(self.table("orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
             .join(voters, F.expr("o_custkey = c_custkey"))
             .join(picked, F.expr("l_suppkey = person"))
-            .filter("grp = picked_grp OR l_suppkey % 10 = 0")
             .select(F.col("o_custkey").alias("nominator"), F.expr(TRAIT_CASE).alias("trait"),
-                    F.col("l_linenumber").alias("rank"), "grp", F.col("l_suppkey").alias("nominee"),
+                    F.expr(RANK).alias("rank"), "grp", F.col("l_suppkey").alias("nominee"),
                     F.col("name").alias("nominee_name"), "l_shipdate", "l_orderkey")
         )
 
@@ -292,11 +292,10 @@ VIEW_SQL = {k: _sql(v) for k, v in {
       + ", ".join(f"CAST(sum(CASE WHEN trait = '{t}' THEN qty END) % 6 AS DOUBLE) AS \"{t}\"" for t in TEACHER_TRAITS[:6])
       + """, CAST(1 + count(*) % 7 AS DOUBLE) AS "Creativity", CAST(1 + sum(l_linenumber) % 6 AS DOUBLE) AS "Interview-ability",
       CAST(sum(qty) % 100 AS DOUBLE) AS "Standardized Test", grp FROM ratings GROUP BY name, ratee, grp""",
-    "nominations": f"""SELECT o_custkey AS nominator, {TRAIT_CASE} AS trait, l_linenumber AS rank, r_name AS grp,
+    "nominations": f"""SELECT o_custkey AS nominator, {TRAIT_CASE} AS trait, {RANK} AS rank, r_name AS grp,
       l_suppkey AS nominee, name AS nominee_name, l_shipdate, l_orderkey
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-      JOIN ({_PLACES}) ON c_nationkey = n_nationkey JOIN roster ON l_suppkey = person
-      WHERE l_linenumber <= 3 AND (r_name = grp OR l_suppkey % 10 = 0)""",
+      JOIN ({_PLACES}) ON c_nationkey = n_nationkey JOIN roster ON l_suppkey = person""",
     "nomination_form": "SELECT 'S' || CAST(nominator AS STRING) AS \"Student ID\", grp AS group_peer, " + ", ".join(
       f"first(nominee_name ORDER BY l_shipdate, l_orderkey, nominee) FILTER (WHERE trait = '{t}' AND rank = {k}) AS \"{CLASSMATE[t]} {k}\""
       for t in CLASSMATE for k in (1, 2, 3)) + " FROM nominations GROUP BY nominator, grp",
