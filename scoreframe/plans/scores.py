@@ -250,17 +250,20 @@ def teacher_peer_panel(teacher: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def evidence_panel(interviews: DataFrame, teacher: DataFrame, counts: DataFrame) -> DataFrame:
-    """Interviewer marks one by one beside one teacher and one peer score per student."""
+    """Interviewer marks one by one beside one teacher and one peer score per student, which have no interviewer."""
     marks = grouped.zscore(teacher_with_nominations(teacher, counts), {"n_nominations": "peer_score"}, ["trait"])
     marks = marks.select(F.col("name").alias("student"), "student_id", "trait", "teacher_score", "peer_score", "grp")
     # Unpivoting and parsing the forms is the costly part, so it is done once.
     rows = cut_lineage(joins.left_on(interviews.drop("name"), marks, ["student_id", "trait"]))
     rows = grouped.zscore(rows, {"score": "interviewer_score"}, ["trait", "grp"]).filter("teacher_score IS NOT NULL")
-    long = reshape.to_long(rows, ["interviewer_score", "teacher_score", "peer_score"], "type", "value",
-                           ids=["trait", "interviewer", "student"])
-    interview = F.col("type") == "interviewer_score"
-    long = long.withColumn("evidence_type", if_known(interview, "Interview", "Ground Truth"))
-    return grouped.cap_repeats(long, ["trait", "type", "student"], ["interviewer", "value"], interview)
+    seen = rows.select("student_id", "trait").distinct()
+    truth = joins.keep_known(marks.filter("teacher_score IS NOT NULL"), seen, ["student_id", "trait"])
+    truth = truth.groupBy("trait", "student").agg(
+        F.min("teacher_score").alias("teacher_score"), F.min("peer_score").alias("peer_score"))
+    truth = reshape.to_long(truth, ["teacher_score", "peer_score"], "type", "value", ids=["trait", "student"])
+    evidence = rows.select("trait", "interviewer", "student", F.lit("interviewer_score").alias("type"),
+                           F.col("interviewer_score").alias("value"), F.lit("Interview").alias("evidence_type"))
+    return evidence.unionByName(truth.withColumn("evidence_type", F.lit("Ground Truth")), allowMissingColumns=True)
 
 
 def candidate_summary(interviews: DataFrame, teacher: DataFrame, counts: DataFrame) -> DataFrame:

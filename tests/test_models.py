@@ -71,30 +71,43 @@ def test_choice_log_likelihood(votes, spark):
             assert got[v, t, r] is None
 
 
-def test_choice_strengths_follow_numpy_steps_and_climb(votes):
+def test_choice_strengths_climb_as_numpy_steps_to_a_zero_gradient(votes):
     members, noms, df, roster = votes
     live = [(g, t, p, s) for (v, t, r), (g, p, s) in brute_sets(members, noms).items() if p in s]
     w = {(g, t, m): 1.0 for g, t, _, _ in live for m in members[g]}
+    wins = {k: sum((g, t, p) == k for g, t, p, _ in live) for k in w}
 
     def posterior():
         fit = sum(math.log(w[g, t, p] / sum(w[g, t, m] for m in s)) for g, t, p, s in live)
         return fit + sum(math.log(x) - x for x in w.values())
 
-    climbs = [posterior()]
-    for _ in range(4):
-        faced, wins = {k: 0.0 for k in w}, {k: 0 for k in w}
-        for g, t, p, s in live:
-            wins[g, t, p] += 1
+    def faced():
+        out = {k: 0.0 for k in w}
+        for g, t, _, s in live:
             inv = 1 / sum(w[g, t, m] for m in s)
             for m in s:
-                faced[g, t, m] += inv
-        w = {k: (wins[k] + 1) / (faced[k] + 1) for k in w}
+                out[g, t, m] += inv
+        return out
+
+    climbs = [posterior()]
+    for _ in range(3):
+        mean = {(g, t): np.mean([w[g, t, m] for m in members[g]]) for g, t, _ in w}
+        w = {k: x / mean[k[:2]] for k, x in w.items()}
+        f = faced()
+        w = {k: (wins[k] + 1) / (f[k] + 1) for k in w}
         climbs.append(posterior())
     assert climbs == sorted(climbs)
-    got = {(r.grp, r.trait, r.person): r.theta
-           for r in choice.fit_strengths(choice.choice_sets(df, roster, ["pos"]), roster, 4).collect()}
-    for k, v in w.items():
-        assert got[k] == pytest.approx(math.log(v), abs=1e-9)
+    sets = choice.choice_sets(df, roster, ["pos"])
+    got = choice.fit_strengths(sets, roster, 3).collect()
+    assert not any(r.converged for r in got)
+    for r in got:
+        assert r.theta == pytest.approx(math.log(w[r.grp, r.trait, r.person]), abs=1e-9)
+    got = choice.fit_strengths(sets, roster).collect()
+    assert all(r.converged for r in got)
+    w = {(r.grp, r.trait, r.person): math.exp(r.theta) for r in got}
+    f = faced()
+    for k, x in w.items():
+        assert wins[k] + 1 - x * (f[k] + 1) == pytest.approx(0.0, abs=1e-6)
 
 
 def test_slice_bounds_are_contiguous(votes):
