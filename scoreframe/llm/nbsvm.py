@@ -9,7 +9,8 @@ multiplier at a time, the weights kept up to date. A logistic curve fitted to th
 of a fifth of the rows, left out of the descent, turns margins into probabilities.
 
 The fit uses at most ``sample`` labelled rows (a documented bound), those whose hashed id
-comes first, so one task holds them; every row is scored.
+comes first, so one task holds them; of several rows of one id it reads the one whose text
+has the smallest hash, found by a partial aggregation. Every row is scored.
 
 Defined results: a missing text counts as empty and is scored by the intercept; rows with a
 missing id or label, or a label other than 0 and 1, teach nothing; of several labels of one
@@ -179,29 +180,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: st
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
     known = known.groupBy(F.col(id_column).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    text = docs.select(F.col(id_column).alias("_id"), whole().cast("binary").alias("_text"))
-    rows = text.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
+    text = docs.select(F.col(id_column).alias("_id"), whole().cast("binary").alias("_text"), F.xxhash64(whole()).alias("_hash"))
+    rows = text.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text", "_hash")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Indicators()
         for batch in batches:
             packed = [places(x.as_py()).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1), pa.array(packed, pa.binary())], ["id", "label", "places"])
+                [batch.column(0).cast(pa.string()), batch.column(1), batch.column(3), pa.array(packed, pa.binary())],
+                ["id", "label", "hash", "places"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        # one order whatever the partitioning; copies of a row under one id all count
-        found.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0], r[2]))
-        found = found[:2 * sample]
+        found.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0]))  # one order whatever the partitioning
         model = fit_rows([np.frombuffer(r[2], dtype=np.int32) for r in found], np.array([r[1] for r in found], dtype=np.float64))
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.tobytes()], pa.binary()) for x in (model.weights, model.squares)]
             + [pa.array([x], pa.float64()) for x in (model.intercept, model.slope, model.offset)],
             ["weights", "squares", "intercept", "slope", "offset"])
 
-    marked = rows.mapInArrow(mark, "id string, label int, places binary").repartition(1)
-    out = marked.mapInArrow(solve, "weights binary, squares binary, intercept double, slope double, offset double").collect()
+    marked = rows.mapInArrow(mark, "id string, label int, hash bigint, places binary")
+    single = marked.groupBy("id", "label").agg(F.min(F.struct("hash", "places")).alias("row")).select("id", "label", "row.places")
+    out = single.repartition(1).mapInArrow(solve, "weights binary, squares binary, intercept double, slope double, offset double").collect()
     if not out:
         return fit_rows([], np.zeros(0))
     one = out[0]
