@@ -1,25 +1,30 @@
 """WARC derivatives: a metadata and a plain-text conversion record for each response.
 
 Both records refer to the response they come from (WARC-Refers-To), keep its target URI,
-date and payload digest, and carry digests of their own blocks. The metadata record lists
+date and payload digest, and carry digests of their own blocks. A response that brings its
+own record id and payload digest keeps both; else they are made from it. The metadata record lists
 the response's HTTP headers, title and links as warc-fields; the conversion record holds the
 page's text. Record ids are name-based: the same response always gives the same ids, so a
 task that runs again writes the same records. ``serialized`` makes each record one gzip
-member, ``parsed`` reads such members back.
+member, ``parsed`` reads such members back, and ``responses`` reads the response records of
+a table of members.
 
 Defined results: a response without payload has an empty one; without URI or date these
-headers are left out; equal responses give equal records; an empty table gives no record;
+headers are left out; a member that is damaged or no HTTP response gives no response;
+equal responses give equal records; an empty table gives no record;
 extra columns are not looked at. Scans of the page are linear in its length.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -85,10 +90,13 @@ class Pages:
         return "\n".join(x for x in lines if x), named, list(dict.fromkeys(links))
 
 
-def derived(responses: DataFrame, id_column: str = "id") -> DataFrame:
+def derived(responses: DataFrame, id_column: str = "id", record_column: str | None = None,
+            digest_column: str | None = None) -> DataFrame:
     """Two records for each response (id, uri, date, headers, payload), linked to its record id.
 
-    ``headers`` are the HTTP header lines of the response as one string.
+    ``headers`` are the HTTP header lines of the response as one string. ``record_column`` and
+    ``digest_column`` name columns with the response's own record id and payload digest; where
+    they are missing or NULL, both are derived.
     """
     kind = responses.schema[id_column].dataType.simpleString()
 
@@ -96,11 +104,11 @@ def derived(responses: DataFrame, id_column: str = "id") -> DataFrame:
         pages = Pages()
         for batch in batches:
             rows = []
-            for key, uri, date, headers, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, uri, date, headers, payload, own_id, own_digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = payload or ""
                 raw = payload.encode("utf-8", "surrogatepass")
-                source_digest = digest(raw)
-                source = record_id("response", str(key), uri or "", date or "", source_digest)
+                source_digest = own_digest or digest(raw)
+                source = own_id or record_id("response", str(key), uri or "", date or "", source_digest)
                 text, title, links = pages.read(payload, uri)
                 fields = [f"source-header: {x}" for x in (headers or "").splitlines() if x.strip()]
                 fields += [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
@@ -115,7 +123,8 @@ def derived(responses: DataFrame, id_column: str = "id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], NAMES)
 
     text = [F.col(c).cast("string").alias(c) for c in ("uri", "date", "headers", "payload")]
-    return responses.select(F.col(id_column).alias("id"), *text).mapInArrow(
+    given = [(F.col(c) if c else F.lit(None)).cast("string").alias(f"own_{i}") for i, c in enumerate((record_column, digest_column))]
+    return responses.select(F.col(id_column).alias("id"), *text, *given).mapInArrow(
         of_batches, f"id {kind}, {RECORD}").withColumnRenamed("id", id_column)
 
 
@@ -145,5 +154,41 @@ def serialized(records: DataFrame) -> DataFrame:
 def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of one gzip member."""
     head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
-    headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    named = (line.partition(":") for line in head.decode().split("\r\n")[1:])
+    headers = {name: value.strip() for name, _, value in named}
     return headers, rest[:int(headers["Content-Length"])]
+
+
+def _charset(headers: str) -> str:
+    found = re.search(r"(?i)^content-type:[^\r\n]*charset=[\"']?([\w-]+)", headers, re.MULTILINE)
+    try:
+        return codecs.lookup(found.group(1)).name if found else "utf-8"
+    except LookupError:
+        return "utf-8"
+
+
+def responses(members: DataFrame, column: str = "member") -> DataFrame:
+    """(record_id, uri, date, payload_digest, headers, payload) of the response records among gzip members.
+
+    The HTTP header block is split from the body, which is read in its own character set.
+    """
+    names = ["record_id", "uri", "date", "payload_digest", "headers", "payload"]
+    fields = ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest")
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for member in batch.column(0).to_pylist():
+                try:
+                    about, block = parsed(member or b"")
+                except (OSError, EOFError, ValueError, KeyError, zlib.error):
+                    continue
+                head, found, body = block.partition(b"\r\n\r\n")
+                if about.get("WARC-Type") != "response" or not head.startswith(b"HTTP/"):
+                    continue
+                headers = head.decode("latin-1")
+                rows.append((*map(about.get, fields), headers, body.decode(_charset(headers), "replace")))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+    return members.select(F.col(column).cast("binary")).mapInArrow(of_batches, ", ".join(f"{n} string" for n in names))
