@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreframe.llm import mixture, nbsvm, pii, simhash, templates
+from scoreframe.llm.text import unused
 from scoreframe.session import cut_lineage, tune
 
 #: No SQL states the fitted stages; tests hold each stage against a brute-force version.
@@ -23,8 +24,8 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier rejects go: those of a score below 0.3."""
     labels = tune(spark).read.parquet(f"{folder}/labels.parquet")
-    scored = nbsvm.with_score(docs, nbsvm.fit(docs, labels), "_quality_score")
-    return scored.where(F.col("_quality_score") >= 0.3).select(*docs.columns)
+    score = unused(docs, "_quality_score")
+    return nbsvm.with_score(docs, nbsvm.fit(docs, labels), score).where(F.col(score) >= 0.3).drop(score)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -45,7 +46,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

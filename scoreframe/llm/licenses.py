@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import whole
+from scoreframe.llm.text import quoted, whole
 from scoreframe.session import cut_lineage
 
 COSINE = 0.6
@@ -130,7 +130,8 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     key = F.unhex(F.md5(F.concat_ws(":", F.col("path").isNull(), F.col("path"), whole())))  # 16 bytes a file
     own = cut_lineage(own_licenses(files.select(key.alias("key"), "path", "text"), templates or TEMPLATES, cosine))
     own = own.select(F.col("key").alias("_key"), F.col("license").alias("_own"), F.col("score").alias("_score"))
-    known = cut_lineage(files.select(*kept, key.alias("_key")).join(own, "_key", "left"))
+    # the columns that are kept travel as one, so their names meet none of the names used here
+    known = cut_lineage(files.select(F.struct(*map(quoted, kept)).alias("row"), F.col("path"), key.alias("_key")).join(own, "_key", "left"))
     parent = F.element_at(directories(F.col("path")), -1)
     of_directory = cut_lineage(
         known.where(F.col("_own").isNotNull() & F.col("path").rlike(LICENSE_FILE)).groupBy(parent.alias("directory"))
@@ -143,5 +144,5 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: floa
         F.col("path").alias("_at"), F.col("near.directory").alias("_directory"), F.col("near.given").alias("_given"))
     joined = known.join(nearest, F.expr("_own is null and path = _at"), "left")
     origin = F.when(F.col("_own").isNotNull(), "own").when(F.col("_given").isNotNull(), "inherited")
-    return joined.select(*kept, F.coalesce("_own", "_given").alias("license"), F.col("_score").alias("score"),
+    return joined.select("row.*", F.coalesce("_own", "_given").alias("license"), F.col("_score").alias("score"),
                          origin.alias("origin"), F.col("_directory").alias("from_directory"))

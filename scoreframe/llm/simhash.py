@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import whole
+from scoreframe.llm.text import unused, whole
 from scoreframe.session import cut_lineage
 
 BITS = 64
@@ -254,8 +254,10 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", size: int = 3, m
 
     Rows that share an id are told apart by their text; of equal rows one stays.
     """
+    name = unused(docs, "_kept_key")
     key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(whole()).alias("mark"))
     kept = near_duplicates(docs.select(key.alias("key"), "text"), "key", size, max_bits)
-    kept = cut_lineage(kept.where("key <=> component_id").select(F.col("key").alias("_kept_key")).distinct())
-    keyed = docs.withColumn("_kept_key", key)
-    return keyed.join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).select(*docs.columns)
+    kept = cut_lineage(kept.where("key <=> component_id").select(F.col("key").alias(name)).distinct())
+    keyed = docs.withColumn(name, key)
+    # the key leads after the join, so its removal leaves the columns in their order
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.llm.text import row_key
+from scoreframe.llm.text import row_key, unused
 from scoreframe.session import cut_lineage
 
 WINDOW, LITERAL = 8, 4
@@ -179,5 +179,6 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     """The rows of ``docs`` that hold no copy of an item, as they are."""
     key = row_key(id_column)
     found = cut_lineage(leaks(docs.select(key.alias("key"), "text"), items, "key", **options).select("key").distinct())
-    keyed = docs.withColumn("_leak_key", key)
-    return keyed.join(found.withColumnRenamed("key", "_leak_key"), "_leak_key", "left_anti").select(*docs.columns)
+    name = unused(docs, "_leak_key")
+    keyed = docs.withColumn(name, key)
+    return keyed.join(found.withColumnRenamed("key", name), name, "left_anti").drop(name)

@@ -1,8 +1,10 @@
 """Corpus operators against brute force, with missing values, ties, copies and odd columns."""
 
+import gzip
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -266,6 +268,25 @@ def test_records_keep_their_links_and_come_back_whole(spark):
         assert headers["WARC-Refers-To"] == row.refers_to and block.decode() == row.block and headers["WARC-Block-Digest"] == warc.digest(block)
 
 
+def test_responses_of_a_file_keep_their_ids_and_digests(spark):
+    def member(kind, record, block, digest="sha1:OWN"):
+        head = f"WARC/1.1\r\nWARC-Type:{kind}\r\nWARC-Record-ID: {record}\r\nWARC-Target-URI: http://x.org/\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    page = "<p>Grüße</p>\r\n\r\n<p>zwei</p>"
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n".encode() + page.encode("latin-1")
+    members = spark.createDataFrame([(m,) for m in (
+        member("response", "<urn:a>", http), member("request", "<urn:b>", b"GET / HTTP/1.1\r\n\r\n"),
+        member("response", "<urn:c>", b"no http"), b"not gzip", b"", None)], "member binary")
+    found = warc.responses(members)
+    row, = found.collect()
+    assert (row.record_id, row.payload_digest, row.payload) == ("<urn:a>", "sha1:OWN", page)
+    records = warc.derived(found, "record_id", "record_id", "payload_digest").collect()
+    assert {r.refers_to for r in records} == {"<urn:a>"} and {r.source_payload_digest for r in records} == {"sha1:OWN"}
+    assert {r.block for r in records if r.warc_type == "conversion"} == {"Grüße\nzwei"}
+    assert warc.responses(members.limit(0)).count() == 0
+
+
 def plain_fingerprint(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -357,5 +378,29 @@ def test_stages_take_odd_rows(spark, odd, empty):
         assert stage(spark, empty, FOLDER).count() == 0
 
 
+def test_columns_of_any_name_keep_their_values(spark, odd):
+    extra = ["a.b", "_kept_key", "_leak_key", "_quality_score", "_key", "_own", "row`s", "Score"]
+    docs = odd
+    for name in extra:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    own = licenses.scan(docs.withColumn("path", F.col("source")))
+    for out in [stage(spark, docs, FOLDER) for _, stage in corpus_pipeline.STAGES[:-1]] + [own]:
+        names = [x for x in out.columns if x in extra]
+        assert names == [x for x in extra if x in names] and len(names) >= len(extra) - 1
+        for row in out.collect():
+            for name in names:
+                assert row[name] == f"{name}{'-' if row.doc_id is None else row.doc_id}"
+
+
+def test_the_fit_reads_one_row_of_each_labelled_id(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"plain prose number {i}" if i % 2 else f"##{i}## $$ !!") for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = nbsvm.fit(docs, labels)
+    copies = nbsvm.fit(docs.union(docs.where(f"doc_id = {ids[0]}").crossJoin(spark.range(500)).drop("id")), labels)
+    assert np.array_equal(once.weights, copies.weights) and once.slope == copies.slope
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
