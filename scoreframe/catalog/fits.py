@@ -64,6 +64,20 @@ def m4(st):
     return rounded(table, "estimate")
 
 
+@query("m4_coefficient_statistics", """
+WITH m AS (SELECT regr_slope(score, tax) AS b, regr_intercept(score, tax) AS a, regr_sxx(score, tax) AS sxx, regr_avgx(score, tax) AS mx,
+  (regr_syy(score, tax) - regr_slope(score, tax) * regr_sxy(score, tax)) / (regr_count(score, tax) - 2) AS s2,
+  CAST(regr_count(score, tax) AS DOUBLE) AS n, regr_r2(score, tax) AS r2 FROM ratings),
+t AS (SELECT 'tax' AS term, b AS estimate, sqrt(s2 / sxx) AS std_error, r2, CAST(n - 2 AS BIGINT) AS df FROM m
+  UNION ALL SELECT '(Intercept)', a, sqrt(s2 * (1 / n + mx * mx / sxx)), r2, CAST(n - 2 AS BIGINT) FROM m)
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(estimate / std_error, 4) AS t,
+  round(r2, 6) AS r2, df FROM t""")
+def m4_statistics(st):
+    """Standard errors and t of the score's line; p, which SQL lacks, is held to an integral in the tests."""
+    table = regression.coefficient_statistics(st.ratings.dropna(subset=["score", "tax"]).select("score", "tax"), "score ~ tax")
+    return rounded(table, "estimate", "std_error", "r2").withColumn("t", F.round("t", 4)).drop("p")
+
+
 RESIDUAL_SQL = """c AS (SELECT *, theta - avg(theta) OVER w AS dy, interview_score - avg(interview_score) OVER w AS dz,
     student_theta - avg(student_theta) OVER w AS dx FROM person_scores WHERE interview_score IS NOT NULL WINDOW w AS (PARTITION BY trait)),
 r AS (SELECT person, grp, trait, dy - dx * (sum(dx * dy) OVER () / sum(dx * dx) OVER ()) AS resid_theta,

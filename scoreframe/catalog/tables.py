@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +102,42 @@ def s7(st):
         F.count(F.lit(1)).alias("n_draws"), F.sum("value").alias("total"))
 
 
+def landed(df, name: str, above: list[str]) -> str:
+    """``df`` as CSV text files that each open with the lines ``above``; the folder's path."""
+    path = f"{scratch_root(df.sparkSession)}/{name}.csv"
+    lines = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
+    opened = lines.mapInPandas(lambda parts: chain([pd.DataFrame({"value": above})], parts), "value string")
+    opened.write.text(path)
+    return path
+
+
+@query("s1_csv_skip", """
+SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS qty, count(*) FILTER (l_linenumber > 3) AS n_later
+FROM lineitem GROUP BY l_returnflag""")
+def s1_csv(st):
+    """Text columns read by a compact type string, below a line that is not part of the table."""
+    names = ["l_returnflag", "l_quantity", "l_later"]
+    lines = st.table("lineitem").select("l_returnflag", "l_quantity", (F.col("l_linenumber") > 3).alias("l_later"))
+    path = landed(lines, "lines", ["Exported answers", ",".join(names)])
+    rows = scan.scan_table(st.spark, path, scan.typed_schema(names, "cnl"), skip=1)
+    return rows.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"), F.count_if("l_later").alias("n_later"))
+
+
+@query("s7_draws_csv", """
+SELECT l_linenumber AS i, 1 AS c, count(*) AS n_draws, sum(v) AS total
+FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS v FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+def s7_csv(st):
+    """Draws from text files with comment lines above the header."""
+    cells = [F.max(F.when(F.col("l_linenumber") == i, F.col("l_quantity"))).alias(f"cell{i}") for i in range(1, 8)]
+    wide = st.table("lineitem").groupBy(F.col("l_orderkey").alias("draw")).agg(*cells)
+    names = ["draw", *(f"theta.{i}.1" for i in range(1, 8))]
+    path = landed(wide, "draws", ["# model = choices", "# method = sample", ",".join(names)])
+    long = scan.scan_draws(st.spark, path, names, "theta", ["draw"])
+    return long.filter("value IS NOT NULL").groupBy("i", "c").agg(
+        F.count(F.lit(1)).alias("n_draws"), F.sum("value").alias("total"))
+
+
 @query("k1_publish_scores", """
 SELECT person, grp, trait, theta FROM person_scores""")
 def k1(st):

@@ -50,21 +50,40 @@ def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
     return zscore(df, columns, [])
 
 
-def fit_formula(df: DataFrame, formula: str) -> tuple[DataFrame, DataFrame]:
-    """Ordinary least squares: (coefficient table, rows with fitted and residual).
-
-    Nominal terms drop their alphabetically first category. The normal equations are
-    summed in one pass over the rows.
-    """
+def _solved(df: DataFrame, formula: str):
+    """Design rows, the solved model and its terms in order, the intercept left out."""
     design = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc",
                       featuresCol="__features", labelCol="__label", handleInvalid="error")
     matrix = design.fit(df).transform(df)
     model = LinearRegression(featuresCol="__features", labelCol="__label", predictionCol="fitted",
                              regParam=0.0, solver="normal").fit(matrix)
     attributes = matrix.schema["__features"].metadata["ml_attr"]["attrs"]
-    named = sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)
+    return matrix, model, [name for _, name in sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)]
+
+
+def coefficient_statistics(df: DataFrame, formula: str) -> DataFrame:
+    """Per term: estimate, std_error, t, p, and the fit's r2 and residual df.
+
+    The terms must be linearly independent and fewer than the rows.
+    """
+    _, model, terms = _solved(df, formula)
+    found = model.summary
+    values = zip([*terms, "(Intercept)"], [*model.coefficients, model.intercept],
+                 found.coefficientStandardErrors, found.tValues, found.pValues)
+    rows = [(term, *map(float, numbers), float(found.r2), int(found.degreesOfFreedom)) for term, *numbers in values]
+    return df.sparkSession.createDataFrame(
+        rows, "term string, estimate double, std_error double, t double, p double, r2 double, df long")
+
+
+def fit_formula(df: DataFrame, formula: str) -> tuple[DataFrame, DataFrame]:
+    """Ordinary least squares: (coefficient table, rows with fitted and residual).
+
+    Nominal terms drop their alphabetically first category. The normal equations are
+    summed in one pass over the rows.
+    """
+    matrix, model, terms = _solved(df, formula)
     rows = [("(Intercept)", float(model.intercept))]
-    rows += [(name, float(model.coefficients[i])) for i, name in named]
+    rows += [(name, float(b)) for name, b in zip(terms, model.coefficients)]
     table = df.sparkSession.createDataFrame(rows, "term string, estimate double")
     fitted = model.transform(matrix).withColumn("residual", F.col("__label") - F.col("fitted"))
     return table, fitted.drop("__features", "__label")

@@ -266,3 +266,22 @@ def test_shuffled_columns_keep_their_values(spark):
     out = proximity.shuffled_columns(people, "id", ["kind", "size"])
     assert sorted(r.size for r in out.collect()) == [float(i) for i in range(30)]
     assert out.groupBy("kind").count().filter("count = 10").count() == 3
+
+
+def test_coefficient_statistics_match_the_normal_equations(spark):
+    random = np.random.default_rng(5)
+    x, g = random.normal(100.0, 2.0, 40), np.arange(40) % 3
+    y = 2.0 + 0.3 * x + 0.5 * (g == 1) + random.normal(size=40)
+    rows = [(float(a), "abc"[b], float(c)) for a, b, c in zip(x, g, y)]
+    got = {r.term: r for r in regression.coefficient_statistics(
+        spark.createDataFrame(rows, "x double, g string, y double"), "y ~ x + g").collect()}
+    design = np.stack([np.ones(40), x, g == 1, g == 2], axis=1).astype(float)
+    beta, rest = np.linalg.lstsq(design, y, rcond=None)[:2]
+    error = np.sqrt(rest[0] / 36 * np.diag(np.linalg.inv(design.T @ design)))
+    at = np.linspace(0.0, 400.0, 4_000_001)
+    density = (1 + at**2 / 36) ** -18.5
+    for term, b, e in zip(["(Intercept)", "x", "g_b", "g_c"], beta, error):
+        row = got[term]
+        assert np.allclose([row.estimate, row.std_error, row.t], [b, e, b / e], rtol=1e-5)
+        assert abs(row.p - density[at >= abs(b / e)].sum() / density.sum()) < 1e-4
+        assert row.df == 36 and np.isclose(row.r2, 1 - rest[0] / ((y - y.mean()) ** 2).sum())
