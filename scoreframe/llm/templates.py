@@ -2,9 +2,10 @@
 
 Texts are made templates: numbers, units after numbers and names (capitalised words inside
 a sentence) become typed placeholders, other words are lower-cased and lose punctuation.
-Windows of ``window`` template tokens with at least ``literal`` plain words are joined by
-hash with the windows of the benchmark items (an item shorter than a window is one window),
-and then compared token by token. Windows of a document and an item on one diagonal belong
+Windows of ``window`` template tokens are joined by hash with the windows of the benchmark
+items (an item shorter than a window is one window), and then compared token by token. In a
+window with fewer than ``literal`` plain words the placeholders keep their values, so dense
+numbers or names match as they stand and never by their pattern alone. Windows of a document and an item on one diagonal belong
 to one copy. A copy counts if it covers ``share`` of the item's tokens, or ``run`` tokens in
 a row, and its slots are consistent: each value of the item stands for one value of the
 document and the other way round. So a question with its numbers changed is found, and two
@@ -38,6 +39,7 @@ SHARE, RUN = 0.5, 16
 BITMAP = 24
 
 NUMBER, UNIT, NAME = b"\x01", b"\x02", b"\x03"
+SLOTS = frozenset((NUMBER, UNIT, NAME))
 #: Units of measure and money, fixed values.
 UNITS = ("%", "°C", "°F", "km/h", "kWh", "km", "kg", "cm", "mm", "ml", "mg", "mph", "min", "hours", "hour", "days", "day",
          "years", "year", "meters", "metres", "miles", "feet", "dollars", "euros", "cents", "USD", "EUR", "m", "g", "s", "h", "l")
@@ -91,13 +93,24 @@ def window_hashes(tokens: list[bytes], window: int) -> np.ndarray:
     return out
 
 
-def _rows(key, tokens: list[bytes], values: list[str], hashes: np.ndarray, places: np.ndarray, window: int, literal: int) -> Iterator[tuple]:
-    slots = np.array([t in (NUMBER, UNIT, NAME) for t in tokens], dtype=np.int64)
-    before = np.r_[0, np.cumsum(slots)]
+def exact_tokens(tokens: list[bytes], values: list[str]) -> list[bytes]:
+    """The tokens, each placeholder followed by its value."""
+    left = iter(values)
+    return [t + next(left).encode("utf-8", "surrogatepass") if t in SLOTS else t for t in tokens]
+
+
+def _rows(key, tokens: list[bytes], values: list[str], window: int, literal: int, marked: np.ndarray | None) -> Iterator[tuple]:
+    """The windows of one text, or those of them whose hash is marked."""
+    before = np.r_[0, np.cumsum(np.fromiter((t in SLOTS for t in tokens), dtype=np.int64, count=len(tokens)))]
+    dense = window - (before[window:] - before[:-window]) < min(literal, window)
+    hashes, exact = window_hashes(tokens, window), tokens
+    if dense.any():
+        exact = exact_tokens(tokens, values)
+        hashes = np.where(dense, window_hashes(exact, window), hashes)
+    places = np.arange(len(hashes)) if marked is None else np.flatnonzero(marked[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)])
     for p in places.tolist():
-        lo, hi = before[p], before[p + window]
-        if window - (hi - lo) >= min(literal, window):
-            yield key, int(hashes[p].view(np.int64)), p, b" ".join(tokens[p:p + window]), values[lo:hi], window
+        own, slots = (exact, []) if dense[p] else (tokens, values[before[p]:before[p + window]])
+        yield key, int(hashes[p].view(np.int64)), p, b" ".join(own[p:p + window]), slots, window
 
 
 def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, literal: int) -> DataFrame:
@@ -121,11 +134,8 @@ def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, liter
                 for width in [min(window, len(tokens))] if marks is None else bits:
                     if not width or len(tokens) < width:
                         continue
-                    hashes = window_hashes(tokens, width)
-                    places = np.arange(len(hashes)) if marks is None else np.flatnonzero(
-                        bits[width][(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)])
-                    if len(places):
-                        out += [(*row, len(tokens)) for row in _rows(key, tokens, values, hashes, places, width, literal)]
+                    marked = None if marks is None else bits[width]
+                    out += [(*row, len(tokens)) for row in _rows(key, tokens, values, width, literal, marked)]
             kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.int32(), pa.int32()]
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)

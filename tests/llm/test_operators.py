@@ -202,6 +202,17 @@ def test_reparameterised_questions_are_leaks_if_slots_agree(spark):
     assert sorted(r.doc_id for r in templates.without_leaks(docs, items).collect()) == [2, 3, 4]
 
 
+def test_items_of_numbers_and_names_are_found_as_they_stand(spark):
+    texts = ["Compute 12 + 7 * 3 - 4 / 2 + 9", "What is 12 + 7", "12 + 7", "then Anna, Ben, Carl, Dora, Emil, Fritz, Gustav, Hanna, Ida and Jakob went"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([
+        (0, "Task. Compute 12 + 7 * 3 - 4 / 2 + 9"), (1, "Task. What is 12 + 7"), (3, "And " + texts[3]),
+        (4, "Task. Compute 13 + 6 * 2 - 5 / 3 + 8"), (5, "then Otto, Paul, Ruth, Sven, Tina, Uwe, Vera, Walter, Xaver and Yvonne went")],
+        "doc_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()}
+    assert found == {(0, 0), (0, 2), (1, 1), (1, 2), (3, 3)}
+
+
 def test_leaks_match_plain_word_windows(spark, documents):
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
