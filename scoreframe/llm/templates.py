@@ -6,10 +6,12 @@ Windows of ``window`` template tokens are joined by hash with the windows of the
 items (an item shorter than a window is one window), and then compared token by token. In a
 window with fewer than ``literal`` plain words the placeholders keep their values, so dense
 numbers or names match as they stand and never by their pattern alone. Windows of a document and an item on one diagonal belong
-to one copy. A copy counts if it covers ``share`` of the item's tokens, or ``run`` tokens in
-a row, and its slots are consistent: each value of the item stands for one value of the
-document and the other way round. So a question with its numbers changed is found, and two
-texts that only share a pattern of numbers are not.
+to one copy. A copy counts if it covers ``share`` of the item's tokens, or ``run`` tokens, and
+its changed slots are consistent: each value of the item that changed stands for one value of
+the document and the other way round. So a question with its numbers changed is found, and
+two texts that only share a pattern of numbers are not. Where changed slots clash, windows
+that are the same, values included, still count as a copy of their own, and so does the
+longest consistent stretch with them, by its unchanged tokens alone and from ``run`` on.
 
 The item windows' hashes are marked in a bitmap of fixed size (``1 << BITMAP`` bits), which
 is all that is sent to every task; document windows it lets through are joined by key, so
@@ -24,7 +26,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +159,90 @@ def _marks(windows: DataFrame) -> dict[int, bytes]:
     return {width: words.tobytes() for width, words in out.items()}
 
 
+class Pair(NamedTuple):
+    """A window of an item that a document has too: its place and its changed slots."""
+
+    place: int
+    changed: dict[int, tuple[str, str]]  # place in the item: value there and in the document
+
+
+def pair_of(place: int, template: bytes, item_slots: list[str], slots: list[str]) -> Pair:
+    at = [place + k for k, t in enumerate(template.split(b" ")) if t in SLOTS]
+    return Pair(place, {p: (x, y) for p, x, y in zip(at, item_slots, slots, strict=False) if x != y})
+
+
+def one_to_one(values: set[tuple[str, str]]) -> bool:
+    return len({x for x, _ in values}) == len({y for _, y in values}) == len(values)
+
+
+def covered(pairs: list[Pair], width: int) -> int:
+    """Tokens of the item in windows sorted by place."""
+    return sum(min(width, after.place - own.place) for own, after in zip(pairs, pairs[1:], strict=False)) + (width if pairs else 0)
+
+
+def longest_consistent(pairs: list[Pair], width: int) -> list[Pair]:
+    """The windows in a row, sorted by place, whose changed slots agree and that have most unchanged tokens."""
+    reach = np.cumsum([0, *(min(width, b.place - a.place) for a, b in zip(pairs, pairs[1:], strict=False))])
+    changed = sorted({p for x in pairs for p in x.changed})
+    best, chosen, low = 0, (0, 0), 0
+    there: dict[str, Counter] = defaultdict(Counter)
+    back: dict[str, Counter] = defaultdict(Counter)
+    for high, pair in enumerate(pairs):
+        own = set(pair.changed.values())
+        for x, y in own:
+            there[x][y] += 1
+            back[y][x] += 1
+        while low <= high and any(len(there[x]) > 1 or len(back[y]) > 1 for x, y in own):
+            for x, y in set(pairs[low].changed.values()):
+                for counts, key, value in ((there, x, y), (back, y, x)):
+                    counts[key][value] -= 1
+                    if not counts[key][value]:
+                        del counts[key][value]
+            low += 1
+        if low <= high:
+            lost = bisect_left(changed, pair.place + width) - bisect_left(changed, pairs[low].place)
+            same = int(reach[high] - reach[low]) + width - lost
+            if same > best:
+                best, chosen = same, (low, high + 1)
+    return pairs[slice(*chosen)]
+
+
+def judge(pairs: list[Pair], width: int, tokens: int, share: float, run: int) -> tuple[int, int] | None:
+    """(tokens matched, changed slots) of the windows of one copy, or None if they make no copy."""
+    values = {v for x in pairs for v in x.changed.values()}
+    matched, changed = covered(pairs, width), len(values)
+    if not one_to_one(values):
+        same = [x for x in pairs if not x.changed]
+        matched, changed = covered(same, width), 0
+        longest = longest_consistent(pairs, width)
+        joined = sorted({x.place: x for x in (*same, *longest)}.values(), key=lambda x: x.place)
+        unchanged = covered(joined, width) - len({p for x in longest for p in x.changed})
+        if unchanged >= run and unchanged > matched:
+            matched, changed = unchanged, len({v for x in longest for v in x.changed.values()})
+    return (matched, changed) if matched >= run or matched >= share * tokens else None
+
+
+def _judged(copies: DataFrame, share: float, run: int) -> DataFrame:
+    """(id, item, matched, item_tokens, changed_slots) of the rows that make a copy."""
+    names = ["id", "item", "matched", "item_tokens", "changed_slots"]
+    kinds = {x: copies.schema[x].dataType.simpleString() for x in ("id", "item")}
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                pairs = [pair_of(**x) for x in row["windows"]]
+                found = judge(pairs, row["width"], row["item_tokens"], share, run)
+                if found:
+                    out.append((row["id"], row["item"], found[0], row["item_tokens"], found[1]))
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, *[pa.int32()] * 3]
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return copies.select("id", "item", "item_tokens", "width", "windows").mapInArrow(
+        of_batches, f"id {kinds['id']}, item {kinds['item']}, matched int, item_tokens int, changed_slots int")
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_column: str = "item_id",
           window: int = WINDOW, literal: int = LITERAL, share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc id, item id, tokens matched, share of the item, changed slots) of each pair with a copy."""
@@ -165,20 +254,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
     asked = of_items.select(F.col("id").alias("item"), "hash", "width", F.col("template").alias("item_template"),
                             F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
     pairs = found.drop("tokens").join(asked, ["hash", "width"]).where("template = item_template")
+    window_pair = F.struct(F.col("item_place").alias("place"), "template", "item_slots", "slots")
     copies = pairs.groupBy("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_tokens", "width").agg(
-        F.sort_array(F.collect_set("item_place")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("slots"))
-    covered = F.aggregate(
-        F.transform("places", lambda p, k: F.least(F.col("width"), F.coalesce(F.get("places", k + 1) - p, F.col("width")))),
-        F.lit(0), lambda total, n: total + n)
-
-    def kinds(field: str):
-        return F.size(F.array_distinct(F.transform("slots", lambda x: x[field])))
-
-    same = (kinds("item_slots") == F.size("slots")) & (kinds("slots") == F.size("slots"))
-    changed = F.size(F.filter("slots", lambda x: x["item_slots"] != x["slots"]))
-    copies = copies.where(same).select("id", "item", covered.alias("matched"), "item_tokens", changed.alias("changed_slots"))
-    copies = copies.where((F.col("matched") >= run) | (F.col("matched") >= share * F.col("item_tokens")))
+        F.sort_array(F.collect_set(window_pair)).alias("windows"))
+    copies = _judged(copies, share, run)
     best = copies.groupBy("id", "item").agg(F.max(F.struct("matched", "item_tokens", "changed_slots")).alias("best"))
     return best.select(
         F.col("id").alias(id_column), F.col("item").alias(item_column), F.col("best.matched").alias("matched_tokens"),

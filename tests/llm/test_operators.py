@@ -213,6 +213,18 @@ def test_items_of_numbers_and_names_are_found_as_they_stand(spark):
     assert found == {(0, 0), (0, 2), (1, 1), (1, 2), (3, 3)}
 
 
+def test_one_clashing_value_does_not_hide_the_rest_of_a_copy(spark):
+    filler = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    texts = [f"she counted 45 apples here and 45 pears there then {filler}", f"she counted 5 apples here and 3 pears there then {filler}",
+             f"{filler} he paid 7 coins to all the men and 7 coins to all the women and then he left the town and never came back there"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([
+        (0, texts[0].replace("45 pears", "46 pears")), (1, texts[1].replace("5 apples", "4 apples").replace("3 pears", "4 pears")),
+        (2, "unlike " + texts[2].removeprefix(filler).replace("7 coins", "8 coins", 1).replace("7 coins", "9 coins", 1))], "doc_id int, text string")
+    found = {(r.doc_id, r.item_id): r.changed_slots for r in templates.leaks(docs, items).collect()}
+    assert {(0, 0), (1, 1), (2, 2)} <= set(found) and found[0, 0] == 1
+
+
 def test_leaks_match_plain_word_windows(spark, documents):
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
