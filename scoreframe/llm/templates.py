@@ -1,12 +1,16 @@
 """Benchmark decontamination that sees through changed numbers, names and units.
 
-Texts are made templates: numbers, units after numbers and names (capitalised words inside
-a sentence) become typed placeholders, other words are lower-cased and lose punctuation.
+Texts are made templates: numbers and units after numbers become typed placeholders, other
+words are lower-cased and lose punctuation. Whether a capitalised word is a name depends on
+what stands before it, which a copy need not keep. So each window has up to three forms, on
+both sides: no word a name (any case matches), capitalised words inside a sentence as names,
+and all capitalised words as names.
 Windows of ``window`` template tokens are joined by hash with the windows of the benchmark
 items (an item shorter than a window is one window), and then compared token by token. In a
 window with fewer than ``literal`` plain words the placeholders keep their values, so dense
-numbers or names match as they stand and never by their pattern alone. Windows of a document and an item on one diagonal belong
-to one copy. A copy counts if it covers ``share`` of the item's tokens, or ``run`` tokens, and
+numbers match as they stand and never by their pattern alone. Windows of a document and an item on one diagonal belong
+to one copy, and so do those on diagonals ``SHIFT`` apart or less, as a name of two words for
+one of one word moves the rest. A copy counts if it covers ``share`` of the item's tokens, or ``run`` tokens, and
 its changed slots are consistent: each value of the item that changed stands for one value of
 the document and the other way round. So a question with its numbers changed is found, and
 two texts that only share a pattern of numbers are not. Where changed slots clash, windows
@@ -41,10 +45,14 @@ from scoreframe.session import cut_lineage
 
 WINDOW, LITERAL = 8, 4
 SHARE, RUN = 0.5, 16
+SHIFT = 2
 BITMAP = 24
 
 NUMBER, UNIT, NAME = b"\x01", b"\x02", b"\x03"
 SLOTS = frozenset((NUMBER, UNIT, NAME))
+FIRST = b"\x04"  # before a capitalised word that need not be a name
+#: The kinds of slots: the bytes above. A form of a text has the slots up to a kind.
+FORMS = PLAIN, INSIDE, ALL = 2, 3, 4
 #: Units of measure and money, fixed values.
 UNITS = ("%", "°C", "°F", "km/h", "kWh", "km", "kg", "cm", "mm", "ml", "mg", "mph", "min", "hours", "hour", "days", "day",
          "years", "year", "meters", "metres", "miles", "feet", "dollars", "euros", "cents", "USD", "EUR", "m", "g", "s", "h", "l")
@@ -53,17 +61,17 @@ UNITS = ("%", "°C", "°F", "km/h", "kWh", "km", "kg", "cm", "mm", "ml", "mg", "
 def slot_pattern() -> re.Pattern:
     unit = "|".join(re.escape(u) for u in UNITS)
     return re.compile(rf"[$€£]?(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>{unit})(?!\w))?"
-                      r"|(?<=[\w,;:] )(?P<name>[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+)(?!\w)")
+                      r"|(?<!\w)(?P<name>[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+)(?!\w)")
 
 
 def separators() -> bytes:
     """ASCII characters that are no letter, digit or placeholder become blanks."""
-    keep = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\x01\x02\x03") | set(range(128, 256))
+    keep = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\x01\x02\x03\x04") | set(range(128, 256))
     return bytes(c if c in keep else 32 for c in range(256))
 
 
 class Templates:
-    """Template tokens and slot values of texts; one instance serves one task."""
+    """Tokens, their kinds and the slots' values of texts; one instance serves one task."""
 
     def __init__(self) -> None:
         self.pattern, self.table = slot_pattern(), separators()
@@ -73,23 +81,31 @@ class Templates:
         number, unit, name = m.group("number", "unit", "name")
         if name:
             self.values.append(name)
-            return " \x03 "
+            start = m.start()
+            before = m.string[max(start - 2, 0):start]
+            inside = len(before) == 2 and before[1] == " " and (before[0] in "_,;:" or before[0].isalnum())
+            return f" \x03{name}" if inside else f" \x04{name}"
         self.values.append(number)
         if unit:
             self.values.append(unit)
             return " \x01 \x02 "
         return " \x01 "
 
-    def __call__(self, text: str) -> tuple[list[bytes], list[str]]:
+    def __call__(self, text: str) -> tuple[list[bytes], np.ndarray, list[str]]:
         self.values = []
-        if min(text) < "\x04":
-            text = re.sub("[\x01-\x03]", " ", text)
-        found = self.pattern.sub(self._placeholder, text)
-        return found.lower().encode("utf-8", "surrogatepass").translate(self.table).split(), self.values
+        if min(text) < "\x05":
+            text = re.sub("[\x01-\x04]", " ", text)
+        found = self.pattern.sub(self._placeholder, text).lower().encode("utf-8", "surrogatepass").translate(self.table)
+        shown = np.frombuffer(b" " + found, dtype=np.uint8)
+        kinds = shown[1:][(shown[:-1] == 32) & (shown[1:] != 32)]
+        return found.translate(None, NAME + FIRST).split(), np.where(kinds <= ALL, kinds, 0), self.values
 
 
-def window_hashes(tokens: list[bytes], window: int) -> np.ndarray:
-    ids = np.fromiter(map(zlib.crc32, tokens), dtype=np.uint64, count=len(tokens))
+def token_ids(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def window_hashes(ids: np.ndarray, window: int) -> np.ndarray:
     n = len(ids) - window + 1
     out = np.full(max(n, 0), np.uint64(window))
     for i in range(window if n > 0 else 0):
@@ -98,34 +114,64 @@ def window_hashes(tokens: list[bytes], window: int) -> np.ndarray:
     return out
 
 
-def exact_tokens(tokens: list[bytes], values: list[str]) -> list[bytes]:
-    """The tokens, each placeholder followed by its value."""
-    left = iter(values)
-    return [t + next(left).encode("utf-8", "surrogatepass") if t in SLOTS else t for t in tokens]
-
-
-def _rows(key, tokens: list[bytes], values: list[str], window: int, literal: int, marked: np.ndarray | None) -> Iterator[tuple]:
-    """The windows of one text, or those of them whose hash is marked."""
-    before = np.r_[0, np.cumsum(np.fromiter((t in SLOTS for t in tokens), dtype=np.int64, count=len(tokens)))]
-    dense = window - (before[window:] - before[:-window]) < min(literal, window)
-    hashes, exact = window_hashes(tokens, window), tokens
-    if dense.any():
-        exact = exact_tokens(tokens, values)
-        hashes = np.where(dense, window_hashes(exact, window), hashes)
-    places = np.arange(len(hashes)) if marked is None else np.flatnonzero(marked[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)])
-    for p in places.tolist():
-        own, slots = (exact, []) if dense[p] else (tokens, values[before[p]:before[p + window]])
-        yield key, int(hashes[p].view(np.int64)), p, b" ".join(own[p:p + window]), slots, window
+def in_windows(chosen: np.ndarray, window: int) -> np.ndarray:
+    """How many tokens of each window are chosen."""
+    before = np.r_[0, np.cumsum(chosen)]
+    return before[window:] - before[:-window]
+
+
+class Forms:
+    """The forms of one text: their tokens and hashes are made when they are asked for."""
+
+    def __init__(self, tokens: list[bytes], kinds: np.ndarray, values: list[str]) -> None:
+        self.tokens, self.kinds, self.values = tokens, kinds, values
+        self.ids = token_ids(tokens)
+        self.value = np.cumsum(kinds > 0) - 1
+        self.exact: list[bytes] | None = None
+
+    def exact_tokens(self) -> list[bytes]:
+        """The tokens, each number and unit followed by its value."""
+        if self.exact is None:
+            self.exact = self.tokens[:]
+            for k in np.flatnonzero((self.kinds > 0) & (self.kinds <= PLAIN)).tolist():
+                self.exact[k] += self.values[self.value[k]].encode("utf-8", "surrogatepass")
+        return self.exact
+
+    def rows(self, key, window: int, literal: int, marked: np.ndarray | None) -> Iterator[tuple]:
+        """The windows of all forms, or those of them whose hash is marked; a form equal to one before it is left out."""
+        for form in FORMS:
+            few = window - in_windows((self.kinds > 0) & (self.kinds <= form), window) < min(literal, window)
+            if form == PLAIN:
+                hashes = window_hashes(self.ids, window)
+                if few.any():
+                    hashes = np.where(few, window_hashes(token_ids(self.exact_tokens()), window), hashes)
+                own = np.full(len(hashes), True)
+            else:
+                own = (in_windows(self.kinds == form, window) > 0) & ~few
+                if not own.any():
+                    continue
+                named = (self.kinds > PLAIN) & (self.kinds <= form)
+                hashes = window_hashes(np.where(named, np.uint64(zlib.crc32(NAME)), self.ids), window)
+            if marked is not None:
+                own &= marked[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)].astype(bool)
+            for p in np.flatnonzero(own).tolist():
+                if form == PLAIN and few[p]:
+                    template, slots = self.exact_tokens()[p:p + window], []
+                else:
+                    kinds = self.kinds[p:p + window].tolist()
+                    template = [NAME if PLAIN < k <= form else t for t, k in zip(self.tokens[p:p + window], kinds, strict=True)]
+                    slots = [self.values[self.value[p + k]] for k, kind in enumerate(kinds) if 0 < kind <= form]
+                yield key, int(hashes[p].view(np.int64)), p, b" ".join(template), slots, window, form, len(self.tokens)
 
 
 def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, literal: int) -> DataFrame:
-    """(id, hash, place, template, slots, width, tokens) of the windows of (id, text) rows.
+    """(id, hash, place, template, slots, width, form, tokens) of the windows of (id, text) rows.
 
     Without ``marks`` all windows of an item, a short item as one; with them, for each of
     their widths, the windows whose hash is marked.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "hash", "place", "template", "slots", "width", "tokens"]
+    names = ["id", "hash", "place", "template", "slots", "width", "form", "tokens"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Templates()
@@ -135,17 +181,18 @@ def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, liter
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                tokens, values = make(text)
+                tokens, kinds, values = make(text)
+                forms = Forms(tokens, kinds, values)
                 for width in [min(window, len(tokens))] if marks is None else bits:
                     if not width or len(tokens) < width:
                         continue
                     marked = None if marks is None else bits[width]
-                    out += [(*row, len(tokens)) for row in _rows(key, tokens, values, width, literal, marked)]
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    out += forms.rows(key, width, literal, marked)
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), *[pa.int32()] * 3]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return rows.mapInArrow(of_batches, f"id {kind}, hash bigint, place int, template binary, slots array<string>, width int, tokens int")
+    return rows.mapInArrow(of_batches, f"id {kind}, hash bigint, place int, template binary, slots array<string>, width int, form int, tokens int")
 
 
 def _marks(windows: DataFrame) -> dict[int, bytes]:
@@ -160,15 +207,16 @@ def _marks(windows: DataFrame) -> dict[int, bytes]:
 
 
 class Pair(NamedTuple):
-    """A window of an item that a document has too: its place and its changed slots."""
+    """A window of an item that a document has too: its place, its changed slots and the wider form of the two."""
 
     place: int
     changed: dict[int, tuple[str, str]]  # place in the item: value there and in the document
+    form: int
 
 
-def pair_of(place: int, template: bytes, item_slots: list[str], slots: list[str]) -> Pair:
+def pair_of(place: int, template: bytes, item_slots: list[str], slots: list[str], form: int) -> Pair:
     at = [place + k for k, t in enumerate(template.split(b" ")) if t in SLOTS]
-    return Pair(place, {p: (x, y) for p, x, y in zip(at, item_slots, slots, strict=False) if x != y})
+    return Pair(place, {p: (x, y) for p, x, y in zip(at, item_slots, slots, strict=False) if x != y}, form)
 
 
 def one_to_one(values: set[tuple[str, str]]) -> bool:
@@ -222,6 +270,28 @@ def judge(pairs: list[Pair], width: int, tokens: int, share: float, run: int) ->
     return (matched, changed) if matched >= run or matched >= share * tokens else None
 
 
+def judged(diagonals: list[tuple[int, list[Pair]]], width: int, tokens: int, share: float, run: int) -> tuple[int, int] | None:
+    """The best copy on one diagonal or on neighbouring ones, with all forms or without the widest."""
+    chains: list[list[list[Pair]]] = []
+    last = None
+    for diagonal, pairs in sorted(diagonals, key=lambda x: x[0]):
+        if last is None or diagonal - last > SHIFT:
+            chains.append([])
+        chains[-1].append(pairs)
+        last = diagonal
+    best = None
+    for chain in chains:
+        for pairs in (*chain, *([[x for own in chain for x in own]] if len(chain) > 1 else [])):
+            narrow = [x for x in pairs if x.form < ALL]
+            for some in (pairs, narrow) if len(narrow) < len(pairs) else (pairs,):
+                # of the pairs at one place the one that changed least
+                at = {x.place: x for x in sorted(some, key=lambda x: -len(x.changed))}
+                found = judge([at[p] for p in sorted(at)], width, tokens, share, run)
+                if found and (best is None or found[0] > best[0] or found[0] == best[0] and found[1] < best[1]):
+                    best = found
+    return best
+
+
 def _judged(copies: DataFrame, share: float, run: int) -> DataFrame:
     """(id, item, matched, item_tokens, changed_slots) of the rows that make a copy."""
     names = ["id", "item", "matched", "item_tokens", "changed_slots"]
@@ -231,15 +301,15 @@ def _judged(copies: DataFrame, share: float, run: int) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                pairs = [pair_of(**x) for x in row["windows"]]
-                found = judge(pairs, row["width"], row["item_tokens"], share, run)
+                diagonals = [(x["diagonal"], [pair_of(**w) for w in x["windows"]]) for x in row["diagonals"]]
+                found = judged(diagonals, row["width"], row["item_tokens"], share, run)
                 if found:
                     out.append((row["id"], row["item"], found[0], row["item_tokens"], found[1]))
             types = [batch.schema.field(0).type, batch.schema.field(1).type, *[pa.int32()] * 3]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return copies.select("id", "item", "item_tokens", "width", "windows").mapInArrow(
+    return copies.select("id", "item", "item_tokens", "width", "diagonals").mapInArrow(
         of_batches, f"id {kinds['id']}, item {kinds['item']}, matched int, item_tokens int, changed_slots int")
 
 
@@ -252,12 +322,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_col
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
     found = _windows(rows, _marks(of_items), window, literal)
     asked = of_items.select(F.col("id").alias("item"), "hash", "width", F.col("template").alias("item_template"),
-                            F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
+                            F.col("place").alias("item_place"), F.col("form").alias("item_form"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
     pairs = found.drop("tokens").join(asked, ["hash", "width"]).where("template = item_template")
-    window_pair = F.struct(F.col("item_place").alias("place"), "template", "item_slots", "slots")
+    window_pair = F.struct(F.col("item_place").alias("place"), "template", "item_slots", "slots", F.greatest("item_form", "form").alias("form"))
     copies = pairs.groupBy("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_tokens", "width").agg(
-        F.sort_array(F.collect_set(window_pair)).alias("windows"))
-    copies = _judged(copies, share, run)
+        F.collect_set(window_pair).alias("windows"))
+    copies = _judged(copies.groupBy("id", "item", "item_tokens", "width").agg(
+        F.sort_array(F.collect_list(F.struct("diagonal", "windows"))).alias("diagonals")), share, run)
     best = copies.groupBy("id", "item").agg(F.max(F.struct("matched", "item_tokens", "changed_slots")).alias("best"))
     return best.select(
         F.col("id").alias(id_column), F.col("item").alias(item_column), F.col("best.matched").alias("matched_tokens"),

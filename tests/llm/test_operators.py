@@ -225,6 +225,21 @@ def test_one_clashing_value_does_not_hide_the_rest_of_a_copy(spark):
     assert {(0, 0), (1, 1), (2, 2)} <= set(found) and found[0, 0] == 1
 
 
+def test_copies_are_leaks_in_any_context_case_and_length_of_names(spark):
+    texts = ["What is the capital of France?", "Anna has 5 red apples. Ben has 3 green apples. Carl eats 2 of the apples.",
+             "Der Hund und die Katze laufen durch den Garten zum alten Haus",
+             "On the way to the town of Paris we met and ate lunch by the hill near Lyon we all walked home on foot"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([
+        (0, "Question: What is the capital of France? Paris."), (10, "so then What is the capital of France"), (20, "so what is the capital of Spain"),
+        (1, "Lena has 7 red apples. Otto has 4 green apples. Ruth eats 6 of the apples."),
+        (2, "so " + texts[2].lower()), (12, texts[2].upper()),
+        (3, "On the way to the town of New York we met and ate lunch by the hill near Los Angeles we all walked home on foot")],
+        "doc_id int, text string")
+    found = {(r.doc_id, r.item_id) for r in templates.leaks(docs, items).collect()}
+    assert found == {(0, 0), (10, 0), (20, 0), (1, 1), (2, 2), (12, 2), (3, 3)}
+
+
 def test_leaks_match_plain_word_windows(spark, documents):
     words = lambda t: re.findall(r"\w+", (t or "").lower())
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
