@@ -2,7 +2,8 @@
 
 Patterns give the base spans. The field then makes labels agree across a document. Its nodes
 are the base spans, whose labels are fixed, and candidate segments between them: runs of at
-least seven digits with separators, and tokens with ``@``, ``.`` or ``_`` inside. Every node
+least seven digits with separators, tokens with ``@`` inside and the user names of the base
+mails (those of one to three letters left out, as they are words as well). Every node
 has potentials for each label from its shape; neighbours in the text share a weak potential
 for equal labels; skip edges join distant segments that repeat each other (the same digits,
 the same last nine digits, the same name) or are similar (one digit apart) and share a
@@ -12,7 +13,10 @@ country code, a card number with one digit mistyped or a mail's user name is fou
 document that also holds the full form, and nothing is added where no pattern matched.
 
 Skip edges go from each segment to the last one before it and to the first base span with
-the same signature, so their number is linear in the text. Every scan is linear in the length of the text.
+the same signature. Those that share a signature are equal in it, so the chain joins them all.
+One digit apart is a signature too: the digits with that one place masked. A number has as many
+as it has digits, so edges are linear in the text for numbers of bounded length, and a run of more
+than ``LONGEST`` digits, which no pattern takes, has none. Every scan is linear in the length of the text.
 
 Defined results: a missing or empty text has no span; equal rows get equal results; an empty
 table gives an empty result; a missing id is kept; extra columns are not looked at, and
@@ -47,6 +51,7 @@ PATTERNS = {
 REPEAT, SIMILAR, CHAIN = 3.0, 2.5, 0.2
 OTHER_BIAS, MISFIT = 2.0, -8.0
 SWEEPS, SETTLED = 50, 1e-4
+LONGEST = 19  # digits of the longest card number
 
 
 def patterns() -> dict[str, re.Pattern]:
@@ -108,7 +113,8 @@ def candidates(text: str, base: list[Span], find: dict[str, re.Pattern]) -> list
     if names:
         for m in find["name"].finditer(text):
             own = m.group().strip(".-_")
-            if len(own) >= 4 and ("@" in own or own.lower() in names) and any(c in "@._" or c.isdigit() for c in own):
+            # one to three letters are ordinary words more often than a user
+            if ("@" in own or own.lower() in names) and (len(own) >= 4 or not own.isalpha()):
                 start = m.start() + m.group().index(own)
                 found.append((start, start + len(own)))
     i, last = 0, -1
@@ -121,25 +127,30 @@ def candidates(text: str, base: list[Span], find: dict[str, re.Pattern]) -> list
     return out
 
 
+def named(segment: str) -> bool:
+    """Whether a segment is a mail or a user, not a number."""
+    return len(only_digits(segment)) < 7 or any(c == "@" or c.isalpha() for c in segment)
+
+
 def _signatures(segment: str) -> list[tuple[str, float]]:
     """Signatures and the strength of an edge between two segments that share one."""
     digits = only_digits(segment)
-    if "@" in segment or len(digits) < 7:
+    if named(segment):
         name = segment.split("@")[0].lower()
-        return [(f"name:{name}", REPEAT)] if len(name) >= 4 else []
+        return [(f"name:{name}", REPEAT)] if name else []
     out = [(f"all:{digits}", REPEAT)]
     if len(digits) >= 9:
         out.append((f"tail:{digits[-9:]}", REPEAT))
-    if len(digits) >= 12:  # one digit apart means that one half is equal
-        half = len(digits) // 2
-        out += [(f"left:{len(digits)}:{digits[:half]}", SIMILAR), (f"right:{len(digits)}:{digits[half:]}", SIMILAR)]
+    if len(digits) <= LONGEST:  # one digit apart: equal but for the masked place
+        out += [(f"but:{digits[:k]}*{digits[k + 1:]}", SIMILAR) for k in range(len(digits))]
     return out
 
 
 def skip_edges(segments: list[str], fixed: list[bool]) -> list[tuple[int, int, float]]:
     """(earlier, later, strength) of segments that share a signature.
 
-    Each is joined with the last one before it and with the first fixed one, wherever that is.
+    Each is joined with the last one before it and with the first fixed one, wherever that is;
+    of numbers that share a masked place any two are at most one digit apart.
     """
     own = [_signatures(s) for s in segments]
     anchor: dict[str, int] = {}
@@ -152,11 +163,8 @@ def skip_edges(segments: list[str], fixed: list[bool]) -> list[tuple[int, int, f
     for j, signatures in enumerate(own):
         for signature, strength in signatures:
             for i in {latest.get(signature, j), anchor.get(signature, j)} - {j}:
-                apart = 0 if strength == REPEAT else sum(
-                    x != y for x, y in zip(only_digits(segments[i]), only_digits(segments[j]), strict=True))
-                if apart <= 1:
-                    edge = (min(i, j), max(i, j))
-                    edges[edge] = max(strength, edges.get(edge, 0.0))
+                edge = (min(i, j), max(i, j))
+                edges[edge] = max(strength, edges.get(edge, 0.0))
             latest[signature] = j
     return [(i, j, s) for (i, j), s in edges.items()]
 
@@ -166,8 +174,8 @@ def unary(segment: str, label: str | None) -> list[float]:
     if label:
         return [0.0 if k == label else -60.0 for k in ("other", *KINDS)]
     n = len(only_digits(segment))
-    named = "@" in segment or n < 7
-    fits = (named, not named and segment.count(".") >= 3 and n <= 12, not named and 12 <= n <= 19, not named and 7 <= n <= 15)
+    name = named(segment)
+    fits = (name, not name and segment.count(".") >= 3 and n <= 12, not name and 12 <= n <= 19, not name and 7 <= n <= 15)
     return [OTHER_BIAS, *(0.0 if x else MISFIT for x in fits)]
 
 

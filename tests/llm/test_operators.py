@@ -126,6 +126,17 @@ def test_the_field_labels_what_repeats_a_span_and_nothing_else():
         assert pii.added_spans(clean, pii.base_spans(clean, find), find) == []
 
 
+def test_one_digit_apart_and_user_names_are_linked_wherever_they_stand():
+    find = pii.patterns()
+
+    def added(text):
+        return [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text, find), find)]
+
+    assert added("4465758382889437 then 4465758312345674 then 4465758398765019 then 4465758312346674.") == ["4465758312346674"]
+    assert added("Call +1 743 555 3824 or 1 743 555 3825 today, or 99887766554.") == ["1 743 555 3825"]
+    assert added("Mail janedoe@x.example.com, user janedoe; x12345678@x.org is x12345678; a@x.org is a mail") == ["janedoe", "x12345678"]
+
+
 def test_repeated_passages_match_brute_force(spark, documents, monkeypatch):
     k = 60
     rng = np.random.default_rng(2)
