@@ -48,18 +48,39 @@ def record_id(*of: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(of))}>"
 
 
+#: A comment, or the opening tag of an element that is never shown; its name must end there.
+OPENING = re.compile(rf"(?i)<!--|<(?P<name>{'|'.join(HIDDEN)})(?=[\s/>])[^<>]*>?")
+#: Where an element ends; templates and noscript hold markup, so comments in them hide an end.
+CLOSING = {n: re.compile(rf"(?i){'<!--|' if n in ('noscript', 'template') else ''}</{n}(?=[\s/>])[^<>]*>?") for n in HIDDEN}
+
+
 def visible(page: str) -> str:
-    """The page without comments and without elements that are never shown."""
-    for start, end in (("<!--", "-->"), *((f"<{n}", f"</{n}>") for n in HIDDEN)):
-        low, out, at = page.lower() if start != "<!--" else page, [], 0
-        if len(low) != len(page):  # a few letters change length when lower-cased
-            low = "".join(c.lower() if c.isascii() else c for c in page)
-        while (begin := low.find(start, at)) >= 0:
-            out.append(page[at:begin])
-            close = low.find(end, begin)
-            at = len(page) if close < 0 else close + len(end)
-        page = "".join(out) + page[at:] if out else page
-    return page
+    """The page without comments and without elements that are never shown, in one pass from left to right.
+
+    Of a comment or element without an end only the opening goes.
+    """
+    out, at = [], 0
+    endless: set[str] = set()  # no end of these is left in the page
+
+    def end_of(name: str, begin: int, after: int) -> int:
+        """Where a comment (no name) or element ends, else -1; each fails once at most."""
+        if name in endless:
+            return -1
+        if name:
+            while (close := CLOSING[name].search(page, after)) and close.group() == "<!--":
+                after = max(end_of("", close.start(), 0), close.end())
+            end = close.end() if close else -1
+        else:  # the dashes of an opening may be those of its end: <!--> and <!---> are whole
+            found = page.find("-->", begin + 2)
+            end = found + 3 if found >= 0 else -1
+        if end < 0:
+            endless.add(name)
+        return end
+
+    while found := OPENING.search(page, at):
+        out.append(page[at:found.start()])
+        at = max(end_of((found.group("name") or "").lower(), found.start(), found.end()), found.end())
+    return "".join(out) + page[at:] if out else page
 
 
 class Pages:

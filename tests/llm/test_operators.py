@@ -317,6 +317,19 @@ def test_records_keep_their_links_and_come_back_whole(spark):
         assert headers["WARC-Refers-To"] == row.refers_to and block.decode() == row.block and headers["WARC-Block-Digest"] == warc.digest(block)
 
 
+def test_hidden_parts_without_an_end_hide_nothing_else():
+    custom = "<p>a</p><template-card>b</template-card><style-guide>c</style-guide><p>d</p>"
+    for page, shown in (
+            (custom, custom), ('<script>var a="<!--";</script><p>b</p><!-- c --><p>d</p>', "<p>b</p><p>d</p>"),
+            ("a<!-- <script> -->b<script>c</script>d", "abd"), ("a<!-- b", "a b"), ("a<STYLE x>b<p>c", "ab<p>c"),
+            ("a<script>b</scripts>c</script >d<!-->e<style/>f</style>g", "adeg"), ("a<noscript>İ</NOSCRIPT>b", "ab"),
+            ("<script>a<script>b</script>c<script>d", "cd"), ('<template title="a>b">c<!-- </template> -->d</template>e', "e")):
+        assert warc.visible(page) == shown
+    n = 100_000
+    for part in ("<script>", "<!--", "<template><!--"):
+        assert warc.visible(part * n + "x") == "x"
+
+
 def test_responses_of_a_file_keep_their_ids_and_digests(spark):
     def member(kind, record, block, digest="sha1:OWN"):
         head = f"WARC/1.1\r\nWARC-Type:{kind}\r\nWARC-Record-ID: {record}\r\nWARC-Target-URI: http://x.org/\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {len(block)}\r\n\r\n"
