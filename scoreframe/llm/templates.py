@@ -270,6 +270,16 @@ def judge(pairs: list[Pair], width: int, tokens: int, share: float, run: int) ->
     return (matched, changed) if matched >= run or matched >= share * tokens else None
 
 
+def across(chain: list[list[Pair]]) -> list[Pair]:
+    """The windows of neighbouring diagonals; a slot with a value on several, as a name of two words, has them all."""
+    values: dict[int, dict[str, None]] = defaultdict(dict)
+    for pairs in chain:
+        for x in pairs:
+            for p, (_, value) in x.changed.items():
+                values[p][value] = None
+    return [x._replace(changed={p: (own, " ".join(values[p])) for p, (own, _) in x.changed.items()}) for pairs in chain for x in pairs]
+
+
 def judged(diagonals: list[tuple[int, list[Pair]]], width: int, tokens: int, share: float, run: int) -> tuple[int, int] | None:
     """The best copy on one diagonal or on neighbouring ones, with all forms or without the widest."""
     chains: list[list[list[Pair]]] = []
@@ -281,7 +291,7 @@ def judged(diagonals: list[tuple[int, list[Pair]]], width: int, tokens: int, sha
         last = diagonal
     best = None
     for chain in chains:
-        for pairs in (*chain, *([[x for own in chain for x in own]] if len(chain) > 1 else [])):
+        for pairs in (*chain, *([across(chain)] if len(chain) > 1 else [])):
             narrow = [x for x in pairs if x.form < ALL]
             for some in (pairs, narrow) if len(narrow) < len(pairs) else (pairs,):
                 # of the pairs at one place the one that changed least
