@@ -41,9 +41,9 @@ BLOCKS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup "
     "option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 NESTING = frozenset(
-    "article aside body button center dd details dialog div dl dt fieldset figure footer form head header hgroup iframe li "
-    "main menu nav noscript object ol pre script search section select span style summary svg table tbody td template "
-    "textarea th title tr ul video audio canvas math blockquote".split())
+    "address article aside audio blockquote body button canvas center dd details dialog div dl dt fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 head header hgroup iframe li main math menu nav noscript object ol p pre script search "
+    "section select span style summary svg table tbody td template textarea th title tr ul video".split())
 NEVER = frozenset(
     "aside audio button canvas dialog footer form head header iframe menu nav noscript object script search select style "
     "svg template textarea title video".split())
@@ -157,14 +157,14 @@ class Lines(HTMLParser):
         self.tags += not self.why
         if tag == "a":
             self.link = True
-        elif tag in HEADINGS:
+        if tag in HEADINGS:
             self.heading = True
-        elif tag in NESTING:
+        if tag in NESTING:
             self._nest(tag, dict(attrs))
 
     def _nest(self, tag: str, attributes: dict[str, str | None]) -> None:
-        if tag == "li" and self.open["li"] and self.stack[-1][0] == "li":
-            self._leave("li")
+        if self.stack and self.stack[-1][0] == ("li" if tag == "li" else "p" if tag in BLOCKS else ""):
+            self._leave(self.stack[-1][0])  # its end may be left out
         why, article = self.why, self.article
         whole = tag in ("article", "main")
         if whole and why in AROUND:
@@ -195,9 +195,9 @@ class Lines(HTMLParser):
             self._end_line()
         if tag == "a":
             self.link = False
-        elif tag in HEADINGS:
+        if tag in HEADINGS:
             self.heading = False
-        elif self.open[tag]:
+        if self.open[tag]:
             self._leave(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
