@@ -7,7 +7,8 @@ mails (those of one to three letters left out, as they are words as well). Every
 has potentials for each label from its shape; neighbours in the text share a weak potential
 for equal labels; skip edges join distant segments that repeat each other (the same digits,
 the same last nine digits, the same name) or are similar (one digit apart) and share a
-strong one. Loopy sum-product messages run over all edges until they settle, and a candidate
+strong one. Loopy sum-product messages run over all edges until they settle (``settled`` says
+whether they did within ``SWEEPS`` sweeps), and a candidate
 whose marginal favours a label becomes a span of that kind. So a phone number without its
 country code, a card number with one digit mistyped or a mail's user name is found in a
 document that also holds the full form, and nothing is added where no pattern matched.
@@ -16,7 +17,8 @@ Skip edges go from each segment to the last one before it and to the first base
 the same signature. Those that share a signature are equal in it, so the chain joins them all.
 One digit apart is a signature too: the digits with that one place masked. A number has as many
 as it has digits, so edges are linear in the text for numbers of bounded length, and a run of more
-than ``LONGEST`` digits, which no pattern takes, has none. Every scan is linear in the length of the text.
+than ``LONGEST`` digits, which no pattern takes, has none. Every scan and every sweep is linear in the length
+of the text; base spans send constant messages, so a span with very many repeats is no more work than its edges.
 
 Defined results: a missing or empty text has no span; equal rows get equal results; an empty
 table gives an empty result; a missing id is kept; extra columns are not looked at, and
@@ -26,10 +28,10 @@ table gives an empty result; a missing id is kept; extra columns are not looked
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +52,7 @@ PATTERNS = {
 }
 REPEAT, SIMILAR, CHAIN = 3.0, 2.5, 0.2
 OTHER_BIAS, MISFIT = 2.0, -8.0
-SWEEPS, SETTLED = 50, 1e-4
+SWEEPS, SETTLED = 1_000, 1e-6
 LONGEST = 19  # digits of the longest card number
 
 
@@ -169,70 +171,73 @@ def skip_edges(segments: list[str], fixed: list[bool]) -> list[tuple[int, int, f
     return [(i, j, s) for (i, j), s in edges.items()]
 
 
-def unary(segment: str, label: str | None) -> list[float]:
-    """Log potentials of other, email, ip, card and phone; a base span keeps its label."""
-    if label:
-        return [0.0 if k == label else -60.0 for k in ("other", *KINDS)]
+def unary(segment: str) -> list[float]:
+    """Log potentials of other, email, ip, card and phone for a candidate."""
     n = len(only_digits(segment))
     name = named(segment)
     fits = (name, not name and segment.count(".") >= 3 and n <= 12, not name and 12 <= n <= 19, not name and 7 <= n <= 15)
     return [OTHER_BIAS, *(0.0 if x else MISFIT for x in fits)]
 
 
-def marginals(potentials: list[list[float]], edges: list[tuple[int, int, float]]) -> list[list[float]]:
-    """Loopy sum-product with a bonus for equal labels on each edge, until messages settle."""
-    size = len(KINDS) + 1
-    even = [1.0 / size] * size
-    local = [[math.exp(x - max(p)) for x in p] for p in potentials]
-    around: list[list[int]] = [[] for _ in potentials]
-    ends, messages = [], []
-    for i, j, strength in edges:
-        for a, b in ((i, j), (j, i)):
-            around[b].append(len(ends))
-            ends.append((a, b, math.exp(strength) - 1))
-            messages.append(even)
-
-    def belief(node: int, without: int = -1) -> list[float]:
-        out = local[node][:]
-        for e in around[node]:
-            if e != without:
-                out = [x * y for x, y in zip(out, messages[e], strict=True)]
-        total = sum(out)
-        return [x / total for x in out] if total > 0 else even
+def marginals(potentials: list[list[float]], edges: list[tuple[int, int, float]], labels: list[int | None]) -> tuple[np.ndarray, bool]:
+    """Loopy sum-product with a bonus for equal labels on each edge; whether the messages settled.
 
+    A node with a label keeps it. What it sends is the same in every sweep, so it goes into its neighbours'
+    potentials and a hub of any degree costs one addition for each edge. Between the others, all messages of
+    a sweep are made at once from each node's sum of logarithms, the message that came the other way taken out.
+    """
+    local = np.array(potentials, dtype=float)
+    size = local.shape[1]
+    fixed = np.array([-1 if k is None else k for k in labels])
+    i, j = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+    bonus = np.expm1(np.array([e[2] for e in edges], dtype=float))
+    for source, target in ((i, j), (j, i)):
+        known = fixed[source] >= 0
+        np.add.at(local, (target[known], fixed[source][known]), np.log1p(bonus[known]))
+    free = (fixed[i] < 0) & (fixed[j] < 0)
+    source, target, bonus = np.r_[i[free], j[free]], np.r_[j[free], i[free]], np.r_[bonus[free], bonus[free]]
+    back = np.roll(np.arange(len(source)), len(source) // 2)
+    sent = np.zeros((len(source), size))
+
+    def totals() -> np.ndarray:
+        return local + np.stack([np.bincount(target, sent[:, k], len(local)) for k in range(size)], axis=1)
+
+    def shares(logs: np.ndarray) -> np.ndarray:
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    settled = not len(source)
     for _ in range(SWEEPS):
-        moved = 0.0
-        for e, (a, _, bonus) in enumerate(ends):
-            # edges lie in pairs, so the message that came the other way is e ^ 1
-            own = belief(a, e ^ 1)
-            new = [1 + bonus * x for x in own]
-            total = sum(new)
-            new = [x / total for x in new]
-            moved = max(moved, max(abs(x - y) for x, y in zip(new, messages[e], strict=True)))
-            messages[e] = new
-        if moved < SETTLED:
+        if settled:
             break
-    return [belief(i) for i in range(len(potentials))]
+        new = np.log1p(bonus[:, None] * shares(totals()[source] - sent[back]))
+        new -= new.max(axis=1, keepdims=True)
+        settled = bool(np.abs(new - sent).max() < SETTLED)
+        sent = new
+    belief = shares(totals())
+    belief[fixed >= 0] = np.eye(size)[fixed[fixed >= 0]]
+    return belief, settled
 
 
-def added_spans(text: str, base: list[Span], find: dict[str, re.Pattern]) -> list[Span]:
-    """Spans the field adds to the base spans of one text."""
+def added_spans(text: str, base: list[Span], find: dict[str, re.Pattern]) -> tuple[list[Span], bool]:
+    """Spans the field adds to the base spans of one text, and whether its messages settled."""
     free = candidates(text, base, find) if base else []
     if not free:
-        return []
+        return [], True
     nodes = sorted([(a, b, k) for k, a, b in base] + [(a, b, None) for a, b in free], key=lambda n: (n[0], n[1], n[2] or ""))
     segments = [text[a:b] for a, b, _ in nodes]
     skips = skip_edges(segments, [n[2] is not None for n in nodes])
     if not any(nodes[i][2] is None or nodes[j][2] is None for i, j, _ in skips):
-        return []  # neighbours alone never outweigh the bias to other
+        return [], True  # neighbours alone never outweigh the bias to other
     chain = [(i, i + 1, CHAIN) for i in range(len(nodes) - 1)]
-    found = marginals([unary(s, n[2]) for s, n in zip(segments, nodes, strict=True)], skips + chain)
+    labels = [None if k is None else 1 + KINDS.index(k) for _, _, k in nodes]
+    found, settled = marginals([unary(s) for s in segments], skips + chain, labels)
     out = []
     for (a, b, label), belief in zip(nodes, found, strict=True):
-        best = max(range(len(belief)), key=belief.__getitem__)
+        best = int(belief.argmax())
         if label is None and best and belief[best] > 0.5:
             out.append((KINDS[best - 1], a, b))
-    return out
+    return out, settled
 
 
 def listed(spans: list[Span]) -> str:
@@ -240,9 +245,9 @@ def listed(spans: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Per row: base spans per kind, the digest of their list, all spans and how many were added."""
+    """Per row: base spans per kind, the digest of their list, all spans, how many were added, whether messages settled."""
     kind = docs.schema[id_column].dataType.simpleString()
-    names = [id_column, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    names = [id_column, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "settled"]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = patterns()
@@ -250,18 +255,18 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
             out: list[list] = [[] for _ in names[1:]]
             for text in batch.column(1).to_pylist():
                 base = base_spans(text, find) if text else []
-                more = added_spans(text, base, find) if base else []
+                more, settled = added_spans(text, base, find) if base else ([], True)
                 values = [sum(s[0] == k for s in base) for k in KINDS]
-                values += [hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more)]
+                values += [hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more), settled]
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
 
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
     rows = docs.select(id_column, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(of_batches, f"`{id_column}` {kind}, {counts}, base_sha256 string, spans string, n_added bigint")
+    return rows.mapInArrow(of_batches, f"`{id_column}` {kind}, {counts}, base_sha256 string, spans string, n_added bigint, settled boolean")
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -283,7 +288,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
             out = []
             for t in texts:
                 base = base_spans(t, find) if t else []
-                out.append(mask(t, base + added_spans(t, base, find)) if base else t)
+                out.append(mask(t, base + added_spans(t, base, find)[0]) if base else t)
             yield pd.Series(out, dtype=object)
 
     return docs.withColumn(text, F.pandas_udf(of_series, "string")(F.col(text).cast("string")))
