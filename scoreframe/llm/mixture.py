@@ -14,12 +14,13 @@
    and together they are all drawn blocks. Inside a shard the order is a seeded hash.
 
 No window holds a source: running sums are taken over hash slices of about ``SLICE`` blocks,
-and over the slices' totals. The table of sources has one row for each source and the tree
+as counted, over the totals of ``SLICE`` slices, and over those of such runs. The table of sources has one row for each source and the tree
 one array of them; both grow with the number of sources, not of documents.
 
 Defined results: a missing text has size 0 and is never drawn; missing sources are one
 source, the last; a source without words has target 0; equal rows are documents
-of their own, so each may be drawn differently; an empty table gives empty results; extra columns are not looked at. Reruns agree.
+of their own, so each may be drawn differently; an empty table gives empty results; extra columns are not looked at. Reruns
+agree, with any split of the table into files and partitions.
 """
 
 from __future__ import annotations
@@ -27,20 +28,36 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from scoreframe.llm.text import n_words, whole
 from scoreframe.session import cut_lineage
 
-SLICE = 20_000
+SLICE = 4_096
+COPIES = 4_096
 TINY = 1e-9
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(row, id, source, size), written once; ``row`` numbers the rows of the written table."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col("source").alias("source"), n_words(whole()).alias("size"))
-    return cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    """(row, key, id, source, size), written once.
+
+    ``key`` seeds the draws. It comes from the id, the text and a number among equal rows, so it is the
+    same however the table is split into files and partitions; which of equal rows has which number does
+    not show. Equal rows are counted first and told apart again in runs of ``COPIES``, dealt to all tasks.
+    ``row`` numbers the written rows for joins.
+    """
+    text = whole()
+    rows = docs.select(F.col(id_column).alias("id"), F.col("source").alias("source"), n_words(text).alias("size"),
+                       F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
+    runs = rows.groupBy("id", "source", "size", "a", "b").agg(F.count("*").alias("copies")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))).alias("run"))
+    last = F.least(F.col("copies") - F.col("run") * COPIES, F.lit(COPIES).cast("long")) - 1
+    copies = runs.repartition("a", "run", "id").select(
+        "id", "source", "size", "a", "b", "run", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("copy"))
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("id", "source")]
+    seed = F.xxhash64(*own, "a", "b", "run", "copy")
+    return cut_lineage(copies.select(seed.alias("key"), "id", "source", "size").withColumn("row", F.monotonically_increasing_id()))
 
 
 def targets(rows: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
@@ -70,29 +87,46 @@ def _uniform(*of: Column) -> Column:
     return (F.pmod(F.xxhash64(*of), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def _before(totals: DataFrame) -> DataFrame:
+    """Adds ``words_before`` and ``blocks_before``: sums over a source's earlier slices, and passes.
+
+    Slices are summed up by runs of ``SLICE`` first, so a window holds that many rows at most, or a row for each run.
+    """
+    totals = totals.withColumn("run", F.expr(f"slice div {SLICE}"))
+    runs = totals.groupBy("rank", "pass", "run").agg(F.sum("words").alias("w"), F.sum("blocks").alias("b"))
+
+    def earlier(column: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    every, inside = Window.partitionBy("rank").orderBy("pass", "run"), Window.partitionBy("rank", "pass", "run").orderBy("slice")
+    runs = runs.select("rank", "pass", "run", earlier("w", every).alias("w"), earlier("b", every).alias("b"))
+    return totals.select("rank", "pass", "run", "slice", earlier("words", inside).alias("words_in"), earlier("blocks", inside).alias("blocks_in")).join(
+        runs, ["rank", "pass", "run"]).select(
+        "rank", "pass", "slice", (F.col("w") + F.col("words_in")).alias("words_before"), (F.col("b") + F.col("blocks_in")).alias("blocks_before"))
+
+
 def drawn_blocks(rows: DataFrame, table: DataFrame, block: int = 128, seed: int = 1, most: float = 3.0) -> DataFrame:
     """(row, id, rank, place, words): each drawn block with its place among its source's draws."""
+    pieces_of = F.expr(f"(size + {block - 1}) div {block}")
+    blocks = rows.where("size > 0").groupBy(F.col("source").alias("of")).agg(F.sum(pieces_of).alias("n_blocks"))
     goal = table.select("source", "rank", "source_size", F.round("target").cast("long").alias("goal")).where("goal > 0")
-    blocks = rows.where("size > 0").withColumnRenamed("source", "own").join(goal, F.expr("own <=> source"))
+    goal = cut_lineage(goal.join(blocks, F.expr("of <=> source")).drop("of"))
+    owned = rows.where("size > 0").withColumnRenamed("source", "own").join(goal, F.expr("own <=> source"))
     last_pass = F.least(F.lit(math.ceil(most) - 1), F.expr("(goal - 1) div source_size")).cast("int")
-    pieces = blocks.select(
-        "row", "id", "rank", "source_size", "goal", "size",
+    pieces = owned.select(
+        "row", "key", "id", "rank", "n_blocks", "goal", "size",
         F.explode(F.sequence(F.lit(0), last_pass)).alias("pass")).select(
-        "row", "id", "rank", "source_size", "goal", "size", "pass",
+        "row", "key", "id", "rank", "n_blocks", "goal", "size", "pass",
         F.explode(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {block} as int)"))).alias("piece"))
     words = F.least(F.lit(block).cast("long"), F.col("size") - F.col("piece") * F.lit(block))
-    pieces = pieces.select("row", "id", "rank", "source_size", "goal", "pass", words.alias("words"),
-                           F.xxhash64(F.lit(seed), "row", "piece", "pass").alias("h"))
-    n_slices = F.greatest(F.lit(1), F.expr(f"cast(ceil(source_size / {block * SLICE}.0) as int)"))
+    pieces = pieces.select("row", "key", "piece", "id", "rank", "n_blocks", "goal", "pass", words.alias("words"),
+                           F.xxhash64(F.lit(seed), "key", "piece", "pass").alias("h"))
+    n_slices = F.expr(f"(n_blocks + {SLICE - 1}) div {SLICE}")
     # slices follow the hash order: the upper bits of the hash, scaled to the number of slices
     upper = (F.shiftright("h", 32) + F.lit(1 << 31)).cast("double") / float(1 << 32)
-    pieces = pieces.withColumn("slice", F.floor(upper * n_slices).cast("int"))
-    totals = pieces.groupBy("rank", "pass", "slice").agg(F.sum("words").alias("slice_words"), F.count("*").alias("slice_blocks"))
-    so_far = Window.partitionBy("rank").orderBy("pass", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("rank", "pass", "slice",
-                           F.coalesce(F.sum("slice_words").over(so_far), F.lit(0)).alias("words_before"),
-                           F.coalesce(F.sum("slice_blocks").over(so_far), F.lit(0)).alias("blocks_before"))
-    inside = Window.partitionBy("rank", "pass", "slice").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("slice", F.floor(upper * n_slices).cast("long")).drop("n_blocks")
+    totals = _before(pieces.groupBy("rank", "pass", "slice").agg(F.sum("words").alias("words"), F.count("*").alias("blocks")))
+    inside = Window.partitionBy("rank", "pass", "slice").orderBy("h", "key", "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.select(
         "*", F.coalesce(F.sum("words").over(inside), F.lit(0)).alias("w"),
         F.count("words").over(inside).alias("b")).join(totals, ["rank", "pass", "slice"])
