@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,23 +122,81 @@ def test_the_field_labels_what_repeats_a_span_and_nothing_else():
     find = pii.patterns()
     text = ("Call +1 (743) 555-3824 now, later (743) 555-3824. Card 4465758382889437 and 4465 7583 8288 9438; "
             "mail jane.doe@x.example.com user jane.doe wrote; 1234567 and 99887766554")
-    added = [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text, find), find)]
+    added = [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text, find), find)[0]]
     assert added == [("phone", "(743) 555-3824"), ("card", "4465 7583 8288 9438"), ("email", "jane.doe")]
     for clean in ("Nothing here 1234567 and (743) 555-3824.", ""):
-        assert pii.added_spans(clean, pii.base_spans(clean, find), find) == []
+        assert pii.added_spans(clean, pii.base_spans(clean, find), find) == ([], True)
 
 
 def test_one_digit_apart_and_user_names_are_linked_wherever_they_stand():
     find = pii.patterns()
 
     def added(text):
-        return [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text, find), find)]
+        return [text[a:b] for _, a, b in pii.added_spans(text, pii.base_spans(text, find), find)[0]]
 
     assert added("4465758382889437 then 4465758312345674 then 4465758398765019 then 4465758312346674.") == ["4465758312346674"]
     assert added("Call +1 743 555 3824 or 1 743 555 3825 today, or 99887766554.") == ["1 743 555 3825"]
     assert added("Mail janedoe@x.example.com, user janedoe; x12345678@x.org is x12345678; a@x.org is a mail") == ["janedoe", "x12345678"]
 
 
+@pytest.mark.parametrize("n", [1, 80, 120, 600, 5_000])
+def test_any_number_of_repeats_gets_the_label_in_linear_time(n):
+    find = pii.patterns()
+    for text, kind in (("Call +1 (743) 555-3824 now. " + "and (743) 555-3824 so " * n, "phone"),
+                       ("Mail janedoe@x.example.com " + "user janedoe " * n, "email"),
+                       ("and (743) 555-3824 so " * n + "call +1 (743) 555-3824", "phone")):
+        begin = time.perf_counter()
+        added, settled = pii.added_spans(text, pii.base_spans(text, find), find)
+        assert len(added) == n and settled and {k for k, _, _ in added} == {kind}
+        assert time.perf_counter() - begin < 5
+
+
+def test_marginals_equal_enumeration_on_trees():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n = int(rng.integers(2, 6))
+        potentials = rng.normal(0, 2, (n, 5)).tolist()
+        edges = [(int(rng.integers(0, j)), j, float(rng.choice([0.2, 2.5, 3.0]))) for j in range(1, n)]
+        labels = [int(rng.integers(0, 5)) if rng.random() < 0.3 else None for _ in range(n)]
+        weights = defaultdict(float)
+        for state in itertools.product(range(5), repeat=n):
+            if all(k in (None, x) for k, x in zip(labels, state, strict=True)):
+                weights[state] = math.exp(sum(p[x] for p, k, x in zip(potentials, labels, state, strict=True) if k is None)
+                                          + sum(s for i, j, s in edges if state[i] == state[j]))
+        total = sum(weights.values())
+        want = [[sum(w for s, w in weights.items() if s[i] == x) / total for x in range(5)] for i in range(n)]
+        got, settled = pii.marginals(potentials, edges, labels)
+        assert settled and np.allclose(got, want, atol=1e-6)
+
+
+def test_the_mix_does_not_depend_on_files_and_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(50)).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+
+    def taken(df):
+        return sorted((tuple(r) for r in mixture.taken_words(df).select("doc_id", "size", "target", "taken", "n_shards").collect()), key=str)
+
+    want = taken(docs.coalesce(1))
+    for count in (4, 211):
+        assert taken(docs.repartition(count)) == want
+    assert len(want) == docs.count()
+
+
+def test_equal_rows_are_told_apart_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "COPIES", 7)
+    monkeypatch.setattr(mixture, "SLICE", 3)
+    rows = [(1, "one two three", "a")] * 50 + [(None, "one two", None)] * 20 + [(i, "four " * (i % 300), "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert mixture.sized(docs).select("key").distinct().count() == len(rows)
+    got = mixture.taken_words(docs, block=16).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    total, goal = Counter(), {}
+    for r in got:
+        total[r.source] += r.taken
+        goal[r.source] = r.target
+    assert all(abs(total[s] - t) <= 1 for s, t in goal.items())
+
+
 def test_repeated_passages_match_brute_force(spark, documents, monkeypatch):
     k = 60
     rng = np.random.default_rng(2)
