@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreframe.catalog import checks as ck
 from scoreframe.catalog import query
-from scoreframe.catalog.fits import (FACTORS, INTERACTION_SQL, STEPS, interaction_fit, mixed_fit, mixed_sql,
+from scoreframe.catalog.fits import (FACTORS, INTERACTION_SQL, interaction_fit, mixed_fit, mixed_sql,
                                      score_matrix)
 from scoreframe.catalog.jobs import people_clean
 from scoreframe.catalog.jobs_scores import rounded
@@ -95,22 +95,21 @@ def v8(st):
     return rounded(named.select("grp", F.col("c").alias("concept"), "median", "width"), "median", "width")
 
 
-@query("v9_effects_in_order", mixed_sql(f"""
-SELECT rater, n, round(effect, 6) AS effect,
-  round(1.96 * sqrt((SELECT noise FROM p{STEPS}) / (n + (SELECT pen_rater FROM p{STEPS}))), 6) AS half_width FROM u_rater_{STEPS}"""))
+@query("v9_effects_in_order", mixed_sql("""
+SELECT rater, n, round(effect, 5) AS effect, round(1.96 * sqrt(noise / (n + noise / var_rater)), 5) AS half_width FROM effects
+JOIN (SELECT DISTINCT rater, k0 AS id FROM cells) USING (id) CROSS JOIN spread"""))
 def v9(st):
     _, fit = mixed_fit(st)
-    return rounded(mixed.effect_table(fit, "rater"), "effect", "half_width")
+    return mixed.effect_table(fit, "rater").withColumns({c: F.round(c, 5) for c in ("effect", "half_width")})
 
 
-@query("v10_observed_and_fitted", mixed_sql(f"""
-SELECT r.rater, r.ratee, r.trait, r.score, round(a + b * tax + x.effect + y.effect + z.effect, 6) AS fitted
-FROM rows0 r CROSS JOIN p{STEPS} JOIN u_rater_{STEPS} x ON x.rater = r.rater
-JOIN u_cell_{STEPS} y ON y.ratee = r.ratee AND y.trait = r.trait JOIN u_grp_{STEPS} z ON z.grp = r.grp"""))
+@query("v10_observed_and_fitted", mixed_sql("""
+SELECT rater, ratee, trait, score, round(a + b * tax + x.effect + y.effect + z.effect, 5) AS fitted
+FROM cells CROSS JOIN beta JOIN effects x ON x.id = k0 JOIN effects y ON y.id = k1 JOIN effects z ON z.id = k2"""))
 def v10(st):
     rows, fit = mixed_fit(st)
     out = mixed.fitted_values(rows, fit, "score", FACTORS)
-    return rounded(out.select("rater", "ratee", "trait", "score", "fitted"), "fitted")
+    return out.select("rater", "ratee", "trait", "score", F.round("fitted", 5).alias("fitted"))
 
 
 @query("v11_coefficients_in_order", f"""

@@ -151,60 +151,114 @@ def m8(st):
 
 
 FACTORS = {"rater": ["rater"], "cell": ["ratee", "trait"], "grp": ["grp"]}
-STEPS = 2
-
-
-def mixed_sql(tail: str) -> str:
-    """The backfitting steps written out one by one."""
-    keys = {name: ", ".join(cols) for name, cols in FACTORS.items()}
-    ctes = ["rows0 AS (SELECT rater, ratee, trait, grp, tax, score FROM ratings WHERE score IS NOT NULL)",
-            """p0 AS (SELECT regr_intercept(score, tax) AS a, regr_slope(score, tax) AS b,
-              (regr_syy(score, tax) - regr_slope(score, tax) * regr_sxy(score, tax)) / count(*) AS noise, """
-            + ", ".join(f"1.0 AS pen_{f}" for f in FACTORS) + " FROM rows0)"]
-    latest = {}
-    for t in range(1, STEPS + 1):
-        for f in FACTORS:
-            joins_sql = " ".join(f"LEFT JOIN {v} ON " + " AND ".join(f"{v}.{c} = r.{c}" for c in FACTORS[g])
-                                 for g, v in latest.items() if g != f)
-            others = "".join(f" - coalesce({v}.effect, 0)" for g, v in latest.items() if g != f)
-            cols = ", ".join(f"r.{c}" for c in FACTORS[f])
-            ctes.append(f"""u_{f}_{t} AS (SELECT {cols}, sum(score - a - b * tax{others}) / (count(*) + max(pen_{f})) AS effect,
-              count(*) AS n FROM rows0 r CROSS JOIN p{t - 1} {joins_sql} GROUP BY {cols})""")
-            latest[f] = f"u_{f}_{t}"
-        joins_sql = " ".join(f"JOIN {v} ON " + " AND ".join(f"{v}.{c} = r.{c}" for c in FACTORS[g]) for g, v in latest.items())
-        total = " + ".join(f"{v}.effect" for v in latest.values())
-        ctes.append(f"d{t} AS (SELECT r.*, score - ({total}) AS rest FROM rows0 r {joins_sql})")
-        ctes.append(f"""q{t} AS (SELECT regr_intercept(rest, tax) AS a, regr_slope(rest, tax) AS b,
-          (regr_syy(rest, tax) - regr_slope(rest, tax) * regr_sxy(rest, tax)) / count(*) AS noise FROM d{t})""")
-        spreads = ", ".join(
-            f"(SELECT avg(effect * effect + noise / (n + (SELECT pen_{f} FROM p{t - 1}))) FROM {v}) AS var_{f}"
-            for f, v in latest.items())
-        ctes.append(f"v{t} AS (SELECT *, {spreads} FROM q{t})")
-        ctes.append(f"p{t} AS (SELECT *, " + ", ".join(f"noise / greatest(var_{f}, 1e-9) AS pen_{f}" for f in FACTORS)
-                    + f" FROM v{t})")
+SQL_ROUNDS, SQL_STEPS = 2, 40  # of the SQL alone: past the point where the fit stops by itself
+
+
+def moment_sql(t: int, beta: str) -> list[str]:
+    """Variances from within-level sums of squares about ``beta`` (a, b), by elimination written out."""
+    k, names = len(FACTORS), list(FACTORS)
+    out = [f"e{t} AS (SELECT f.*, score - a - b * tax AS r FROM cells f CROSS JOIN {beta})",
+           f"w{t}_0 AS (SELECT sum(r * r) - sum(r) ** 2 / count(*) AS a0_{k + 1}, count(*) - 1 AS a0_0, "
+           + ", ".join(f"count(*) - any_value(sq_{f}) / count(*) AS a0_{g + 1}" for g, f in enumerate(names))
+           + "".join(f""", sum(r * r) - (SELECT sum(s * s / n) FROM (SELECT sum(r) AS s, count(*) AS n FROM e{t} GROUP BY k{g})) AS a{g + 1}_{k + 1},
+             count(*) - count(DISTINCT k{g}) AS a{g + 1}_0, """ + ", ".join(
+               "0.0 AS a%d_%d" % (g + 1, h + 1) if h == g else f"count(*) - any_value(o{g}_{h}) AS a{g + 1}_{h + 1}" for h in range(k))
+             for g in range(k)) + f" FROM e{t} CROSS JOIN shared)"]
+    for pivot in range(k + 1):
+        cells = []
+        for i in range(k + 1):
+            for j in range(k + 2):
+                scaled = f"a{pivot}_{j} / a{pivot}_{pivot}"
+                cells.append((scaled if i == pivot else f"a{i}_{j} - a{i}_{pivot} * {scaled}") + f" AS a{i}_{j}")
+        out.append(f"w{t}_{pivot + 1} AS (SELECT {', '.join(cells)} FROM w{t}_{pivot})")
+    out.append(f"var{t} AS (SELECT a0_{k + 1} AS noise, "
+               + ", ".join(f"greatest(a{g + 1}_{k + 1}, 1e-9 * a0_{k + 1}) AS var_{f}" for g, f in enumerate(names)) + f" FROM w{t}_{k + 1})")
+    return out
+
+
+def mixed_sql(tail: str, response: str = "score", rounds: int = SQL_ROUNDS) -> str:
+    """Moment variances and conjugate gradients with a fixed number of steps, written out; ``x`` are the effects."""
+    k, names = len(FACTORS), list(FACTORS)
+    key = [" || '|' || ".join([f"'{g}'", *[f"CAST({c} AS VARCHAR)" for c in cols]]) for g, cols in enumerate(FACTORS.values())]
+    ctes = [f"cells AS (SELECT rater, ratee, trait, grp, tax, {response} AS score, {', '.join(f'{v} AS k{g}' for g, v in enumerate(key))} FROM ratings WHERE score IS NOT NULL)"]
+    overlap = [f"(SELECT sum(m * m / n) FROM (SELECT m, sum(m) OVER (PARTITION BY k{g}) AS n FROM (SELECT k{g}, k{h}, count(*) AS m FROM cells GROUP BY ALL))) AS o{g}_{h}"
+               for g in range(k) for h in range(k) if g != h]
+    squares = [f"(SELECT sum(n * n) FROM (SELECT count(*) AS n FROM cells GROUP BY k{g})) AS sq_{f}" for g, f in enumerate(names)]
+    ctes.append(f"shared AS (SELECT {', '.join(overlap + squares)})")
+    ctes.append("beta0 AS (SELECT regr_intercept(score, tax) AS a, regr_slope(score, tax) AS b FROM cells)")
+    ctes += moment_sql(0, "beta0")
+
+    def products(vector: str, column: str) -> str:
+        """For each level and fixed effect the sum over its rows of the vector's fitted values."""
+        t = f"""t AS (SELECT c.*, {' + '.join(f'v{g}.{column}' for g in range(k))} + a + b * tax AS t FROM cells c {' '.join(
+            f'JOIN {vector} v{g} ON v{g}.id = k{g}' for g in range(k))} CROSS JOIN (SELECT max(CASE WHEN id = 'a' THEN {column} END) AS a,
+            max(CASE WHEN id = 'b' THEN {column} END) AS b FROM {vector}))"""
+        parts = [f"SELECT k{g} AS id, sum(t) AS q FROM t GROUP BY k{g}" for g in range(k)]
+        return f"(WITH {t} {' UNION ALL '.join(parts)} UNION ALL SELECT 'a', sum(t) FROM t UNION ALL SELECT 'b', sum(t * tax) FROM t)"
+
+    start = "SELECT id, n, rhs, 0.0::DOUBLE AS x FROM ({}) ".format(" UNION ALL ".join(
+        [f"SELECT k{g} AS id, count(*)::DOUBLE AS n, sum(score)::DOUBLE AS rhs FROM cells GROUP BY k{g}" for g in range(k)]
+        + ["SELECT 'a', count(*), sum(score) FROM cells", "SELECT 'b', sum(tax * tax), sum(tax * score) FROM cells"]))
+    ctes.append(f"x0 AS ({start})")
+    for t in range(1, rounds + 1):
+        penalty = "CASE id[1] " + " ".join(f"WHEN '{g}' THEN noise / var_{f}" for g, f in enumerate(names)) + " ELSE 0 END"
+        ctes.append(f"s{t}_0 AS (SELECT id, n, rhs, x, n + l AS d, l, rhs - q - l * x AS r, (rhs - q - l * x) / (n + l) AS p FROM (SELECT *, {penalty} AS l "
+                    f"FROM x{t - 1} CROSS JOIN var{t - 1}) JOIN {products(f'x{t - 1}', 'x')} USING (id))")
+        for i in range(1, SQL_STEPS + 1):
+            ctes.append(f"q{t}_{i} AS (SELECT s.*, q + l * p AS q FROM s{t}_{i - 1} s JOIN {products(f's{t}_{i - 1}', 'p')} USING (id))")
+            ctes.append(f"m{t}_{i} AS (SELECT *, r - alpha * q AS r2 FROM q{t}_{i} CROSS JOIN "
+                        f"(SELECT coalesce(sum(r * r / d) / nullif(sum(p * q), 0), 0) AS alpha, sum(r * r / d) AS rz FROM q{t}_{i}))")
+            ctes.append(f"s{t}_{i} AS (SELECT id, n, rhs, x + alpha * p AS x, d, l, r2 AS r, r2 / d + turn * p AS p FROM m{t}_{i} CROSS JOIN "
+                        f"(SELECT coalesce(sum(r2 * r2 / d) / nullif(max(rz), 0), 0) AS turn FROM m{t}_{i}))")
+        ctes.append(f"x{t} AS (SELECT id, n, rhs, x FROM s{t}_{SQL_STEPS})")
+        ctes.append(f"beta{t} AS (SELECT max(CASE WHEN id = 'a' THEN x END) AS a, max(CASE WHEN id = 'b' THEN x END) AS b FROM x{t})")
+        ctes += moment_sql(t, f"beta{t}")
+    ctes.append(f"effects AS (SELECT id, CAST(n AS BIGINT) AS n, x AS effect FROM x{rounds})")
+    ctes.append(f"spread AS (SELECT * FROM var{rounds})")
+    ctes.append(f"beta AS (SELECT * FROM beta{rounds})")
     return "WITH " + ",\n".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes) + tail
 
 
-def mixed_fit(st):
-    rows = st.ratings.filter("score IS NOT NULL").select("rater", "ratee", "trait", "grp", "tax", "score",
-                                                         "l_orderkey", "l_linenumber")
-    return rows, mixed.fit_intercepts(rows, "score", ["tax"], FACTORS, iterations=STEPS)
+#: A second response to the same questions, which raters give more or less generously and people earn.
+RESPONSE = "score + (rater % 5) * 0.5 + ((ratee * 7) % 11) * 0.2"
 
 
-@query("m9_random_intercepts", mixed_sql(
-    f" SELECT ratee, trait, n, round(effect, 6) AS effect FROM u_cell_{STEPS}"))
+def mixed_fit(st, response: str = "score"):
+    rows = st.ratings.filter("score IS NOT NULL").select(
+        "rater", "ratee", "trait", "grp", "tax", F.expr(response).cast("double").alias("score"), "l_orderkey", "l_linenumber")
+    return rows, mixed.fit_intercepts(rows, "score", ["tax"], FACTORS)
+
+
+@query("m9_random_intercepts", mixed_sql("""
+SELECT ratee, trait, n, round(effect, 5) AS effect, true AS converged FROM effects
+JOIN (SELECT DISTINCT ratee, trait, k1 AS id FROM cells) USING (id)"""))
 def m9(st):
+    """Effects of the rated (person, trait) pairs; ``converged`` says that every equation of the fit holds."""
     _, fit = mixed_fit(st)
-    return rounded(fit.effects["cell"].select("ratee", "trait", "n", "effect"), "effect")
+    out = fit.effects["cell"].select("ratee", "trait", "n", "effect", F.lit(fit.converged).alias("converged"))
+    return out.withColumn("effect", F.round("effect", 5))
 
 
 @query("m9_variance_components", mixed_sql(
-    f""" SELECT 'residual' AS part, round(noise, 6) AS variance FROM p{STEPS} UNION ALL
-    """ + " UNION ALL ".join(f"SELECT '{f}', round(var_{f}, 6) FROM p{STEPS}" for f in FACTORS)))
+    " SELECT 'residual' AS part, round(noise, 5) AS variance FROM spread UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{f}', round(var_{f}, 5) FROM spread" for f in FACTORS)))
 def m9_variances(st):
     _, fit = mixed_fit(st)
     rows = [("residual", float(fit.residual_var)), *[(f, float(v)) for f, v in fit.effect_vars.items()]]
-    return rounded(st.spark.createDataFrame(rows, "part string, variance double"), "variance")
+    return st.spark.createDataFrame(rows, "part string, variance double").withColumn("variance", F.round("variance", 5))
+
+
+CELLS_SQL = """ SELECT ratee, trait, effect FROM effects JOIN (SELECT DISTINCT ratee, trait, k1 AS id FROM cells) USING (id)"""
+
+
+@query("m9_two_responses", f"""
+SELECT ratee, trait, round(x.effect, 5) AS effect_score, round(y.effect, 4) AS effect_response
+FROM ({mixed_sql(CELLS_SQL)}) x JOIN ({mixed_sql(CELLS_SQL, RESPONSE, 4)}) y USING (ratee, trait)""")
+def m9_two(st):
+    """What each (person, trait) adds to two responses, each free of its raters, classes and covariates."""
+    first, second = (mixed_fit(st, r)[1].effects["cell"] for r in ("score", RESPONSE))
+    second = second.select("ratee", "trait", F.round("effect", 4).alias("effect_response"))
+    return joins.left_on(first.select("ratee", "trait", F.round("effect", 5).alias("effect_score")), second, ["ratee", "trait"])
 
 
 def strengths_in(st):

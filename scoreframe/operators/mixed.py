@@ -1,8 +1,15 @@
-"""Linear model with crossed random intercepts, fitted by backfitting.
-
-Fixed effects and shrunken group means are updated in turn. A step aggregates the
-rows by one factor, so its output is one row per level; only the sums for the
-fixed effects (a matrix with one row and column per covariate) reach the driver.
+"""Linear model with crossed random intercepts: moment variances and exact effects.
+
+Variances come from within-level sums of squares, whose expectations are linear in them
+with coefficients that depend on the counts of level pairs alone. For given variances the
+coefficients and effects solve one sparse linear system; preconditioned conjugate
+gradients solve it until no level's equation is off by more than the tolerance. Both are
+repeated, each from the last result, until the variances stay.
+
+Rows are collapsed to counts by level ids and covariates once. A product of the system
+with a vector reads them once: the vector's values are joined by id, and one partially
+aggregated sum by id gives the product. The vectors are one table with a row for each
+level; only sums for the fixed effects and scalar products reach the driver.
 """
 
 from __future__ import annotations
@@ -13,15 +20,23 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions.missing import as_col
 from scoreframe.operators.joins import left_on
+from scoreframe.operators.ordered import number_rows
 from scoreframe.session import cut_lineage
 
+#: An effect variance counts as at least this share of the residual variance.
+LEAST = 1e-9
+
 
 class MixedFit:
-    """Coefficients, level effects per factor, and variance components."""
+    """Coefficients, level effects per factor, variance components, and how the fit ended.
+
+    ``gradient`` is the largest amount by which an equation of the system is off.
+    """
 
-    def __init__(self, covariates, beta, effects, residual_var, effect_vars):
+    def __init__(self, covariates, beta, effects, residual_var, effect_vars, steps, rounds, gradient, converged):
         self.covariates, self.beta, self.effects = covariates, beta, effects
         self.residual_var, self.effect_vars = residual_var, effect_vars
+        self.steps, self.rounds, self.gradient, self.converged = steps, rounds, gradient, converged
 
 
 def _fixed(covariates: list[str], beta) -> Column:
@@ -31,67 +46,207 @@ def _fixed(covariates: list[str], beta) -> Column:
     return value
 
 
-def _with_effects(df: DataFrame, factors: dict, effects: dict) -> DataFrame:
-    for name, keys in factors.items():
-        df = left_on(df, effects[name].select(*keys, F.col("effect").alias(f"__u_{name}")), keys)
-    return df
-
+class Design:
+    """The rows as counts by level ids and covariates, and the levels with their ids.
+
+    ``cells``: id_0.., x_0.. (x_0 is 1), n, sy, syy. ``levels``: id, f (the factor's number), n, b (sum of y).
+    """
+
+    def __init__(self, df: DataFrame, y: str, covariates: list[str], factors: dict[str, list[str]]):
+        self.names, self.keys, self.p = list(factors), factors, 1 + len(covariates)
+        value = as_col(y).cast("double")
+        xs = [as_col(c).cast("double").alias(f"x_{j + 1}") for j, c in enumerate(covariates)]
+        keys = list(dict.fromkeys(k for names in factors.values() for k in names))
+        inner = {k: f"__key_{i}" for i, k in enumerate(keys)}
+        rows = cut_lineage(df.select(*[F.col(f"`{k}`").alias(v) for k, v in inner.items()], *xs, value.alias("y")).groupBy(
+            *inner.values(), *[f"x_{j}" for j in range(1, self.p)]).agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
+        self.tables, self.sizes, raw, first = {}, [], [], 0
+        for f, (name, names) in enumerate(factors.items()):
+            own = [inner[k] for k in names]
+            found = rows.groupBy(*own).agg(F.sum("n").alias("n"), F.sum("sy").alias("b"))
+            table = cut_lineage(number_rows(found, own, "__place").withColumn("id", (F.col("__place") + first - 1).cast("bigint")).drop("__place"))
+            rows = left_on(rows, table.select(*own, F.col("id").alias(f"id_{f}")), own)
+            self.tables[name] = table.select(*[F.col(inner[k]).alias(k) for k in names], F.col("id").alias("__id"), F.col("n").cast("bigint").alias("__n"))
+            raw.append(table)
+            self.sizes.append(table.count())
+            first += self.sizes[-1]
+        levels = [t.select("id", F.lit(f).alias("f"), "n", "b") for f, t in enumerate(raw)]
+        self.ids = [f"id_{f}" for f in range(len(factors))]
+        self.cells = cut_lineage(rows.select(*self.ids, F.lit(1.0).alias("x_0"), *[f"x_{j}" for j in range(1, self.p)], "n", "sy", "syy"))
+        self.levels = levels[0]
+        for other in levels[1:]:
+            self.levels = self.levels.unionByName(other)
+        self._moments()
+        self._overlaps()
+
+    def _moments(self) -> None:
+        """Sums over all rows: X'X, X'y, y'y."""
+        x, n = [F.col(f"x_{j}") for j in range(self.p)], F.col("n")
+        pairs = [(i, j) for i in range(self.p) for j in range(i, self.p)]
+        row = self.cells.agg(*[F.sum(n * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs],
+                             *[F.sum(x[j] * F.col("sy")).alias(f"b{j}") for j in range(self.p)], F.sum("syy").alias("yy")).first()
+        self.xx = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(self.p)] for i in range(self.p)])
+        self.xy = np.array([row[f"b{j}"] for j in range(self.p)])
+        self.yy, self.rows = row["yy"], self.xx[0, 0]
+
+    def _overlaps(self) -> None:
+        """For factors f, g the sum over f's levels of the squared counts shared with g's levels, by the level's count."""
+        k = len(self.ids)
+        self.overlap = np.zeros((k, k))
+        squares = self.levels.groupBy("f").agg(F.sum(F.col("n") * F.col("n")).alias("s")).collect()
+        self.squares = np.zeros(k)
+        for r in squares:
+            self.squares[r.f] = r.s
+        for f in range(k):
+            for g in range(f + 1, k):
+                shared = self.cells.groupBy(f"id_{f}", f"id_{g}").agg(F.sum("n").alias("m"))
+                for c in (f, g):
+                    shared = shared.join(self.levels.where(F.col("f") == c).select(F.col("id").alias(f"id_{c}"), F.col("n").alias(f"n_{c}")), f"id_{c}")
+                square = F.col("m") * F.col("m")
+                row = shared.agg(F.sum(square / F.col(f"n_{f}")).alias("a"), F.sum(square / F.col(f"n_{g}")).alias("b")).first()
+                self.overlap[f, g], self.overlap[g, f] = row.a, row.b
+
+    def fixed(self, beta: np.ndarray) -> Column:
+        value = F.lit(float(beta[0]))
+        for j in range(1, self.p):
+            value = value + F.lit(float(beta[j])) * F.col(f"x_{j}")
+        return value
+
+    def variances(self, beta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Residual variance and effect variances that match the sums of squares about ``beta``."""
+        rest = F.col("sy") - F.col("n") * self.fixed(beta)
+        parts = F.explode(F.array(*[F.struct(F.col(c).alias("id"), rest.alias("v")) for c in self.ids])).alias("e")
+        sums = self.cells.select(parts).groupBy("e.id").agg(F.sum("e.v").alias("s"))
+        within = self.levels.join(sums, "id").groupBy("f").agg(F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), F.sum("s").alias("s"))
+        total = self.yy - 2 * beta @ self.xy + beta @ self.xx @ beta
+        k, n = len(self.ids), self.rows
+        left, right = np.zeros((k + 1, k + 1)), np.zeros(k + 1)
+        for r in within.collect():
+            right[r.f] = total - r.q
+            if r.f == 0:
+                right[k] = total - r.s * r.s / n
+        for f in range(k):
+            left[f, 0] = n - self.sizes[f]
+            left[f, 1:] = [0.0 if g == f else n - self.overlap[f, g] for g in range(k)]
+        left[k] = [n - 1, *(n - self.squares / n)]
+        found = np.linalg.lstsq(left, right, rcond=None)[0]
+        noise = max(found[0], 1e-12 * max(total / n, 1e-300))
+        return noise, np.maximum(found[1:], LEAST * noise)
+
+    def product(self, vector: DataFrame, fixed: np.ndarray) -> DataFrame:
+        """(id, v): Z'W(Z p + X q) by level id, and X'W(Z p + X q) under the ids -1, -2 ..; ``vector`` has (id, p)."""
+        rows, t = self.cells, self.fixed(fixed)
+        for f, c in enumerate(self.ids):
+            rows = rows.join(vector.select(F.col("id").alias(c), F.col("p").alias(f"p_{f}")), c)
+            t = t + F.col(f"p_{f}")
+        t = F.col("n") * t
+        parts = [F.struct(F.col(c).alias("id"), t.alias("v")) for c in self.ids]
+        parts += [F.struct(F.lit(-1 - j).cast("bigint").alias("id"), (t * F.col(f"x_{j}")).alias("v")) for j in range(self.p)]
+        return rows.select(F.explode(F.array(*parts)).alias("e")).groupBy("e.id").agg(F.sum("e.v").alias("v"))
+
+
+class Solver:
+    """Coefficients ``beta`` and effects (column ``x`` of ``state``) of a design for given penalties."""
+
+    def __init__(self, design: Design):
+        self.d, self.steps, self.gradient = design, 0, np.inf
+        self.beta = np.linalg.solve(design.xx, design.xy)
+        self.state = design.levels.withColumn("x", F.lit(0.0))
+
+    def _applied(self, state: DataFrame, fixed: np.ndarray, penalty: Column) -> tuple[DataFrame, list[Column]]:
+        """The product joined to ``state`` as ``q`` and written; aggregates that give its fixed part."""
+        sums = self.d.product(state.select("id", "p"), fixed)
+        table = cut_lineage(sums.join(state, "id", "left").withColumn("q", F.col("v") + penalty * F.col("p")))
+        return table, [F.max(F.when(F.col("id") == -1 - j, F.col("v"))).alias(f"q{j}") for j in range(self.d.p)]
+
+    def solve(self, penalties: np.ndarray, tolerance: float, max_steps: int) -> bool:
+        """Conjugate gradients from the present state; restarted until the true residual is small everywhere."""
+        d = self.d
+        penalty = F.element_at(F.array(*[F.lit(float(v)) for v in penalties]), F.col("f") + 1)
+        scale = F.col("n") + penalty
+        r, q = F.col("r"), F.col("q")
+        while True:
+            table, fixed_parts = self._applied(self.state.withColumn("p", F.col("x")), self.beta, penalty)
+            state = table.where("id >= 0").select("id", "f", "n", "b", "x", (F.col("b") - q).alias("r"))
+            row = table.agg(F.max(F.abs(F.col("b") - q)).alias("most"), F.sum((F.col("b") - q) ** 2 / scale).alias("rz"), *fixed_parts).first()
+            rest = d.xy - np.array([row[f"q{j}"] for j in range(d.p)])
+            self.gradient = max(row.most, np.abs(rest).max())
+            if self.gradient <= tolerance or self.steps >= max_steps:
+                return self.gradient <= tolerance
+            ahead = np.linalg.solve(d.xx, rest)
+            rz = row.rz + rest @ ahead
+            state = state.withColumn("p", r / scale)
+            while self.steps < max_steps:
+                table, fixed_parts = self._applied(state, ahead, penalty)
+                row = table.agg(
+                    F.max(F.abs(r)).alias("most"), F.sum(F.col("p") * q).alias("pq"), F.sum(r * r / scale).alias("rr"),
+                    F.sum(r * q / scale).alias("rq"), F.sum(q * q / scale).alias("qq"), *fixed_parts).first()
+                if max(row.most, np.abs(rest).max()) <= tolerance / 4:
+                    break
+                fixed_q = np.array([row[f"q{j}"] for j in range(d.p)])
+                a = float(rz / (row.pq + ahead @ fixed_q))
+                self.beta, rest = self.beta + a * ahead, rest - a * fixed_q
+                z = np.linalg.solve(d.xx, rest)
+                new = max(row.rr - 2 * a * row.rq + a * a * row.qq, 0.0) + rest @ z
+                turn, rz = float(new / rz), new
+                ahead = z + turn * ahead
+                left = r - F.lit(a) * q
+                state = table.where("id >= 0").select("id", "f", "n", "b", (F.col("x") + F.lit(a) * F.col("p")).alias("x"),
+                                                      left.alias("r"), (left / scale + F.lit(turn) * F.col("p")).alias("p"))
+                self.steps += 1
+            self.state = state.select("id", "f", "n", "b", "x")
 
-def _total(names) -> Column:
-    value = F.lit(0.0)
-    for name in names:
-        value = value + F.coalesce(F.col(f"__u_{name}"), F.lit(0.0))
-    return value
 
-
-def _fixed_step(df: DataFrame, rest: Column, covariates: list[str]):
-    """Least squares of ``rest`` on the covariates: beta, residual variance, rows."""
-    terms = [F.lit(1.0)] + [as_col(c).cast("double") for c in covariates] + [rest]
-    p = len(terms)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    row = df.agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    m = np.zeros((p, p))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"s{i}_{j}"]
-    beta = np.linalg.solve(m[:-1, :-1], m[:-1, -1])
-    return beta, (m[-1, -1] - beta @ m[:-1, -1]) / m[0, 0], m[0, 0]
+def fit_intercepts(df: DataFrame, y: str, covariates: list[str], factors: dict[str, list[str]],
+                   tolerance: float = 1e-6, max_steps: int = 500, max_rounds: int = 30) -> MixedFit:
+    """``y`` on ``covariates`` plus a random intercept per level of each factor.
+
+    A missing key is a level of its own. ``converged`` says that the variances moved by less than
+    ``tolerance`` of their sum in the last round and that no equation is off by more than ``tolerance``.
+    """
+    design = Design(df.dropna(subset=[y, *covariates]), y, covariates, factors)
+    solver = Solver(design)
+    noise, spread = design.variances(solver.beta)
+    rounds, settled = 0, False
+    while True:
+        solved = solver.solve(noise / spread, tolerance, max_steps)
+        rounds += 1
+        if settled or not solved or rounds >= max_rounds:
+            break
+        new_noise, new_spread = design.variances(solver.beta)
+        moved = max(abs(new_noise - noise), np.abs(new_spread - spread).max())
+        # the last variances and the effects solved for them belong together
+        settled = moved <= tolerance * (new_noise + new_spread.sum())
+        if settled:
+            break
+        noise, spread = new_noise, new_spread
+    effects = {}
+    state = cut_lineage(solver.state.select(F.col("id").alias("__id"), F.col("x").alias("effect")))
+    for name, keys in factors.items():
+        effects[name] = design.tables[name].join(state, "__id").select(*[F.col(f"`{k}`") for k in keys], "effect", F.col("__n").alias("n"))
+    return MixedFit(covariates, solver.beta, effects, float(noise), dict(zip(factors, map(float, spread))), solver.steps,
+                    rounds, float(solver.gradient), bool(settled and solved))
 
 
-def fit_intercepts(df: DataFrame, y: str, covariates: list[str], factors: dict[str, list[str]],
-                   iterations: int = 5) -> MixedFit:
-    """``y`` on ``covariates`` plus a random intercept per level of each factor."""
-    rows = df.dropna(subset=[y, *covariates])
-    beta, noise, _ = _fixed_step(rows, as_col(y), covariates)
-    effects: dict[str, DataFrame] = {}
-    penalty = {name: 1.0 for name in factors}
-    spread = {name: noise for name in factors}
-    for _ in range(iterations):
-        for name, keys in factors.items():
-            others = {k: v for k, v in factors.items() if k != name and k in effects}
-            joined = _with_effects(rows, others, effects)
-            rest = as_col(y) - _fixed(covariates, beta) - _total(others)
-            sums = joined.groupBy(*keys).agg(F.sum(rest).alias("s"), F.count(F.lit(1)).alias("n"))
-            shrunk = F.col("s") / (F.col("n") + F.lit(penalty[name]))
-            effects[name] = cut_lineage(sums.select(*keys, shrunk.alias("effect"), "n"))
-        joined = _with_effects(rows, factors, effects)
-        beta, noise, _ = _fixed_step(joined, as_col(y) - _total(factors), covariates)
-        for name in factors:
-            post = F.lit(noise) / (F.col("n") + F.lit(penalty[name]))
-            spread[name] = effects[name].agg(F.avg(F.col("effect") * F.col("effect") + post)).first()[0]
-            penalty[name] = noise / max(spread[name], 1e-9)
-    return MixedFit(covariates, beta, effects, noise, spread)
+def _with_effects(df: DataFrame, factors: dict, effects: dict) -> DataFrame:
+    for name, keys in factors.items():
+        df = left_on(df, effects[name].select(*keys, F.col("effect").alias(f"__u_{name}")), keys)
+    return df
 
 
 def fitted_values(df: DataFrame, fit: MixedFit, y: str, factors: dict[str, list[str]]) -> DataFrame:
     """Adds ``fitted`` and ``residual``; an unseen level has effect zero."""
     joined = _with_effects(df, factors, fit.effects)
-    value = _fixed(fit.covariates, fit.beta) + _total(factors)
+    value = _fixed(fit.covariates, fit.beta)
+    for name in factors:
+        value = value + F.coalesce(F.col(f"__u_{name}"), F.lit(0.0))
     out = joined.withColumn("fitted", value).withColumn("residual", as_col(y) - F.col("fitted"))
     return out.drop(*[f"__u_{name}" for name in factors])
 
 
 def effect_table(fit: MixedFit, factor: str) -> DataFrame:
-    """Level effects with the half-width of a 95% interval, sorted."""
-    penalty = fit.residual_var / max(fit.effect_vars[factor], 1e-9)
+    """Level effects with the half-width of a 95% interval given the other effects, sorted."""
+    penalty = fit.residual_var / fit.effect_vars[factor]
     width = F.lit(1.96) * F.sqrt(F.lit(fit.residual_var) / (F.col("n") + F.lit(penalty)))
     return fit.effects[factor].withColumn("half_width", width).orderBy("effect")

@@ -227,7 +227,8 @@ def test_mixed_model_recovers_components(spark):
     rows = [(i, j, float(x := rng.normal()), float(1 + 0.5 * x + rater[i] + person[j] + rng.normal(scale=0.5)))
             for i in range(60) for j in range(50) if rng.random() < 0.4]
     df = spark.createDataFrame(rows, "rater int, person int, x double, y double")
-    fit = mixed.fit_intercepts(df, "y", ["x"], {"rater": ["rater"], "person": ["person"]}, iterations=8)
+    fit = mixed.fit_intercepts(df, "y", ["x"], {"rater": ["rater"], "person": ["person"]})
+    assert fit.converged
     assert fit.beta[1] == pytest.approx(0.5, abs=0.06)
     assert fit.residual_var == pytest.approx(0.25, abs=0.06)
     assert fit.effect_vars["person"] == pytest.approx(person.var(), rel=0.3)
@@ -237,6 +238,39 @@ def test_mixed_model_recovers_components(spark):
     assert fitted.agg(F.avg(F.col("residual") * F.col("residual"))).first()[0] < 0.3
 
 
+def test_mixed_fit_solves_the_dense_equations(spark):
+    """200 rows with a missing key, a nested factor and clashing names: effects, coefficients and moments as by matrices."""
+    rng = np.random.default_rng(6)
+    n, id_, b = 200, rng.integers(0, 12, 200), rng.integers(0, 9, 200)
+    g, x = b % 3, rng.normal(size=n)
+    y = 1 + 0.5 * x + rng.normal(size=12)[id_] + rng.normal(size=9)[b] * 0.7 + rng.normal(size=n) * 0.7
+    rows = [(int(i), int(j) if j else None, int(k), float(u), float(v)) for i, j, k, u, v in zip(id_, b, g, x, y)]
+    df = spark.createDataFrame(rows, "id int, b int, n int, x double, y double").repartition(3)
+    fit = mixed.fit_intercepts(df, "y", ["x"], {"id": ["id"], "b": ["b", "n"], "n": ["n"]})
+    assert fit.converged and fit.gradient <= 1e-6
+    levels = [(id_, 12, "id"), (b, 9, "b"), (g, 3, "n")]
+    ones, z = np.c_[np.ones(n), x], np.concatenate([(v[:, None] == np.arange(k)) for v, k, _ in levels], axis=1).astype(float)
+    penalty = np.concatenate([np.full(k, fit.residual_var / fit.effect_vars[f]) for _, k, f in levels])
+    m = np.block([[ones.T @ ones, ones.T @ z], [z.T @ ones, z.T @ z + np.diag(penalty)]])
+    want = np.linalg.solve(m, np.r_[ones.T @ y, z.T @ y])
+    assert np.allclose(fit.beta, want[:2], atol=1e-6)
+    got = np.zeros(24)
+    for r in fit.effects["id"].collect():
+        got[r.id] = r.effect
+    for r in fit.effects["b"].collect():
+        got[12 + (r.b or 0)] = r.effect
+    for r in fit.effects["n"].collect():
+        got[21 + r.n] = r.effect
+    assert np.allclose(got, want[2:], atol=1e-6)
+    rest = y - ones @ fit.beta
+    within = [sum(((rest[v == k] - rest[v == k].mean()) ** 2).sum() for k in set(v)) for v, _, _ in levels]
+    c = [(v[:, None] == np.arange(k)).astype(float) for v, k, _ in levels]
+    left = [[n - k, *[0 if f == h else n - ((c[f].T @ c[h]) ** 2 / c[f].sum(0)[:, None]).sum() for h in range(3)]] for f, (_, k, _) in enumerate(levels)]
+    left.append([n - 1, *[n - (v.sum(0) ** 2).sum() / n for v in c]])
+    found = np.linalg.solve(np.array(left), [*within, ((rest - rest.mean()) ** 2).sum()])
+    assert np.allclose([fit.residual_var, *fit.effect_vars.values()], [found[0], *np.maximum(found[1:], mixed.LEAST * found[0])], rtol=1e-4)
+
+
 def test_eigenvalues_match_numpy(spark):
     rng = np.random.default_rng(9)
     traits = ["A", "B", "C"]
