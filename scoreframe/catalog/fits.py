@@ -12,7 +12,7 @@ from scoreframe.catalog.jobs_scores import rounded, sets
 from scoreframe.catalog.windows import z_sql
 from scoreframe.functions.missing import correlation
 from scoreframe.functions.text import TRAITS
-from scoreframe.operators import covariance, grouped, joins, mixed, ordinal, proximity, regression, reshape
+from scoreframe.operators import covariance, grouped, joins, mixed, ordinal, ordinal_mode, proximity, regression, reshape
 from scoreframe.operators.choice import fit_strengths, log_likelihood
 from scoreframe.operators.lines import fit_lines, fit_weighted_lines
 from scoreframe.plans import scores
@@ -384,6 +384,22 @@ def m13_cuts(st):
     return cuts.select("rater", *[F.round(F.get("cuts", F.lit(k - 1)), 6).alias(f"c{k}") for k in range(1, 5)])
 
 
+@query("m13_posterior_scores")
+def m13_mode(st):
+    """Scores at the posterior mode with standard errors; ``converged`` says that the gradient is 0 everywhere."""
+    fit = ordinal_mode.fit_mode(rating_facts(st), 5, ["ratee", "trait"], ["rater"])
+    return fit.scores.withColumns({"steps": F.lit(fit.steps), "converged": F.lit(fit.converged)})
+
+
+@query("m13_posterior_cut_points")
+def m13_mode_cuts(st):
+    """Cut points of the classes' teachers at the posterior mode, beside the number of their marks."""
+    marks = teacher_long(st).filter("teacher_raw > 0").select("name", "trait", "grp", F.col("teacher_raw").cast("int").alias("y"))
+    fit = ordinal_mode.fit_mode(marks, 5, ["name", "trait"], ["grp"])
+    cuts = [F.get("cuts", F.lit(k - 1)).alias(f"c{k}") for k in range(1, 5)]
+    return fit.cuts.select("grp", *cuts, "n", F.lit(fit.converged).alias("converged"))
+
+
 def score_matrix(st):
     return reshape.to_wide(st.person_scores, ["person", "grp"], "trait", "theta", TRAITS)
 
