@@ -1,16 +1,17 @@
 """Licence scans: TF-IDF cosine of notices to templates, then inheritance along directories.
 
-A notice is a sentence or line anywhere in a file, and for a licence file (by its name) also
-its whole text. Its words are weighted by their number and by the inverse document frequency
-over all files; words that no template has weigh like the templates' average word. The best
-template at ``cosine`` or more is the file's own licence. A directory has the licence of its
-best licence file. A file without a licence of its own takes that of its nearest ancestor
-directory, found by joins on directory paths.
+A notice is a sentence or line anywhere in a file, two neighbouring ones, and for a licence
+file (by its name) also its whole text. Words are weighted by their number and by the inverse
+document frequency, counted for every word over all files. A template is a licence's text or
+a notice in common use; one that names a version only counts where the notice has its numbers.
+The best template at ``cosine`` or more is the file's own licence. A directory has the licence
+of its best licence file. A file without a licence of its own takes that of its nearest
+ancestor directory, found by joins on directory paths.
 
 A notice can only reach the cosine if it holds one of the templates' weightiest words: what
-the others of a template's words add up to stays below it. Sentences without any are left
-out before words are dealt, which loses nothing. Everything is DataFrame functions; only the
-weights of the templates' words (bounded by the templates) reach the driver.
+the others of a template's words add up to stays below it, whatever else the notice says.
+Notices without any are left out before words are dealt, which loses nothing. Everything is
+DataFrame functions; only the weights of the templates' words reach the driver.
 
 Defined results: a missing text is empty and has no licence of its own; a missing path lies
 in no directory and inherits nothing; equal rows get equal results, and of several files at
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,20 +32,66 @@ from scoreframe.llm.text import quoted, whole
 from scoreframe.session import cut_lineage
 
 COSINE = 0.6
-#: Notices in common use, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright, CC0 public domain dedication",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "LicenseRef-reserved": "Copyright. All rights reserved",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+# Licence texts and notices in common use, by SPDX name.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+    "is furnished to do so, subject to the following conditions: ")
+MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+    "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. ")
+BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. ")
+BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+TEMPLATES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License, Version 2.0, http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", BSD_GRANT + BSD_REST),
+    ("BSD-3-Clause", BSD_GRANT + BSD_NAMES + BSD_REST),
+    ("BSD-3-Clause", BSD_NAMES),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright, CC0 public domain dedication"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LicenseRef-reserved", "Copyright. All rights reserved"),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", "MIT License, Copyright"),
+    ("MIT", MIT_GRANT),
+    ("MIT", MIT_GRANT + MIT_REST),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 WORD_BREAKS = r"[^\p{L}\p{N}]+"
 
@@ -52,28 +100,22 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), WORD_BREAKS), "")
 
 
-def _template_terms(templates: dict[str, str]) -> dict[str, dict[str, int]]:
-    out: dict[str, dict[str, int]] = {}
-    for name, text in templates.items():
-        counts: dict[str, int] = {}
-        for term in re.findall(r"[^\W_]+", text.lower()):
-            counts[term] = counts.get(term, 0) + 1
-        out[name] = counts
-    return out
+def _counted(text: str) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for term in re.findall(r"[^\W_]+", text.lower()):
+        counts[term] = counts.get(term, 0) + 1
+    return counts
 
 
-def weights_of(files: DataFrame, vocabulary: list[str]) -> dict[str, float]:
-    """Smoothed inverse document frequency of the templates' words over all files."""
-    own = F.array_intersect(terms_of(whole()), F.array(*map(F.lit, vocabulary)))
-    counts = files.select(F.explode(F.concat(F.array(F.lit("")), own)).alias("term")).groupBy("term").count()
-    n = {r["term"]: r["count"] for r in counts.collect()}  # one row for each word of the templates
-    return {t: math.log((1 + n.get("", 0)) / (1 + n.get(t, 0))) + 1 for t in vocabulary}
+def frequencies(files: DataFrame) -> DataFrame:
+    """(term, df): in how many files each word occurs; one pre-aggregated shuffle, written once."""
+    return cut_lineage(files.select(F.explode(F.array_distinct(terms_of(whole()))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
 
 
-def key_terms(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
+def key_terms(vectors: list[dict[str, float]], cosine: float) -> list[str]:
     """Per template its weightiest words, until the rest cannot reach the cosine alone."""
     keys = set()
-    for vector in vectors.values():
+    for vector in vectors:
         rest = sum(w * w for w in vector.values())
         bound = cosine * cosine * rest * 0.999
         for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
@@ -84,31 +126,39 @@ def key_terms(vectors: dict[str, dict[str, float]], cosine: float) -> list[str]:
     return sorted(keys)
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str], cosine: float = COSINE) -> DataFrame:
+def notices_of(text: Column, path: Column, keys: list[str]) -> Column:
+    """Sentences and lines, neighbouring ones in pairs, and the whole of a licence file, if they hold a key word."""
+    lines = F.filter(F.split(text, r"\n|(?<=[.!?;])[\x20\t]+"), lambda s: F.trim(s) != "")
+    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    file = F.when(F.coalesce(path, F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
+    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(keys)})(?![\p{{L}}\p{{N}}])"
+    return F.array_distinct(F.filter(F.concat(file, lines, pairs), lambda s: s.isNotNull() & s.rlike(holds_key)))
+
+
+def own_licenses(files: DataFrame, templates: Iterable[tuple[str, str]], cosine: float = COSINE) -> DataFrame:
     """(key, license, score) of the files (key, path, text) that have a licence of their own."""
-    counts = _template_terms(templates)
-    vocabulary = sorted({t for c in counts.values() for t in c})
-    idf = weights_of(files, vocabulary)
-    usual = sum(idf.values()) / len(idf)
-    vectors = {name: {t: n * idf[t] for t, n in c.items()} for name, c in counts.items()}
-    keys = key_terms(vectors, cosine)
-    spark = files.sparkSession
-    lengths = {name: math.sqrt(sum(w * w for w in v.values())) for name, v in vectors.items()}
-    of_term = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    named = [(name, _counted(text)) for name, text in templates]
+    vocabulary = sorted({t for _, counts in named for t in counts})
+    spark, n_files, table = files.sparkSession, files.count(), frequencies(files)
+    inverse = F.log((1.0 + F.lit(float(n_files))) / (1.0 + F.col("df"))) + 1.0
+    known = table.join(F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string")), "term")
+    idf = {t: math.log(1.0 + n_files) + 1.0 for t in vocabulary}
+    idf |= {r.term: r.idf for r in known.select("term", inverse.alias("idf")).collect()}
+    vectors = [{t: n * idf[t] for t, n in counts.items()} for _, counts in named]
+    lengths = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    numbers = [sum(t.isdigit() for t in v) for v in vectors]
     of_template = spark.createDataFrame(
-        sorted((t, name, w / lengths[name]) for name, v in vectors.items() for t, w in v.items()),
-        "term string, license string, share double")
-    text = whole()
-    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(keys)})(?![\p{{L}}\p{{N}}])"
-    sentences = F.filter(F.split(text, r"\n|(?<=[.!?;])[\x20\t]+"), lambda s: s.rlike(holds_key))
-    whole_file = F.when(F.coalesce(F.col("path"), F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    notices = files.select("key", F.posexplode(F.concat(whole_file, sentences)).alias("notice", "words"))
+        [(t, name, i, w / lengths[i], t.isdigit(), numbers[i]) for i, ((name, _), v) in enumerate(zip(named, vectors, strict=True)) for t, w in v.items()],
+        "term string, license string, template int, share double, number boolean, numbers int")
+    found = notices_of(whole(), F.col("path"), key_terms(vectors, cosine))
+    notices = files.select("key", F.posexplode(found).alias("notice", "words"))
     terms = notices.select("key", "notice", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("key", "notice", "term").count()
-    weighted = terms.join(F.broadcast(of_term), "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(usual)))
+    weighted = cut_lineage(terms.join(table, "term").withColumn("w", F.col("count") * inverse).drop("df"))
     length = weighted.groupBy("key", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighted.join(F.broadcast(of_template), "term").groupBy("key", "notice", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scores = dots.join(length, ["key", "notice"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9)).where(F.col("score") >= cosine)
-    best = scores.groupBy("key", "license").agg(F.max("score").alias("score")).groupBy("key").agg(
+    dots = weighted.join(F.broadcast(of_template), "term").groupBy("key", "notice", "template", "license").agg(
+        F.sum(F.col("w") * F.col("share")).alias("dot"), (F.count_if("number") == F.max("numbers")).alias("versions"))
+    scores = dots.where("versions").join(length, ["key", "notice"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
+    best = scores.where(F.col("score") >= cosine).groupBy("key", "license").agg(F.max("score").alias("score")).groupBy("key").agg(
         F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("key", "best.license", (-F.col("best.minus")).alias("score"))
 
@@ -119,7 +169,7 @@ def directories(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat_ws("/", F.slice(parts, 1, i)))
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, cosine: float = COSINE) -> DataFrame:
+def scan(files: DataFrame, templates: Iterable[tuple[str, str]] | None = None, cosine: float = COSINE) -> DataFrame:
     """(path, license, score, origin, from_directory) of each row of (path, text, ...).
 
     ``origin`` is ``own``, ``inherited`` or NULL. Other columns of ``files`` are kept, but
