@@ -104,6 +104,57 @@ def test_own_and_inherited_licences(spark):
     }
 
 
+def test_licences_are_found_under_their_own_version(spark):
+    wrapped = lambda text: "\n".join(re.findall(r".{1,70}(?:\s|$)", text))
+    texts = {
+        "MIT": [wrapped("MIT License. Copyright (c) 2020 Someone\n\n" + licenses.MIT_GRANT + licenses.MIT_REST), licenses.MIT_GRANT,
+                "MIT License\n\nCopyright (c) 2020 Someone"],
+        "BSD-2-Clause": [wrapped("Copyright (c) 2020, Someone\n" + licenses.BSD_GRANT + licenses.BSD_REST)],
+        "BSD-3-Clause": [wrapped("Copyright (c) 2020, Someone\n" + licenses.BSD_GRANT + licenses.BSD_NAMES + licenses.BSD_REST)],
+        "Apache-2.0": ["                    Apache License\n              Version 2.0, January 2004\n           http://www.apache.org/licenses/",
+                       'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file'],
+        "Apache-1.1": ["Apache License 1.1", "The Apache Software License, Version 1.1"],
+        "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "GNU General Public License, version 2",
+                    "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991"],
+        "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"],
+        "LGPL-2.1": ["GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999"],
+        "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"],
+        "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."],
+        None: ["GNU General Public License, version 9", "A general remark on public things"],
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.concat(F.lit("corpus/"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    rows = [(f"{name}/{i}/LICENSE", text) for name, own in texts.items() for i, text in enumerate(own)]
+    got = {r.path: r.license for r in licenses.scan(docs.unionByName(spark.createDataFrame(rows, "path string, text string"))).collect() if not r.path.startswith("corpus")}
+    assert got == {path: None if path.startswith("None") else path.split("/")[0] for path, _ in rows}
+
+
+def test_cosines_equal_plain_arithmetic(spark, documents):
+    import regex
+
+    def words(text):
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+
+    got = {r.doc_id: r for r in QUERIES["op2_license_scans"](spark, FOLDER).collect()}
+    df = Counter(w for d in documents.values() for w in set(words(d.text or "")))
+    idf = lambda w: math.log((1 + len(documents)) / (1 + df[w])) + 1
+    templates = [(name, Counter(words(text))) for name, text in licenses.TEMPLATES]
+    length = lambda c: math.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
+    for key, doc in documents.items():
+        text = doc.text or ""
+        lines = [x for x in re.split(r"\n|(?<=[.!?;])[ \t]+", text) if x.strip(" ")]
+        notices = [*lines, *(f"{a} {b}" for a, b in zip(lines, lines[1:])), *([text] if key % 10 == 0 else [])]
+        best = (0.0, None)
+        for notice in map(Counter, map(words, notices)):
+            for name, counts in templates:
+                if all(notice[w] for w in counts if w.isdigit()) and notice:
+                    score = sum(n * notice[w] * idf(w) ** 2 for w, n in counts.items()) / length(counts) / length(notice)
+                    best = max(best, (round(score, 9), name), key=lambda x: x[0])
+        if best[0] >= licenses.COSINE:
+            assert got[key].origin == "own" and math.isclose(got[key].score, best[0], abs_tol=1e-8) and got[key].license == best[1]
+        else:
+            assert got[key].origin != "own"
+
+
 def test_base_spans_match_the_plain_patterns():
     import random
 
