@@ -126,13 +126,21 @@ def key_terms(vectors: list[dict[str, float]], cosine: float) -> list[str]:
     return sorted(keys)
 
 
-def notices_of(text: Column, path: Column, keys: list[str]) -> Column:
-    """Sentences and lines, neighbouring ones in pairs, and the whole of a licence file, if they hold a key word."""
-    lines = F.filter(F.split(text, r"\n|(?<=[.!?;])[\x20\t]+"), lambda s: F.trim(s) != "")
-    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    file = F.when(F.coalesce(path, F.lit("")).rlike(LICENSE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(keys)})(?![\p{{L}}\p{{N}}])"
-    return F.array_distinct(F.filter(F.concat(file, lines, pairs), lambda s: s.isNotNull() & s.rlike(holds_key)))
+def notices_of(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, notice, words): sentences and lines, neighbouring ones in pairs, and the whole of a licence file, if they hold a key word.
+
+    Every line is searched once; a pair or a file holds a key word if one of its lines does.
+    """
+    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(keys)})(?![\p{{L}}\p{{N}}])"
+    lines = F.filter(F.split(whole(), r"\n|(?<=[.!?;])[\x20\t]+"), lambda s: F.trim(s) != "")
+    marked = files.select("key", "path", whole().alias("text"), F.transform(lines, lambda s: F.struct(s.alias("s"), s.rlike(holds_key).alias("hit"))).alias("lines"))
+    is_file = F.coalesce(F.col("path"), F.lit("")).rlike(LICENSE_FILE) & F.exists("lines", lambda x: x["hit"])
+    file = F.when(is_file, F.array("text")).otherwise(F.array().cast("array<string>"))
+    own = F.transform(F.filter("lines", lambda x: x["hit"]), lambda x: x["s"])
+    after = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    pairs = F.zip_with("lines", after, lambda a, b: F.when(a["hit"] | b["hit"], F.concat_ws(" ", a["s"], b["s"])))
+    found = F.array_distinct(F.concat(file, own, F.filter(pairs, lambda s: s.isNotNull())))
+    return marked.select("key", F.posexplode(found).alias("notice", "words"))
 
 
 def own_licenses(files: DataFrame, templates: Iterable[tuple[str, str]], cosine: float = COSINE) -> DataFrame:
@@ -150,8 +158,7 @@ def own_licenses(files: DataFrame, templates: Iterable[tuple[str, str]], cosine:
     of_template = spark.createDataFrame(
         [(t, name, i, w / lengths[i], t.isdigit(), numbers[i]) for i, ((name, _), v) in enumerate(zip(named, vectors, strict=True)) for t, w in v.items()],
         "term string, license string, template int, share double, number boolean, numbers int")
-    found = notices_of(whole(), F.col("path"), key_terms(vectors, cosine))
-    notices = files.select("key", F.posexplode(found).alias("notice", "words"))
+    notices = notices_of(files, key_terms(vectors, cosine))
     terms = notices.select("key", "notice", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("key", "notice", "term").count()
     weighted = cut_lineage(terms.join(table, "term").withColumn("w", F.col("count") * inverse).drop("df"))
     length = weighted.groupBy("key", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
