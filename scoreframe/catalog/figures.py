@@ -104,12 +104,12 @@ def v9(st):
 
 
 @query("v10_observed_and_fitted", mixed_sql("""
-SELECT rater, ratee, trait, score, round(a + b * tax + x.effect + y.effect + z.effect, 5) AS fitted
+SELECT rater, ratee, trait, score, round(a + b * tax + x.effect + y.effect + z.effect, 4) AS fitted
 FROM cells CROSS JOIN beta JOIN effects x ON x.id = k0 JOIN effects y ON y.id = k1 JOIN effects z ON z.id = k2"""))
 def v10(st):
     rows, fit = mixed_fit(st)
     out = mixed.fitted_values(rows, fit, "score", FACTORS)
-    return out.select("rater", "ratee", "trait", "score", F.round("fitted", 5).alias("fitted"))
+    return out.select("rater", "ratee", "trait", "score", F.round("fitted", 4).alias("fitted"))
 
 
 @query("v11_coefficients_in_order", f"""

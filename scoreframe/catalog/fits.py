@@ -151,7 +151,7 @@ def m8(st):
 
 
 FACTORS = {"rater": ["rater"], "cell": ["ratee", "trait"], "grp": ["grp"]}
-SQL_ROUNDS, SQL_STEPS = 2, 40  # of the SQL alone: past the point where the fit stops by itself
+SQL_ROUNDS, SQL_STEPS = 3, 40  # of the SQL alone: past the point where the fit stops by itself
 
 
 def moment_sql(t: int, beta: str) -> list[str]:
@@ -226,7 +226,7 @@ RESPONSE = "score + (rater % 5) * 0.5 + ((ratee * 7) % 11) * 0.2"
 def mixed_fit(st, response: str = "score"):
     rows = st.ratings.filter("score IS NOT NULL").select(
         "rater", "ratee", "trait", "grp", "tax", F.expr(response).cast("double").alias("score"), "l_orderkey", "l_linenumber")
-    return rows, mixed.fit_intercepts(rows, "score", ["tax"], FACTORS)
+    return rows, mixed.fit_intercepts(rows, "score", ["tax"], FACTORS, tolerance=1e-8)
 
 
 @query("m9_random_intercepts", mixed_sql("""

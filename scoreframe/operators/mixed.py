@@ -25,6 +25,8 @@ from scoreframe.session import cut_lineage
 
 #: An effect variance counts as at least this share of the residual variance.
 LEAST = 1e-9
+#: Sums of doubles are not held to less than this share of the largest one.
+EXACT = 2e-14
 
 
 class MixedFit:
@@ -172,6 +174,7 @@ class Solver:
             row = table.agg(F.max(F.abs(F.col("b") - q)).alias("most"), F.sum((F.col("b") - q) ** 2 / scale).alias("rz"), *fixed_parts).first()
             rest = d.xy - np.array([row[f"q{j}"] for j in range(d.p)])
             self.gradient = max(row.most, np.abs(rest).max())
+            tolerance = max(tolerance, EXACT * np.abs(d.xy).max())
             if self.gradient <= tolerance or self.steps >= max_steps:
                 return self.gradient <= tolerance
             ahead = np.linalg.solve(d.xx, rest)
