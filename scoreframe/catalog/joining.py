@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreframe.catalog import query
-from scoreframe.operators import grouped, joins
+from scoreframe.operators import grouped, joins, links
 from scoreframe.operators.choice import nomination_counts
 
 
@@ -149,6 +149,17 @@ def j11_ambiguous(st):
     return joins.ambiguous_keys(ids, "email")
 
 
+@query("j11_identity_components", f"""
+WITH RECURSIVE {IDENTITY_SQL}, first AS (SELECT email, min(id) AS hub FROM ids GROUP BY email),
+edges AS MATERIALIZED (SELECT DISTINCT id AS x, hub AS y FROM ids JOIN first USING (email) UNION SELECT DISTINCT hub, id FROM ids JOIN first USING (email)),
+reach AS (SELECT DISTINCT x, x AS y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x)
+SELECT x AS id, min(y) AS component FROM reach GROUP BY x""")
+def j11_components(st):
+    """One identity for all form rows that share an address or name, directly or over others."""
+    ids = joins.identity_lookup(st.demographic_form, "id", ["name", "student_id", "alternate_email"])
+    return links.components(ids, "id", "email")
+
+
 @query("j12_zero_fill", """
 SELECT p.person, p.trait, coalesce(c.n, 0) AS n FROM person_scores p LEFT JOIN (
   SELECT nominee, trait, grp, count(*) AS n FROM nominations GROUP BY ALL) c

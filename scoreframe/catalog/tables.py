@@ -146,6 +146,17 @@ def k1(st):
     return st.spark.read.parquet(path)
 
 
+@query("k1_versioned_scores", """
+SELECT person, grp, trait, theta FROM person_scores""")
+def k1_versioned(st):
+    """The current version: the whole table, published after one that lacks the people without an interview."""
+    root = scratch_root(st.spark) + "/scores"
+    rows = st.person_scores
+    store.publish_version(rows.filter("interview_score IS NOT NULL").select("person", "grp", "trait", "theta"), root)
+    store.publish_version(rows.select("person", "grp", "trait", "theta"), root)
+    return store.read_version(st.spark, root)
+
+
 @query("k2_day_stamped_table", """
 SELECT grp, count(*) AS n, DATE '2020-09-17' AS as_of FROM roster GROUP BY grp""")
 def k2(st):

@@ -336,6 +336,7 @@ def with_views(sql: str) -> str:
     head = ",\n".join(f"{v} AS MATERIALIZED ({VIEW_SQL[v]})" for v in needed)
     if not head:
         return body
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,48 @@ def snapshot(spark: SparkSession, root: str, name: str, as_of: str,
 def history(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All snapshots; ``as_of`` is a partition column, so dates prune files."""
     return spark.read.parquet(f"{root}/{name}")
+
+
+def _at(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Names of the finished versions of a table, oldest first."""
+    fs, where = _at(spark, f"{root}/finished")
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def publish_version(df: DataFrame, root: str, keep: int = 3) -> str:
+    """Write a new version beside the old ones, then make it the current one; returns its name.
+
+    The rows go to a folder of their own. Only when they are all there does an empty file of
+    the version's name appear under ``finished``, in one step, so a reader sees the old
+    version or the new one and a failed write changes nothing. Readers that began earlier go
+    on with the old files: the last ``keep`` versions stay, older ones are removed, their mark
+    first. Of two writers at the same time the one with the greater name is current.
+    """
+    if keep < 1:
+        raise ValueError("keep one version at least")
+    spark = df.sparkSession
+    known = versions(spark, root)
+    name = f"{int(known[-1].split('-')[0]) + 1 if known else 1:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/rows/{name}")
+    fs, mark = _at(spark, f"{root}/finished/{name}")
+    if not fs.createNewFile(mark):
+        raise FileExistsError(f"{root}/finished/{name}")
+    for old in versions(spark, root)[:-keep]:
+        for part in ("finished", "rows"):
+            fs, where = _at(spark, f"{root}/{part}/{old}")
+            fs.delete(where, True)
+    return name
+
+
+def read_version(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """The current version of a published table, or the named one."""
+    known = versions(spark, root)
+    if not known or (name is not None and name not in known):
+        raise FileNotFoundError(f"no version {name or ''} under {root}")
+    return spark.read.parquet(f"{root}/rows/{name or known[-1]}")
