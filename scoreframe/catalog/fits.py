@@ -13,7 +13,7 @@ from scoreframe.catalog.windows import z_sql
 from scoreframe.functions.missing import correlation
 from scoreframe.functions.text import TRAITS
 from scoreframe.operators import covariance, grouped, joins, mixed, ordinal, ordinal_mode, proximity, regression, reshape
-from scoreframe.operators.choice import fit_strengths, log_likelihood
+from scoreframe.operators.choice import fit_correlated_strengths, fit_strengths, log_likelihood
 from scoreframe.operators.lines import fit_lines, fit_weighted_lines
 from scoreframe.plans import scores
 
@@ -301,6 +301,13 @@ def m11(st):
     return fit_strengths(sets(st), st.roster).withColumn("theta", F.round("theta", 4)).drop("steps")
 
 
+@query("m11_correlated_strengths")
+def m11_correlated(st):
+    """Strengths under a prior in which traits go together as the people's scores do."""
+    prior = covariance.trait_correlations(score_matrix(st), TRAITS)
+    return fit_correlated_strengths(sets(st), st.roster, TRAITS, prior)
+
+
 def rating_facts(st):
     return st.ratings.filter("score IS NOT NULL").select("rater", "ratee", "trait", F.col("score").cast("int").alias("y"))
 
@@ -400,6 +407,14 @@ def m13_mode_cuts(st):
     return fit.cuts.select("grp", *cuts, "n", F.lit(fit.converged).alias("converged"))
 
 
+@query("m13_correlated_scores")
+def m13_correlated(st):
+    """Scores of all traits of every rated person at the mode; traits inform each other through the prior."""
+    prior = (TRAITS, covariance.trait_correlations(score_matrix(st), TRAITS))
+    fit = ordinal_mode.fit_mode(rating_facts(st), 5, ["ratee", "trait"], ["rater"], trait="trait", covariance=prior)
+    return fit.scores.withColumns({"steps": F.lit(fit.steps), "converged": F.lit(fit.converged)})
+
+
 def score_matrix(st):
     return reshape.to_wide(st.person_scores, ["person", "grp"], "trait", "theta", TRAITS)
 

@@ -10,6 +10,7 @@ strongest members apart, so that taking one out never cancels the rest.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,11 +176,8 @@ def fit_strengths(sets: DataFrame, roster: DataFrame, max_steps: int = 500, shap
                         F.lit(steps).alias("steps"), F.lit(converged).alias("converged"))
 
 
-def _strength_step(state: DataFrame, patterns: DataFrame, shape: float, rate: float) -> DataFrame:
-    """One step: the best common scale of a group under the prior, then each member's strength."""
-    parts = _parts(state)
-    everyone = _log_sum(F.lit(True), F.col("top_2").isNotNull(), F.coalesce("rest", F.lit(0.0)))
-    parts = parts.withColumn("scale", F.log(F.col("members") * ((shape - 1.0) / rate)) - everyone)
+def _faced(state: DataFrame, patterns: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds ``scale`` and ``faced``: the inverse set sums, over exp(scale), of the sets a member is in."""
     p = _with_set_sum(patterns, state, parts)
     p = p.withColumn("inv", F.col("n") * F.exp(-F.col("log_sum") - F.col("scale")))
     faced_by = p.groupBy(*GROUP).agg(
@@ -195,10 +193,99 @@ def _strength_step(state: DataFrame, patterns: DataFrame, shape: float, rate: fl
     faced = (F.when(F.col("person") == F.col("top_1.person"), F.coalesce("inv_1", none))
              .when(F.col("person") == F.col("top_2.person"), F.coalesce("inv_2", none))
              .otherwise(F.greatest(F.coalesce("inv_all", none) - F.coalesce("inv_out", none), none)))
-    new = F.log((F.col("wins") + (shape - 1.0)) / (faced + F.lit(float(rate))))
+    return s.select(*state.columns, "scale", faced.alias("faced"))
+
+
+def _strength_step(state: DataFrame, patterns: DataFrame, shape: float, rate: float) -> DataFrame:
+    """One step: the best common scale of a group under the prior, then each member's strength."""
+    parts = _parts(state)
+    everyone = _log_sum(F.lit(True), F.col("top_2").isNotNull(), F.coalesce("rest", F.lit(0.0)))
+    parts = parts.withColumn("scale", F.log(F.col("members") * ((shape - 1.0) / rate)) - everyone)
+    s = _faced(state, patterns, parts)
+    new = F.log((F.col("wins") + (shape - 1.0)) / (F.col("faced") + F.lit(float(rate))))
     return s.select("grp", "trait", "person", "wins", new.alias("theta"),
                     F.abs(new - F.col("theta") - F.col("scale")).alias("move"))
 
 
+def _person_modes(precision: np.ndarray):
+    """Batch function: each person's best scores of all traits while the sets' sums stay as they are.
+
+    The height w theta - f exp(theta) - theta' P theta / 2 is concave; Newton steps on the
+    traits together are halved where they would lead down.
+    """
+    def height(theta, wins, faced):
+        with np.errstate(over="ignore"):
+            return (wins * theta - faced * np.exp(theta)).sum(1) - 0.5 * np.einsum("bi,ij,bj->b", theta, precision, theta)
+
+    def solve(batches):
+        for pdf in batches:
+            theta, wins, faced = (np.array(pdf[c].tolist(), dtype=float).reshape(-1, len(precision)) for c in ("theta", "wins", "faced"))
+            slope = wins - faced * np.exp(theta) - theta @ precision
+            pdf["gradient"] = list(slope)
+            best = height(theta, wins, faced)
+            for _ in range(100):
+                pull = faced * np.exp(theta)
+                curve = precision + pull[:, :, None] * np.eye(len(precision))
+                step = np.linalg.solve(curve, (wins - pull - theta @ precision)[:, :, None])[:, :, 0]
+                t = np.ones(len(theta))
+                new = height(theta + step, wins, faced)
+                while (worse := ~(new >= best - 1e-12 * np.abs(best))).any() and t.min() > 1e-9:
+                    t[worse] /= 2
+                    new = height(theta + t[:, None] * step, wins, faced)
+                theta, best = theta + t[:, None] * step, np.maximum(new, best)
+                if not len(step) or np.abs(step).max() < 1e-12:
+                    break
+            pdf["moved"] = list(theta)
+            yield pdf[["grp", "person", "wins", "theta", "moved", "gradient"]]
+
+    return solve
+
+
+def fit_correlated_strengths(sets: DataFrame, roster: DataFrame, traits: list[str], covariance: np.ndarray,
+                             max_steps: int = 500, tolerance: float = 1e-6) -> DataFrame:
+    """Choice-model strengths under a normal prior in which a person's traits vary together.
+
+    ``covariance`` is that of ``traits`` and must be positive definite. Each step bounds the
+    log sums from below at the present strengths, as ``fit_strengths`` does, which leaves one
+    small problem for each person: all traits at once, coupled by the prior; then each group's
+    mean is set to 0, the best common shift. A trait without
+    choices in a person's group is told from the person's other traits. Steps go on until no
+    entry of the posterior's gradient is larger than ``tolerance``; ``gradient``, ``steps``
+    and ``converged`` report it.
+    """
+    covariance = np.asarray(covariance, dtype=float)
+    if covariance.shape != (len(traits), len(traits)) or not np.allclose(covariance, covariance.T) or np.linalg.eigvalsh(covariance)[0] <= 0:
+        raise ValueError("needs a symmetric positive definite matrix with a row for each trait")
+    solve = _person_modes(np.linalg.inv(covariance))
+    valid = cut_lineage(sets.filter("winner_in_set").filter(F.col("trait").isin(list(traits))))
+    wins = valid.groupBy(*GROUP, F.col("nominee").alias("person")).agg(F.count(F.lit(1)).cast("double").alias("wins"))
+    patterns = cut_lineage(valid.groupBy(*GROUP, "out_1", "out_2").agg(F.count(F.lit(1)).alias("n")))
+    people = roster.select("grp", "person").withColumn("trait", F.explode(F.array(*[F.lit(t) for t in traits])))
+    people = left_on(people, wins, [*GROUP, "person"])
+    state = cut_lineage(people.select(*GROUP, "person", F.coalesce("wins", F.lit(0.0)).alias("wins"), F.lit(0.0).alias("theta")))
+    kinds = dict(state.dtypes)
+    schema = (f"grp {kinds['grp']}, person {kinds['person']}, wins array<double>, theta array<double>, "
+              "moved array<double>, gradient array<double>")
+
+    def vector(c: str) -> Column:
+        return F.array(*[F.max(F.when(F.col("trait") == t, F.col(c))) for t in traits]).alias(c)
+
+    names, steps = F.array(*[F.lit(t) for t in traits]), 0
+    while True:
+        met = _faced(state, patterns, _parts(state).withColumn("scale", F.lit(0.0)))
+        wide = met.groupBy("grp", "person").agg(*[vector(c) for c in ("wins", "theta", "faced")])
+        table = cut_lineage(wide.mapInPandas(solve, schema))
+        gradient = table.agg(F.max(F.array_max(F.transform("gradient", lambda g: F.abs(g))))).first()[0] or 0.0
+        converged = gradient <= tolerance
+        long = table.select("grp", "person", F.explode(F.arrays_zip(names.alias("trait"), "wins", "theta", "moved")).alias("v"))
+        if converged or steps >= max_steps:
+            return long.select("grp", "v.trait", "person", "v.wins", "v.theta", F.lit(float(gradient)).alias("gradient"),
+                               F.lit(steps).alias("steps"), F.lit(converged).alias("converged"))
+        # a common shift of a group changes no choice, so the prior alone sets it: to mean 0
+        moved = long.select("grp", "v.trait", "person", "v.wins", F.col("v.moved").alias("theta"))
+        state = cut_lineage(attach(moved, GROUP, __mean=F.avg("theta")).withColumn("theta", F.col("theta") - F.col("__mean")).drop("__mean"))
+        steps += 1
+
+
 def nomination_counts(nominations: DataFrame, by: list[str]) -> DataFrame:
     return nominations.groupBy(*by).agg(F.count(F.lit(1)).alias("n_nominations"))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreframe.functions.missing import all_present, as_col
+from scoreframe.functions.missing import all_present, as_col, correlation
 from scoreframe.operators.joins import left_on
 
 
@@ -34,6 +34,23 @@ def pair_statistics(wide: DataFrame, traits: list[str], by: list[str], stat=F.co
     return wide_cells.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
 
 
+def trait_correlations(wide: DataFrame, traits: list[str], shrink: float = 0.1) -> np.ndarray:
+    """Correlations over the rows that have both traits, drawn towards 0 by ``shrink``.
+
+    One aggregation and one row of k (k - 1) / 2 numbers. Pairs without two different values on both
+    sides count as 0. The result serves as the prior of the correlated fits.
+    """
+    k = len(traits)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    out = np.eye(k)
+    if pairs:
+        row = wide.agg(*[correlation(as_col(traits[i]), as_col(traits[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        for i, j in pairs:
+            value = row[f"c{i}_{j}"]
+            out[i, j] = out[j, i] = 0.0 if value is None or np.isnan(value) else (1.0 - shrink) * value
+    return out
+
+
 def compose(common: DataFrame, specific: DataFrame, scales: DataFrame, rho: float) -> DataFrame:
     """diag(tau) (rho Omega + (1 - rho) Omega_g) diag(tau) per group, as a long table.
 

@@ -11,6 +11,10 @@ factored in its own row), and conjugate gradients solve what is left for the sco
 product is two joins of the links by key with two partially aggregated sums. Nothing but
 sums over the whole table reaches the driver.
 
+A given covariance of traits replaces the N(0, 1) prior: a person's scores then share one
+normal prior, a trait without marks is told from the others, and a product also reads a
+row for each pair of traits of a person.
+
 The standard error of a score comes from its own entry after the raters are removed: cut
 points count as unknown, the other scores as known.
 """
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +66,21 @@ def _banded(right: list[Column], lower: list[Column], pivots: list[Column]) -> l
 
 
 class _Fit:
-    def __init__(self, facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str]):
+    def __init__(self, facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str], trait: str | None = None,
+                 prior: dict | None = None):
         self.k = levels - 1
-        inner = {c: f"__key_{i}" for i, c in enumerate(dict.fromkeys([*score_key, *cut_key]))}
+        inner = {c: f"__part_{i}" for i, c in enumerate(dict.fromkeys([*score_key, *cut_key]))}
         rows = facts.where(F.col("y").between(1, levels)).select(*[F.col(f"`{c}`").alias(v) for c, v in inner.items()], F.col("y").cast("int").alias("y"))
         rows = cut_lineage(rows.groupBy(*inner.values(), "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
         self.keys, ids = {}, {}
         for name, own in (("s", score_key), ("r", cut_key)):
             names = [inner[c] for c in own]
-            table = cut_lineage(number_rows(rows.groupBy(*names).agg(F.sum("n").alias("n")), names, name))
+            found = rows.groupBy(*names).agg(F.sum("n").alias("n"))
+            if name == "s" and prior:
+                found = self._completed(found, names, inner[trait], list(prior))
+            table = cut_lineage(number_rows(found, names, name))
+            if name == "s":
+                self.pairs = self._pairs(table, names, inner[trait], prior) if prior else None
             rows = left_on(rows, table.select(*names, name), names)
             ids[name] = table.select(name)
             self.keys[name] = table.select(F.col(name).alias("__id"), *[F.col(inner[c]).alias(c) for c in own], F.col("n").cast("bigint").alias("__n"))
@@ -77,13 +88,38 @@ class _Fit:
         self.theta = ids["s"].select("s", F.lit(0.0).alias("theta"))
         self.cuts = ids["r"].select("r", starting_cuts(self.cells, levels).alias("cuts")) if not self.cells.isEmpty() else None
 
+    @staticmethod
+    def _completed(found: DataFrame, names: list[str], trait: str, traits: list[str]) -> DataFrame:
+        """Every trait of every person, with 0 marks where there are none."""
+        person = [c for c in names if c != trait]
+        every = found.select(*person).distinct().withColumn(trait, F.explode(F.array(*[F.lit(t) for t in traits])))
+        return left_on(every, found, names).select(*names, F.coalesce("n", F.lit(0.0)).alias("n"))
+
+    @staticmethod
+    def _pairs(table: DataFrame, names: list[str], trait: str, prior: dict) -> DataFrame:
+        """(s, o, w): the prior's precision between two scores of one person, their own included."""
+        person = [c for c in names if c != trait]
+        slots = table.groupBy(*person).agg(F.array(*[F.max(F.when(F.col(trait) == t, F.col("s"))) for t in prior]).alias("slots"))
+        traits = list(prior)
+        entries = [F.struct(F.get("slots", F.lit(i)).alias("s"), F.get("slots", F.lit(j)).alias("o"), F.lit(float(prior[a][b])).alias("w"))
+                   for i, a in enumerate(traits) for j, b in enumerate(traits)]
+        return cut_lineage(slots.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+
+    def _prior_product(self, vector: DataFrame) -> DataFrame:
+        """(s, u): the prior's precision times a vector (s, p) of the scores."""
+        if self.pairs is None:
+            return vector.select("s", F.col("p").alias("u"))
+        other = vector.select(F.col("s").alias("o"), "p")
+        return self.pairs.join(other, "o").groupBy("s").agg(F.sum(F.col("w") * F.col("p")).alias("u"))
+
     def _cell(self, theta: DataFrame, cuts: DataFrame) -> DataFrame:
         return self.cells.join(theta, "s").join(cuts, "r")
 
     def objective(self, theta: DataFrame, cuts: DataFrame) -> float:
         """The height of the posterior, minus infinity where cut points are not increasing."""
         fit = self._cell(theta, cuts).agg(F.sum(F.col("n") * _log_cell())).first()[0]
-        own = theta.agg(F.sum(F.col("theta") * F.col("theta"))).first()[0]
+        met = theta.join(self._prior_product(theta.select("s", F.col("theta").alias("p"))), "s")
+        own = met.agg(F.sum(F.col("theta") * F.col("u"))).first()[0]
         c = [F.get("cuts", F.lit(i)) for i in range(self.k)]
         gaps = [b - a for a, b in zip(c, c[1:])]
         height = _sum([F.when(g > 0, F.log(F.when(g > 0, g))).otherwise(F.lit(-math.inf)) for g in gaps]) - _sum([x * x for x in c]) / 8
@@ -106,9 +142,16 @@ class _Fit:
             "s", "r", "y", (n * (up + lo - 1)).alias("g"), (n * fu).alias("gu"), (-n * fl).alias("gl"), (-n * fu * fl).alias("hm"),
             (n * fu * (fu - 1 + 2 * up)).alias("hu"), (n * fl * (fl + 1 - 2 * lo)).alias("hl"),
             (n * (up * (1 - up) + lo * (1 - lo))).alias("a")))
-        scores = rows.groupBy("s").agg(F.sum("g").alias("g"), (F.sum("a") + 1).alias("a"))
-        scores = cut_lineage(self.theta.join(scores, "s").withColumn("g", F.col("g") - F.col("theta")))
-        k, y, none = self.k, F.col("y"), F.lit(0.0)
+        scores = self.theta.join(rows.groupBy("s").agg(F.sum("g").alias("g"), F.sum("a").alias("a")), "s", "left")
+        scores = scores.join(self._prior_product(self.theta.select("s", F.col("theta").alias("p"))), "s")
+        own = F.lit(1.0)
+        if self.pairs is not None:
+            scores = scores.join(self.pairs.where("s = o").select("s", "w"), "s")
+            own = F.col("w")
+        none = F.lit(0.0)
+        scores = cut_lineage(scores.select("s", "theta", (F.coalesce("g", none) - F.col("u")).alias("g"),
+                                           (F.coalesce("a", none) + own).alias("a"), own.alias("own")))
+        k, y = self.k, F.col("y")
         parts = [F.sum(F.when(y == i, F.col("gu")).when(y == i + 1, F.col("gl")).otherwise(none)).alias(f"g{i}") for i in range(1, k + 1)]
         parts += [F.sum(F.when(y == i, F.col("hu")).when(y == i + 1, F.col("hl")).otherwise(none)).alias(f"d{i}") for i in range(1, k + 1)]
         parts += [F.sum(F.when(y == i + 1, F.col("hm")).otherwise(none)).alias(f"o{i}") for i in range(1, k)]
@@ -147,8 +190,8 @@ class _Fit:
         factors = raters.select("r", *_names("l", self.k - 1), *_names("q", self.k))
         b = [F.col(c) for c in _names("b", self.k)]
         own = _sum([x * z for x, z in zip(b, self._solved(factors, b), strict=True)])
-        taken = links.join(factors, "r").groupBy("s").agg(F.sum(own).alias("own"))
-        return cut_lineage(scores.join(taken, "s").withColumn("m", F.col("a") - F.col("own")).drop("own"))
+        taken = links.join(factors, "r").groupBy("s").agg(F.sum(own).alias("taken"))
+        return cut_lineage(scores.join(taken, "s", "left").withColumn("m", F.col("a") - F.coalesce("taken", F.lit(0.0))).drop("taken"))
 
     def direction(self, scores: DataFrame, raters: DataFrame, links: DataFrame, share: float, most: int) -> tuple[DataFrame, DataFrame, int]:
         """Newton's step (s, step) and (r, steps) by conjugate gradients until the rest is ``share`` of what it was."""
@@ -161,13 +204,16 @@ class _Fit:
         scores = self.without_raters(links, scores, raters)
         first = self._back(links, rater_part(raters, "g"))
         r, p, q, m = (F.col(c) for c in ("rest", "p", "q", "m"))
-        state = scores.join(first, "s").select("s", "a", "m", F.lit(0.0).alias("x"), (F.col("g") - F.col("v")).alias("rest"))
+        zero = F.lit(0.0)
+        state = scores.join(first, "s", "left").select("s", (F.col("a") - F.col("own")).alias("a"), "m", zero.alias("x"),
+                                                       (F.col("g") - F.coalesce("v", zero)).alias("rest"))
         state = cut_lineage(state.withColumn("p", r / m))
         begin = rz = state.agg(F.sum(r * r / m)).first()[0]
         count = 0
         while rz > share * share * begin and count < most:
             mid = rater_part(self._ahead(links, state.select("s", "p")).join(factors, "r"), "w")
-            table = cut_lineage(state.join(self._back(links, mid), "s").withColumn("q", F.col("a") * p - F.col("v")).drop("v"))
+            table = state.join(self._back(links, mid), "s", "left").join(self._prior_product(state.select("s", "p")), "s")
+            table = cut_lineage(table.withColumn("q", F.col("a") * p + F.col("u") - F.coalesce("v", zero)).drop("v", "u"))
             row = table.agg(F.sum(p * q).alias("pq"), F.sum(r * q / m).alias("rq"), F.sum(q * q / m).alias("qq"), F.sum(r * r / m).alias("rr")).first()
             step = row.rr / row.pq
             new = max(row.rr - 2 * step * row.rq + step * step * row.qq, 0.0)
@@ -186,13 +232,29 @@ class _Fit:
         return cut_lineage(theta), cut_lineage(cuts)
 
 
-def fit_mode(facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str], tolerance: float = 1e-6, max_steps: int = 50) -> ModeFit:
+def _precision(traits: list[str], covariance) -> dict:
+    matrix = np.asarray(covariance, dtype=float)
+    if matrix.shape != (len(traits), len(traits)) or not np.allclose(matrix, matrix.T) or np.linalg.eigvalsh(matrix)[0] <= 0:
+        raise ValueError("needs a symmetric positive definite matrix with a row for each trait")
+    inverse = np.linalg.inv(matrix)
+    return {a: {b: inverse[i, j] for j, b in enumerate(traits)} for i, a in enumerate(traits)}
+
+
+def fit_mode(facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str], tolerance: float = 1e-6, max_steps: int = 50,
+             trait: str | None = None, covariance: tuple[list[str], np.ndarray] | None = None) -> ModeFit:
     """Scores by ``score_key`` and ``levels`` - 1 cut points by ``cut_key`` from marks ``y`` in 1..``levels``.
 
     Marks that are missing or outside the levels are left out; a missing key is a key of its own. ``converged``
     says that no entry of the gradient is larger than ``tolerance``. Needs one mark and three levels at least.
+
+    ``covariance`` (traits, matrix) is the prior's over the column ``trait`` of the score key; marks of other
+    traits are left out, and all the traits of a person with a mark get a score.
     """
-    fit = _Fit(facts, levels, score_key, cut_key)
+    prior = None
+    if covariance is not None:
+        prior = _precision(*covariance)
+        facts = facts.where(F.col(f"`{trait}`").isin(list(prior)))
+    fit = _Fit(facts, levels, score_key, cut_key, trait, prior)
     if fit.cuts is None or levels < 3:
         raise ValueError("needs a mark and three levels")
     height, steps, products = fit.objective(fit.theta, fit.cuts), 0, 0
