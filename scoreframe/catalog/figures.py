@@ -115,5 +115,4 @@ def v10(st):
 @query("v11_coefficients_in_order", f"""
 WITH {INTERACTION_SQL} SELECT term, round(estimate, 6) AS estimate FROM terms WHERE term LIKE '%tax%' ORDER BY estimate DESC""")
 def v11(st):
-    table, _ = interaction_fit(st)
-    return rounded(table.filter(F.col("term").contains("tax")), "estimate").orderBy(F.desc("estimate"))
+    return rounded(interaction_fit(st).filter(F.col("term").contains("tax")), "estimate").orderBy(F.desc("estimate"))

@@ -12,7 +12,7 @@ from scoreframe.catalog.jobs_scores import rounded, sets
 from scoreframe.catalog.windows import z_sql
 from scoreframe.functions.missing import correlation
 from scoreframe.functions.text import TRAITS
-from scoreframe.operators import covariance, grouped, joins, mixed, ordinal, ordinal_mode, proximity, regression, reshape
+from scoreframe.operators import absorbed, covariance, grouped, joins, mixed, ordinal, ordinal_mode, proximity, regression, reshape
 from scoreframe.operators.choice import fit_correlated_strengths, fit_strengths, log_likelihood
 from scoreframe.operators.lines import fit_lines, fit_weighted_lines
 from scoreframe.plans import scores
@@ -45,10 +45,7 @@ def m3(st):
 
 
 def interaction_fit(st):
-    rows = st.ratings.filter("score IS NOT NULL").select("trait", "score", "tax")
-    rows, products = regression.interactions(rows, "trait", "tax")
-    terms = " + ".join(["tax", "trait", *[f"`{p}`" if "`" in p else p for p in products]])
-    return regression.fit_formula(rows, f"score ~ {terms}")
+    return absorbed.interaction_terms(st.ratings.select("trait", "score", "tax"), "score", "tax", "trait")
 
 
 INTERACTION_SQL = """l AS (SELECT trait, regr_slope(score, tax) AS b, regr_intercept(score, tax) AS a FROM ratings GROUP BY trait),
@@ -60,8 +57,7 @@ terms AS (SELECT '(Intercept)' AS term, a AS estimate FROM base UNION ALL SELECT
 
 @query("m4_least_squares", f"WITH {INTERACTION_SQL} SELECT term, round(estimate, 6) AS estimate FROM terms")
 def m4(st):
-    table, _ = interaction_fit(st)
-    return rounded(table, "estimate")
+    return rounded(interaction_fit(st), "estimate")
 
 
 @query("m4_coefficient_statistics", """
@@ -106,6 +102,54 @@ def m5_agreement(st):
     return rounded(fit_lines(scaled, "resid_interview_score", "resid_theta", ["trait"]), "slope", "intercept", "r")
 
 
+ABSORBED = {"rater": ["rater"], "cell": ["ratee", "trait"]}
+SWEEPS = 60  # of the SQL alone: well past the point where nothing changes
+
+
+def absorbed_sql(tail: str) -> str:
+    """Sweeps of score (y), tax (x) and line number (z) by rater and by rated (person, trait) in turn, written out."""
+    ctes = ["""s0 AS (SELECT rater, ratee, trait, score, l_orderkey, l_linenumber, CAST(score AS DOUBLE) AS y, CAST(tax AS DOUBLE) AS x,
+      CAST(l_linenumber AS DOUBLE) AS z FROM ratings WHERE score IS NOT NULL)"""]
+    for t in range(1, 2 * SWEEPS + 1):
+        by = "rater" if t % 2 else "ratee, trait"
+        ctes.append(f"""s{t} AS MATERIALIZED (SELECT rater, ratee, trait, score, l_orderkey, l_linenumber,
+          y - avg(y) OVER w AS y, x - avg(x) OVER w AS x, z - avg(z) OVER w AS z FROM s{t - 1} WINDOW w AS (PARTITION BY {by}))""")
+    ctes.append("g0 AS (SELECT DISTINCT rater, ratee, trait, rater AS part FROM s0)")
+    for t in range(1, 25):
+        by = "ratee, trait" if t % 2 else "rater"
+        ctes.append(f"g{t} AS MATERIALIZED (SELECT rater, ratee, trait, min(part) OVER (PARTITION BY {by}) AS part FROM g{t - 1})")
+    ctes.append(f"swept AS (SELECT * FROM s{2 * SWEEPS})")
+    ctes.append("""m AS (SELECT sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy,
+      count(*) - 2 - (SELECT count(DISTINCT rater) + count(DISTINCT (ratee, trait)) - count(DISTINCT part) FROM g24) AS df FROM swept)""")
+    ctes.append("""f AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz,
+      zz / (xx * zz - xz * xz) AS vx, xx / (xx * zz - xz * xz) AS vz FROM m)""")
+    ctes.append("""terms AS (SELECT 'tax' AS term, bx AS estimate, sqrt((yy - bx * xy - bz * zy) / df * vx) AS std_error, df FROM f
+      UNION ALL SELECT 'l_linenumber', bz, sqrt((yy - bx * xy - bz * zy) / df * vz), df FROM f)""")
+    return "WITH " + ",\n".join(ctes) + tail
+
+
+def absorbed_fit(st):
+    rows = st.ratings.select("rater", "ratee", "trait", "score", "tax", "l_orderkey", "l_linenumber")
+    return absorbed.fit_absorbed(rows, "score", ["tax", "l_linenumber"], ABSORBED)
+
+
+@query("m4_absorbed_slopes", absorbed_sql("""
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(estimate / std_error, 4) AS t,
+  CAST(df AS BIGINT) AS df, true AS converged FROM terms"""))
+def m4_absorbed(st):
+    """Slopes free of every rater and every rated (person, trait), whose levels are swept out."""
+    table, _ = absorbed_fit(st)
+    return rounded(table, "estimate", "std_error").withColumn("t", F.round("t", 4)).drop("steps")
+
+
+@query("m5_absorbed_residuals", absorbed_sql("""
+SELECT rater, ratee, trait, l_orderkey, l_linenumber, score, round(y - bx * x - bz * z, 5) AS residual FROM swept CROSS JOIN f"""))
+def m5_absorbed(st):
+    """What is left of each score after rater, rated (person, trait), tax and line number."""
+    _, rows = absorbed_fit(st)
+    return rows.select("rater", "ratee", "trait", "l_orderkey", "l_linenumber", "score", F.round("residual", 5).alias("residual"))
+
+
 def adjustment_rows(st):
     rows = st.ratings.filter("score IS NOT NULL").withColumn("key", F.xxhash64("l_orderkey", "l_linenumber", "rater"))
     rows, dummy = regression.dummies(rows, ["trait", "grp"])
