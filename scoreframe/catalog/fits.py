@@ -16,6 +16,7 @@ from scoreframe.operators import absorbed, covariance, grouped, joins, mixed, or
 from scoreframe.operators.choice import fit_correlated_strengths, fit_strengths, log_likelihood
 from scoreframe.operators.lines import fit_lines, fit_weighted_lines
 from scoreframe.plans import scores
+from scoreframe.session import cut_lineage
 
 
 @query("m1_forest_proximity")
@@ -130,7 +131,7 @@ def absorbed_sql(tail: str) -> str:
 
 def absorbed_fit(st):
     rows = st.ratings.select("rater", "ratee", "trait", "score", "tax", "l_orderkey", "l_linenumber")
-    return absorbed.fit_absorbed(rows, "score", ["tax", "l_linenumber"], ABSORBED)
+    return absorbed.fit_absorbed(rows, "score", ["tax", "l_linenumber"], ABSORBED, tolerance=1e-12)
 
 
 @query("m4_absorbed_slopes", absorbed_sql("""
@@ -143,11 +144,11 @@ def m4_absorbed(st):
 
 
 @query("m5_absorbed_residuals", absorbed_sql("""
-SELECT rater, ratee, trait, l_orderkey, l_linenumber, score, round(y - bx * x - bz * z, 5) AS residual FROM swept CROSS JOIN f"""))
+SELECT rater, ratee, trait, l_orderkey, l_linenumber, score, round(y - bx * x - bz * z, 4) AS residual FROM swept CROSS JOIN f"""))
 def m5_absorbed(st):
     """What is left of each score after rater, rated (person, trait), tax and line number."""
     _, rows = absorbed_fit(st)
-    return rows.select("rater", "ratee", "trait", "l_orderkey", "l_linenumber", "score", F.round("residual", 5).alias("residual"))
+    return rows.select("rater", "ratee", "trait", "l_orderkey", "l_linenumber", "score", F.round("residual", 4).alias("residual"))
 
 
 def adjustment_rows(st):
@@ -183,6 +184,71 @@ def m7(st):
     return out.select("rater", "ratee", "trait", "score", "prediction")
 
 
+LEFT_OUT_PENALTIES = [0.0, 0.001, 0.01, 0.1, 1.0]
+
+
+def left_out_sql(tail: str) -> str:
+    """Ridge by trait and penalty on scaled predictors by elimination written out, then leverages of every row."""
+    xs = ["tax", "tax_sq", "line"]
+    c = [f"x{i}" for i in range(3)]
+    ctes = ["""r AS (SELECT rater, ratee, trait, score, l_orderkey, l_linenumber, CAST(tax AS DOUBLE) AS tax, CAST(tax * tax AS DOUBLE) AS tax_sq,
+      CAST(l_linenumber AS DOUBLE) AS line FROM ratings WHERE score IS NOT NULL)"""]
+    scaled = ", ".join(f"({x} - avg({x}) OVER w) / stddev_pop({x}) OVER w AS {z}" for x, z in zip(xs, c))
+    ctes.append(f"z AS (SELECT *, {scaled}, score - avg(score) OVER w AS y, count(*) OVER w AS n, avg(score) OVER w AS my FROM r WINDOW w AS (PARTITION BY trait))")
+    left = ", ".join(f"sum({c[i]} * {c[j]}) / count(*)" + (" + penalty" if i == j else "") + f" AS a{i}_{j}" for i in range(3) for j in range(3))
+    right = ", ".join(f"sum({c[i]} * y) / count(*) AS a{i}_3" for i in range(3))
+    unit = ", ".join(f"{float(i == j)}::DOUBLE AS a{i}_{4 + j}" for i in range(3) for j in range(3))
+    ctes.append(f"e0 AS (SELECT trait, penalty, {left}, {right}, {unit} FROM z, (SELECT unnest({LEFT_OUT_PENALTIES})::DOUBLE AS penalty) GROUP BY trait, penalty)")
+    for p in range(3):
+        cells = []
+        for i in range(3):
+            for j in range(7):
+                part = f"a{p}_{j} / a{p}_{p}"
+                cells.append((part if i == p else f"a{i}_{j} - a{i}_{p} * {part}") + f" AS a{i}_{j}")
+        ctes.append(f"e{p + 1} AS (SELECT trait, penalty, {', '.join(cells)} FROM e{p})")
+    fitted = " + ".join(f"a{i}_3 * {c[i]}" for i in range(3))
+    leverage = " + ".join(f"a{i}_{4 + j} * {c[i]} * {c[j]}" for i in range(3) for j in range(3))
+    ctes.append(f"""left_out AS (SELECT rater, ratee, trait, l_orderkey, l_linenumber, score, penalty,
+      score - (y - ({fitted})) / (1 - (1 + {leverage}) / n) AS prediction FROM z JOIN e3 USING (trait))""")
+    ctes.append("errors AS (SELECT trait, penalty, avg((score - prediction) ** 2) AS error FROM left_out GROUP BY ALL)")
+    ctes.append("best AS (SELECT trait, arg_min(penalty, error) AS penalty FROM errors GROUP BY trait)")
+    return "WITH " + ",\n".join(ctes) + tail
+
+
+def left_out(st):
+    rows = st.ratings.filter("score IS NOT NULL").withColumns({"tax_sq": F.col("tax") * F.col("tax"), "line": F.col("l_linenumber")})
+    return regression.left_out_predictions(rows, "score", ["tax", "tax_sq", "line"], ["trait"], LEFT_OUT_PENALTIES)
+
+
+@query("m7_left_out_penalties", left_out_sql("""
+SELECT trait, penalty, round(error, 6) AS error, penalty = best.p AS chosen
+FROM errors JOIN (SELECT trait, penalty AS p FROM best) best USING (trait)"""))
+def m7_penalties(st):
+    """Exact leave-one-out error of each ridge penalty, per trait, and the penalty it chooses."""
+    out = regression.left_out_errors(left_out(st), "score", ["trait"], LEFT_OUT_PENALTIES)
+    return rounded(out.drop("n_open"), "error")
+
+
+@query("m7_left_out_predictions", left_out_sql("""
+SELECT rater, ratee, trait, l_orderkey, l_linenumber, score, round(prediction, 5) AS prediction FROM left_out JOIN best USING (trait, penalty)"""))
+def m7_left_out(st):
+    """Each score predicted by ridge from all other scores of its trait, under the penalty that leave-one-out chooses."""
+    rows = left_out(st)
+    chosen = regression.left_out_errors(rows, "score", ["trait"], LEFT_OUT_PENALTIES).filter("chosen").select("trait", "penalty")
+    place = F.array_position(F.array(*[F.lit(p) for p in LEFT_OUT_PENALTIES]), F.col("penalty"))
+    out = joins.left_on(rows, cut_lineage(chosen), ["trait"]).withColumn("prediction", F.element_at("left_out", place.cast("int")))
+    return out.select("rater", "ratee", "trait", "l_orderkey", "l_linenumber", "score", F.round("prediction", 5).alias("prediction"))
+
+
+@query("m8_indicators", """
+WITH p AS (SELECT demographics_id, unnest([{'column': 'gender', 'level': gender, 'least': (SELECT min(gender) FROM people_clean)},
+  {'column': 'esl', 'level': esl, 'least': (SELECT min(esl) FROM people_clean)}]) AS e FROM people_clean)
+SELECT demographics_id, e['column'] AS "column", e['level'] AS level, 1.0::DOUBLE AS value FROM p WHERE e['level'] > e['least']""")
+def m8_indicators(st):
+    """The dummies of ``m8_feature_recipe`` as rows, a form that any number of categories fits into."""
+    return regression.indicators(people_clean(st), ["demographics_id"], ["gender", "esl"])
+
+
 @query("m8_feature_recipe", f"""
 SELECT demographics_id, CAST(gender = 'Male' AS DOUBLE) AS "gender_Male", CAST(gender = 'Other' AS DOUBLE) AS "gender_Other",
   CAST(esl = 'Yes' AS DOUBLE) AS "esl_Yes", round({z_sql('age', '')}, 6) AS age,

@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from scoreframe.functions.missing import as_col, intercept, slope
 from scoreframe.operators.grouped import attach
 from scoreframe.operators.joins import left_on
+from scoreframe.session import cut_lineage
 
 MAX_LEVELS = 1_000
 
 
 def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted categories; a column with more than ``MAX_LEVELS`` is not a category."""
+    """Sorted categories that become columns, so at most ``MAX_LEVELS`` of them.
+
+    For more, ``indicators`` writes them as rows and ``absorbed.fit_absorbed`` fits without writing them.
+    """
     found = df.select(as_col(column)).filter(as_col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1)
     rows = [r[0] for r in found.collect()]
     if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} categories")
+        raise ValueError(f"{column} has more than {MAX_LEVELS} categories: too many for columns, see indicators and fit_absorbed")
     return sorted(rows)
 
 
@@ -34,6 +38,18 @@ def dummies(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns(added), list(added)
 
 
+def indicators(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """(key, column, level, value 1.0): the dummies that are 1, as rows, for any number of categories.
+
+    The first category of each column, found by one aggregation, has no rows, as it has no dummy.
+    """
+    first = df.agg(*[F.min(as_col(c)).alias(f"f{i}") for i, c in enumerate(columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), as_col(c).cast("string").alias("level"),
+                               (as_col(c) > first.select(f"f{i}").scalar()).alias("later")) for i, c in enumerate(columns)])
+    long = df.select(*[as_col(k) for k in key], F.explode(pairs).alias("e")).filter("e.later")
+    return long.select(*[as_col(k) for k in key], "e.column", "e.level", F.lit(1.0).alias("value"))
+
+
 def interactions(df: DataFrame, nominal: str, numeric: str) -> tuple[DataFrame, list[str]]:
     """Products of ``numeric`` with the dummies of ``nominal``, base category dropped."""
     added = {
@@ -204,6 +220,78 @@ def penalised_fits(df: DataFrame, y: str, xs: list[str], by: list[str], key: str
     return sums.withColumn("__all", F.lit(0)).groupBy("__all", *by).applyInPandas(solve, schema)
 
 
+def _ridge(flat, size: int, penalties: list[float]) -> dict:
+    """Means and scales of the predictors, and for each penalty coefficients and inverse on that scale."""
+    m = _square(np.asarray(flat, dtype=float), size)
+    gram, target, mean, scale, use = _standardised(m)
+    gram[~use, :] = gram[:, ~use] = 0.0
+    target = np.where(use, target, 0.0)
+    inverses = [np.linalg.pinv(gram + lam * np.diag(use.astype(float)), rcond=1e-12, hermitian=True) for lam in penalties]
+    return {"__n": float(m[0, 0]), "__my": float(mean[-1]), "__mx": mean[:-1].tolist(), "__sx": scale.tolist(),
+            "__use": use.astype(float).tolist(), "__b": [(v @ target).tolist() for v in inverses],
+            "__v": [v.ravel().tolist() for v in inverses]}
+
+
+def left_out_predictions(df: DataFrame, y: str, xs: list[str], by: list[str], penalties: list[float],
+                         out: str = "left_out") -> DataFrame:
+    """Complete rows with ``out``: for each penalty the prediction from all other rows of the group.
+
+    Ridge on predictors in units of their spread in the group, the intercept free; penalty 0 is
+    least squares. Nothing is fitted again: the residual a row has when it is left out is its
+    residual over one less its leverage, and leverages are quadratic forms in the inverse of the
+    group's moment matrix, so the rows are read once for the moments and once for one
+    expression each. Constant predictors count for nothing. NULL where a row has leverage 1, that is
+    where the other rows leave its prediction open. Scales and penalty are those of all rows.
+    """
+    complete = df.dropna(subset=[y, *xs])
+    size, p = len(xs) + 2, len(xs)
+    means = attach(complete, by, **{f"__c{i}": F.avg(as_col(c)) for i, c in enumerate([*xs, y])})
+    # moments about the group's means: sums of squares of large values would cancel
+    about = [f"__z{i}" for i in range(p + 1)]
+    rows = means.withColumns({z: as_col(c).cast("double") - F.col(f"__c{i}") for i, (z, c) in enumerate(zip(about, [*xs, y]))})
+    sums = moments(rows, about[-1], about[:-1], by)
+
+    @F.pandas_udf("__n double, __my double, __mx array<double>, __sx array<double>, __use array<double>, "
+                  "__b array<array<double>>, __v array<array<double>>")
+    def solve(products: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_ridge(flat, size, penalties) for flat in products])
+
+    solved = cut_lineage(sums.filter(F.get("products", F.lit(0)) > 0).select(*by, solve("products").alias("__fit")))
+    joined = left_on(rows, solved, by) if by else rows.withColumn("__fit", solved.scalar())
+    joined = joined.select("*", "__fit.*")
+    z = [(F.col(about[j]) - F.get("__mx", F.lit(j))) / F.get("__sx", F.lit(j)) * F.get("__use", F.lit(j)) for j in range(p)]
+    joined = joined.withColumns({f"__z{j}": z[j] for j in range(p)})
+
+    def one(i: int) -> Column:
+        b, v = F.get("__b", F.lit(i)), F.get("__v", F.lit(i))
+        fitted, leverage = F.col("__my"), F.lit(1.0)
+        for j in range(p):
+            fitted = fitted + F.get(b, F.lit(j)) * F.col(f"__z{j}")
+            for k in range(p):
+                leverage = leverage + F.get(v, F.lit(j * p + k)) * F.col(f"__z{j}") * F.col(f"__z{k}")
+        free = 1 - leverage / F.col("__n")
+        return F.when(free > 1e-9, as_col(y) - (F.col(about[-1]) - fitted) / free)
+
+    kept = joined.withColumn(out, F.array(*[one(i) for i in range(len(penalties))]))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def left_out_errors(predicted: DataFrame, y: str, by: list[str], penalties: list[float], column: str = "left_out") -> DataFrame:
+    """Per group and penalty: mean squared left-out error, rows without one, and whether it is the least.
+
+    Of equal errors the greatest penalty is chosen; a penalty that leaves a row open is never chosen before one that does not.
+    """
+    gaps = [as_col(y) - F.get(column, F.lit(i)) for i in range(len(penalties))]
+    whole = predicted.groupBy(*by).agg(F.array(*[F.struct(
+        F.lit(float(lam)).alias("penalty"), F.avg(g * g).alias("error"), F.count_if(g.isNull()).alias("n_open"))
+        for lam, g in zip(penalties, gaps)]).alias("__all"))
+    parts = [F.get("__all", F.lit(i)) for i in range(len(penalties))]
+    best = F.array_min(F.array(*[F.named_struct(F.lit("o"), e["n_open"], F.lit("e"), F.coalesce(e["error"], F.lit(float("inf"))),
+                                                F.lit("p"), F.lit(-float(lam))) for e, lam in zip(parts, penalties)]))
+    long = whole.select(*by, (-best["p"]).alias("__best"), F.explode("__all").alias("e"))
+    return long.select(*by, "e.penalty", "e.error", "e.n_open", (F.col("e.penalty") == F.col("__best")).alias("chosen"))
+
+
 def predict(df: DataFrame, fits: DataFrame, xs: list[str], by: list[str], which: str = "coef_min",
             out: str = "prediction") -> DataFrame:
     """Linear prediction with each group's own coefficients."""
