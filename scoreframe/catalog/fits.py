@@ -29,6 +29,33 @@ def m1(st):
     return proximity.pair_proximity(pairs, leaves, "rater", "ratee", "demographics_id")
 
 
+@query("m1_out_of_bag_proximity")
+def m1_out_of_bag(st):
+    """Proximity of pairs over the trees that were grown without both of them."""
+    leaves = proximity.bagged_leaves(people_clean(st), "demographics_id", ["gender", "school_type", "esl", "income_quintile"], ["age"], trees=20)
+    lines = st.table("lineitem").join(st.table("orders"), F.expr("l_orderkey = o_orderkey"))
+    pairs = lines.select(F.col("o_custkey").alias("rater"), F.col("l_suppkey").alias("ratee"))
+    return proximity.out_of_bag_proximity(pairs, leaves, "rater", "ratee", "demographics_id")
+
+
+@query("m1_out_of_bag_counts", """
+WITH v AS (SELECT c_custkey AS id, [(c_custkey * (t + 1)) % 4 FOR t IN range(12)] AS leaves, [(c_custkey + t * t) % 3 FOR t IN range(12)] AS bags FROM customer),
+p AS (SELECT DISTINCT o_custkey AS rater, l_suppkey AS ratee FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey),
+j AS (SELECT rater, ratee, len([t FOR t IN range(1, 13) IF a.bags[t] = 0 AND b.bags[t] = 0]) AS n_free,
+  len([t FOR t IN range(1, 13) IF a.bags[t] = 0 AND b.bags[t] = 0 AND a.leaves[t] = b.leaves[t]]) AS n_met
+  FROM p LEFT JOIN v a ON a.id = rater LEFT JOIN v b ON b.id = ratee)
+SELECT rater, ratee, CAST(coalesce(n_free, 0) AS INT) AS n_free, CAST(coalesce(n_met, 0) AS INT) AS n_met,
+  round(n_met / nullif(n_free, 0), 6) AS proximity FROM j""")
+def m1_counts(st):
+    """The same count over leaves and bags made by a rule, so that SQL can follow it."""
+    key = F.col("c_custkey")
+    made = st.table("customer").select(key.alias("id"), F.array(*[(key * (t + 1)) % 4 for t in range(12)]).alias("leaves"),
+                                       F.array(*[(key + t * t) % 3 for t in range(12)]).alias("bags"))
+    lines = st.table("lineitem").join(st.table("orders"), F.expr("l_orderkey = o_orderkey"))
+    pairs = lines.select(F.col("o_custkey").alias("rater"), F.col("l_suppkey").alias("ratee"))
+    return rounded(proximity.out_of_bag_proximity(pairs, made, "rater", "ratee", "id"), "proximity")
+
+
 @query("m2_lines_per_facet", """
 SELECT grp, l_linenumber, round(regr_slope(qty, tax), 6) AS slope, round(regr_intercept(qty, tax), 6) AS intercept,
   round(corr(tax, qty), 6) AS r, CAST(regr_count(qty, tax) AS BIGINT) AS n_points FROM ratings GROUP BY ALL""")
@@ -173,6 +200,18 @@ def m6_coefficients(st):
     return regression.coefficient_table(fits, xs, [], "coef_min")
 
 
+@query("m6_lasso_conditions", """
+SELECT unnest(['(Intercept)', 'tax', 'l_linenumber']) AS term, true AS optimal UNION ALL
+SELECT 'trait_' || trait, true FROM ratings WHERE score IS NOT NULL AND trait > (SELECT min(trait) FROM ratings WHERE score IS NOT NULL) GROUP BY trait UNION ALL
+SELECT 'grp_' || CAST(grp AS VARCHAR), true FROM ratings WHERE score IS NOT NULL AND grp > (SELECT min(grp) FROM ratings WHERE score IS NOT NULL) GROUP BY grp""")
+def m6_conditions(st):
+    """Does every term of the lasso at its best penalty meet its condition of optimality to 1e-7, recomputed from the rows?"""
+    rows, xs = adjustment_rows(st)
+    fits = cut_lineage(regression.penalised_fits(rows, "score", xs, [], "key", folds=20))
+    out = regression.optimality(rows, fits, "score", xs, [], "coef_min", "lambda_min")
+    return out.select("term", (F.col("off") <= 1e-7).alias("optimal"))
+
+
 @query("m7_ridge_per_trait")
 def m7(st):
     """Per-trait ridge prediction of the score."""

@@ -303,6 +303,34 @@ def predict(df: DataFrame, fits: DataFrame, xs: list[str], by: list[str], which:
     return joined.withColumn(out, value).drop("__beta")
 
 
+def optimality(df: DataFrame, fits: DataFrame, y: str, xs: list[str], by: list[str], which: str = "coef_1se",
+               penalty: str = "lambda_1se", alpha: float = 1.0) -> DataFrame:
+    """(by, term, estimate, pull, off): does each coefficient of a penalised fit meet its condition of optimality?
+
+    ``pull`` is the covariance of the scaled term with the residual, from a pass over the rows that
+    shares nothing with the solver's moment matrices. At the optimum it equals the penalty with the sign
+    of the coefficient where that is not zero, and is at most the penalty where it is; ``off`` is by how
+    much it is not so, for the intercept the mean residual. The problem is convex, so ``off`` of zero
+    for all terms of a group proves the fit. A group without rows or spread has no pull and is not off.
+    """
+    complete = df.dropna(subset=[y, *xs])
+    names = ["(Intercept)", *xs]
+    residual = as_col(y) - F.col("__fitted")
+    rows = predict(complete, fits, xs, by, which, "__fitted").withColumn("__r", residual)
+    parts = [F.struct(F.lit(names[0]).alias("term"), F.avg("__r").alias("pull"), F.lit(1.0).alias("sd"))]
+    parts += [F.struct(F.lit(c).alias("term"), F.try_divide(F.covar_pop(as_col(c).cast("double"), F.col("__r")), F.stddev_pop(as_col(c).cast("double"))).alias("pull"),
+                       F.stddev_pop(as_col(c).cast("double")).alias("sd")) for c in xs]
+    sums = rows.groupBy(*by).agg(F.array(*parts).alias("__parts"))
+    found = sums.select(*by, F.posexplode("__parts").alias("__i", "__t"))
+    known = cut_lineage(fits.select(*by, F.col(which).alias("__beta"), F.col(penalty).alias("__lambda")))
+    joined = left_on(found, known, by) if by else found.withColumns(
+        {"__beta": known.select("__beta").scalar(), "__lambda": known.select("__lambda").scalar()})
+    b, pull, lam = F.get("__beta", F.col("__i")), F.col("__t.pull"), F.col("__lambda")
+    wanted = lam * (alpha * F.signum(b) + (1 - alpha) * b * F.col("__t.sd"))
+    off = F.when(F.col("__i") == 0, F.abs(pull)).when(b != 0, F.abs(pull - wanted)).otherwise(F.greatest(F.abs(pull) - lam * alpha, F.lit(0.0)))
+    return joined.select(*by, "__t.term", b.alias("estimate"), pull.alias("pull"), F.coalesce(off, F.lit(0.0)).alias("off"))
+
+
 def coefficient_table(fits: DataFrame, xs: list[str], by: list[str], which: str = "coef_1se") -> DataFrame:
     """One row per term, largest estimate first."""
     names = F.array(*[F.lit(n) for n in ["(Intercept)", *xs]])
