@@ -363,9 +363,8 @@ k AS (SELECT * FROM f QUALIFY type = 'interviewer_score' OR
 SELECT trait, student, type, CASE WHEN type = 'interviewer_score' THEN 'Interview' ELSE 'Ground Truth' END AS evidence_type,
   round(value, 6) AS value, count(*) AS n FROM k GROUP BY ALL""")
 def c29(st):
-    out = scores.evidence_panel(interviews_long(st), teacher_long(st), noms_count(st))
-    return rounded(out, "value").groupBy("trait", "student", "type", "evidence_type", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+    out = scores.evidence_counts(interviews_long(st), teacher_long(st), noms_count(st))
+    return rounded(out, "value").groupBy("trait", "student", "type", "evidence_type", "value").agg(F.sum("n").alias("n"))
 
 
 @query("c30_candidate_summary", f"""

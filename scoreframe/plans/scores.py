@@ -266,6 +266,30 @@ def evidence_panel(interviews: DataFrame, teacher: DataFrame, counts: DataFrame)
     return evidence.unionByName(truth.withColumn("evidence_type", F.lit("Ground Truth")), allowMissingColumns=True)
 
 
+def evidence_counts(interviews: DataFrame, teacher: DataFrame, counts: DataFrame) -> DataFrame:
+    """``evidence_panel`` as (trait, student, type, evidence_type, value, n): equal marks of a student are one row.
+
+    Marks are counted by (student, trait, score) before anything is joined to them, and scaled within
+    (trait, group) by sums weighted with the counts, so no step after the count has a row for each mark.
+    """
+    marks = grouped.zscore(teacher_with_nominations(teacher, counts), {"n_nominations": "peer_score"}, ["trait"])
+    marks = marks.select(F.col("name").alias("student"), "student_id", "trait", "teacher_score", "peer_score", "grp")
+    equal = cut_lineage(interviews.groupBy("student_id", "trait", "score").agg(F.count(F.lit(1)).alias("n")))
+    placed = cut_lineage(joins.left_on(equal, marks, ["student_id", "trait"]))
+    n, score, by = F.col("n"), F.col("score").cast("double"), ["trait", "grp"]
+    known = F.when(score.isNotNull(), n)
+    rows = grouped.attach(placed, by, __n=F.sum(known), __mean=F.try_divide(F.sum(n * score), F.sum(known)),
+                          __varies=F.min(score) < F.max(score))
+    rows = grouped.attach(rows, by, __square=F.sum(n * (score - F.col("__mean")) ** 2))
+    sd = F.when(F.col("__varies"), F.sqrt(F.try_divide(F.col("__square"), F.col("__n") - 1)))
+    rows = rows.filter("teacher_score IS NOT NULL").withColumn("value", F.try_divide(score - F.col("__mean"), sd))
+    truth = placed.filter("teacher_score IS NOT NULL").groupBy("trait", "student").agg(
+        F.min("teacher_score").alias("teacher_score"), F.min("peer_score").alias("peer_score"))
+    truth = reshape.to_long(truth, ["teacher_score", "peer_score"], "type", "value", ids=["trait", "student"])
+    evidence = rows.select("trait", "student", F.lit("interviewer_score").alias("type"), F.lit("Interview").alias("evidence_type"), "value", "n")
+    return evidence.unionByName(truth.select("trait", "student", "type", F.lit("Ground Truth").alias("evidence_type"), "value", F.lit(1).cast("bigint").alias("n")))
+
+
 def candidate_summary(interviews: DataFrame, teacher: DataFrame, counts: DataFrame) -> DataFrame:
     """Mean interview mark per (candidate, trait) beside z(peer + teacher) per trait."""
     means = interviews.groupBy("student_id", "trait").agg(strict_avg("score").alias("interview_average"))

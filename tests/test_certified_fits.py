@@ -69,3 +69,18 @@ def test_proximity_counts_only_trees_that_know_neither(spark):
         if free:
             (near if a % 3 == b % 3 else far).append(row.proximity)
     assert np.mean(near) > np.mean(far) + 0.2
+
+
+def test_counted_evidence_equals_mark_by_mark(spark):
+    from scoreframe.catalog.jobs import interviews_long, teacher_long
+    from scoreframe.catalog.jobs_scores import noms_count
+    from scoreframe.plans import scores as plans
+    from scoreframe.plans.study import Study
+
+    st = Study(spark, "/root/testdata/sf0.001")
+    given = interviews_long(st), teacher_long(st), noms_count(st)
+    keys = ["trait", "student", "type", "evidence_type", F.round("value", 9).alias("value")]
+    one_by_one = plans.evidence_panel(*given).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = plans.evidence_counts(*given).groupBy(*keys).agg(F.sum("n").alias("n"))
+    assert one_by_one.count() > 100
+    assert one_by_one.exceptAll(counted).count() == 0 and counted.exceptAll(one_by_one).count() == 0
