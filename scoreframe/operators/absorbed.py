@@ -69,7 +69,7 @@ def _collapsed(df: DataFrame, columns: list[str], factors: dict[str, list[str]])
         found = rows.groupBy(*own).agg(F.sum("n").alias("n"), *[F.sum(b).alias(b) for b in sums])
         table = cut_lineage(number_rows(found, own, "__place").withColumn("id", (F.col("__place") + first - 1).cast("bigint")).drop("__place"))
         rows = left_on(rows, table.select(*own, F.col("id").alias(f"id_{f}")), own)
-        tables[name] = table.select("id", *[F.col(keys[k]).alias(k) for k in names])
+        tables[name] = table.select(F.col("id").alias("__id"), *[F.col(keys[k]).alias(k) for k in names])
         levels.append(table.select("id", F.lit(f).alias("f"), "n", *sums))
         sizes.append(table.count())
         first += sizes[-1]
@@ -143,7 +143,7 @@ def absorb(df: DataFrame, columns: list[str], factors: dict[str, list[str]],
     for f, (name, keys) in enumerate(factors.items()):
         # the first factor also takes what was subtracted from the column beforehand
         found = [(F.col(f"x{j}") * F.lit(float(scale[j])) + F.lit(float(shift[j]) if f == 0 else 0.0)).alias(f"effect_{c}") for j, c in enumerate(columns)]
-        effects[name] = tables[name].join(state.select("id", *found), "id").drop("id")
+        effects[name] = tables[name].join(state.select(F.col("id").alias("__id"), *found), "__id").drop("__id")
     rank = sizes[0] if k == 1 else None
     if k == 2:
         # each connected part of the levels has one shift that moves no row

@@ -95,3 +95,14 @@ def test_interaction_terms_equal_the_dense_formula(spark):
     table, _ = fit_formula(wide, "y ~ x + group + " + " + ".join(f"x_x_{v}" for v in levels))
     want = {r.term: r.estimate for r in table.collect()}
     assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-8 for t in want)
+
+
+def test_columns_named_like_the_inner_ones(spark):
+    rows = people()
+    df = spark.createDataFrame(rows).selectExpr("a AS id", "b AS f", "x AS n", "y AS x0", "i AS level")
+    table, fitted = fit_absorbed(df, "x0", ["n"], {"one": ["id"], "two": ["f"]})
+    want, _, rest, freedom = dense(rows, "y", ["x"], ["a", "b"])
+    assert abs(table.first().estimate - want[0]) < 1e-8 and table.first().df == freedom
+    assert fitted.columns == ["id", "f", "n", "x0", "level", "residual"]
+    found = {r.level: r.residual for r in fitted.collect()}
+    assert np.allclose([found[r["i"]] for r in rows], rest, atol=1e-7)
