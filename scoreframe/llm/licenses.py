@@ -8,10 +8,11 @@ The best template at ``cosine`` or more is the file's own licence. A directory h
 of its best licence file. A file without a licence of its own takes that of its nearest
 ancestor directory, found by joins on directory paths.
 
-A notice can only reach the cosine if it holds one of the templates' weightiest words: what
-the others of a template's words add up to stays below it, whatever else the notice says.
-Notices without any are left out before words are dealt, which loses nothing. Everything is
-DataFrame functions; only the weights of the templates' words reach the driver.
+A notice can only reach the cosine if it holds one of the templates' key words: the others
+are the commonest words of a template, as many as stay below it together, whatever else the
+notice says. Notices without any are left out before words are dealt, which loses nothing,
+and notices of the same text are judged once for all their files. Everything is DataFrame
+functions; only the weights of the templates' words reach the driver.
 
 Defined results: a missing text is empty and has no licence of its own; a missing path lies
 in no directory and inherits nothing; equal rows get equal results, and of several files at
@@ -112,26 +113,25 @@ def frequencies(files: DataFrame) -> DataFrame:
     return cut_lineage(files.select(F.explode(F.array_distinct(terms_of(whole()))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
 
 
-def key_terms(vectors: list[dict[str, float]], cosine: float) -> list[str]:
-    """Per template its weightiest words, until the rest cannot reach the cosine alone."""
+def key_terms(vectors: list[dict[str, float]], idf: dict[str, float], found: set[str], cosine: float) -> list[str]:
+    """Per template the words but the commonest, as many as cannot reach the cosine alone; words of no file are none."""
     keys = set()
     for vector in vectors:
-        rest = sum(w * w for w in vector.values())
-        bound = cosine * cosine * rest * 0.999
-        for term, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-            if rest < bound:
-                break
-            keys.add(term)
-            rest -= w * w
+        left = cosine * cosine * sum(w * w for w in vector.values()) * 0.999
+        for term in sorted(found & vector.keys(), key=lambda t: (idf[t], t)):
+            if vector[term] ** 2 < left:
+                left -= vector[term] ** 2
+            else:
+                keys.add(term)
     return sorted(keys)
 
 
 def notices_of(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, notice, words): sentences and lines, neighbouring ones in pairs, and the whole of a licence file, if they hold a key word.
+    """(key, words): sentences and lines, neighbouring ones in pairs, and the whole of a licence file, if they hold a key word.
 
     Every line is searched once; a pair or a file holds a key word if one of its lines does.
     """
-    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(keys)})(?![\p{{L}}\p{{N}}])"
+    holds_key = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(keys)})(?![\p{{L}}\p{{N}}])" if keys else "(?!)"
     lines = F.filter(F.split(whole(), r"\n|(?<=[.!?;])[\x20\t]+"), lambda s: F.trim(s) != "")
     marked = files.select("key", "path", whole().alias("text"), F.transform(lines, lambda s: F.struct(s.alias("s"), s.rlike(holds_key).alias("hit"))).alias("lines"))
     is_file = F.coalesce(F.col("path"), F.lit("")).rlike(LICENSE_FILE) & F.exists("lines", lambda x: x["hit"])
@@ -140,7 +140,7 @@ def notices_of(files: DataFrame, keys: list[str]) -> DataFrame:
     after = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     pairs = F.zip_with("lines", after, lambda a, b: F.when(a["hit"] | b["hit"], F.concat_ws(" ", a["s"], b["s"])))
     found = F.array_distinct(F.concat(file, own, F.filter(pairs, lambda s: s.isNotNull())))
-    return marked.select("key", F.posexplode(found).alias("notice", "words"))
+    return marked.select("key", F.explode(found).alias("words"))
 
 
 def own_licenses(files: DataFrame, templates: Iterable[tuple[str, str]], cosine: float = COSINE) -> DataFrame:
@@ -151,22 +151,26 @@ def own_licenses(files: DataFrame, templates: Iterable[tuple[str, str]], cosine:
     inverse = F.log((1.0 + F.lit(float(n_files))) / (1.0 + F.col("df"))) + 1.0
     known = table.join(F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string")), "term")
     idf = {t: math.log(1.0 + n_files) + 1.0 for t in vocabulary}
-    idf |= {r.term: r.idf for r in known.select("term", inverse.alias("idf")).collect()}
+    in_files = {r.term: r.idf for r in known.select("term", inverse.alias("idf")).collect()}
+    idf |= in_files
     vectors = [{t: n * idf[t] for t, n in counts.items()} for _, counts in named]
     lengths = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
     numbers = [sum(t.isdigit() for t in v) for v in vectors]
     of_template = spark.createDataFrame(
         [(t, name, i, w / lengths[i], t.isdigit(), numbers[i]) for i, ((name, _), v) in enumerate(zip(named, vectors, strict=True)) for t, w in v.items()],
         "term string, license string, template int, share double, number boolean, numbers int")
-    notices = notices_of(files, key_terms(vectors, cosine))
-    terms = notices.select("key", "notice", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("key", "notice", "term").count()
+    held = cut_lineage(notices_of(files, key_terms(vectors, idf, in_files.keys(), cosine)))
+    notice = F.unhex(F.md5("words")).alias("notice")
+    texts = held.select("words").distinct().select(notice, "words")  # named before the words are dealt, so once a text
+    terms = texts.select("notice", F.explode(terms_of(F.col("words"))).alias("term")).groupBy("notice", "term").count()
     weighted = cut_lineage(terms.join(table, "term").withColumn("w", F.col("count") * inverse).drop("df"))
-    length = weighted.groupBy("key", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighted.join(F.broadcast(of_template), "term").groupBy("key", "notice", "template", "license").agg(
+    length = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = weighted.join(F.broadcast(of_template), "term").groupBy("notice", "template", "license").agg(
         F.sum(F.col("w") * F.col("share")).alias("dot"), (F.count_if("number") == F.max("numbers")).alias("versions"))
-    scores = dots.where("versions").join(length, ["key", "notice"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
-    best = scores.where(F.col("score") >= cosine).groupBy("key", "license").agg(F.max("score").alias("score")).groupBy("key").agg(
-        F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    scores = dots.where("versions").join(length, "notice").withColumn("score", F.round(F.col("dot") / F.col("length"), 9))
+    given = F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best")
+    of_notice = cut_lineage(scores.where(F.col("score") >= cosine).groupBy("notice").agg(given))
+    best = held.select("key", notice).join(of_notice, "notice").groupBy("key").agg(F.min("best").alias("best"))
     return best.select("key", "best.license", (-F.col("best.minus")).alias("score"))
 
 

@@ -155,6 +155,23 @@ def test_cosines_equal_plain_arithmetic(spark, documents):
             assert got[key].origin != "own"
 
 
+def test_licence_words_written_do_not_follow_copies_and_common_words(spark, monkeypatch):
+    """Notices of the same text are judged once, and lines that only have a template's common words not at all."""
+    written, cut_lineage = [], licenses.cut_lineage
+
+    def counted(df):
+        table = cut_lineage(df)
+        written.append((table.columns, table.count()))
+        return table
+
+    monkeypatch.setattr(licenses, "cut_lineage", counted)
+    notice = "Released under the MIT License"
+    files = [(f"a/{i}.py", f"the {i}x and of the to in this or is any" if i % 2 else notice) for i in range(2_000)]
+    got = licenses.scan(spark.createDataFrame(files, "path string, text string").repartition(8)).collect()
+    assert Counter((r.license, r.score, r.origin) for r in got) == {("MIT", 1.0, "own"): 1_000, (None, None, None): 1_000}
+    assert max(n for columns, n in written if "w" in columns) == len(notice.split())
+
+
 def test_base_spans_match_the_plain_patterns():
     import random
 
