@@ -47,6 +47,7 @@ WINDOW, LITERAL = 8, 4
 SHARE, RUN = 0.5, 16
 SHIFT = 2
 BITMAP = 24
+TOGETHER = 1 << 17  # characters of texts that are searched in one go
 
 NUMBER, UNIT, NAME = b"\x01", b"\x02", b"\x03"
 SLOTS = frozenset((NUMBER, UNIT, NAME))
@@ -59,9 +60,13 @@ UNITS = ("%", "°C", "°F", "km/h", "kWh", "km", "kg", "cm", "mm", "ml", "mg", "
 
 
 def slot_pattern() -> re.Pattern:
-    unit = "|".join(re.escape(u) for u in UNITS)
-    return re.compile(rf"[$€£]?(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>{unit})(?!\w))?"
-                      r"|(?<!\w)(?P<name>[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+)(?!\w)")
+    """Groups: a number with its money sign or a name, a unit after a number, and '' for a name inside a sentence.
+
+    It starts with one set of characters, as the search then passes over all others at once.
+    """
+    unit, capital = "|".join(re.escape(u) for u in UNITS), "[A-ZÀ-ÖØ-Þ]"
+    return re.compile(rf"([$€£\dA-ZÀ-ÖØ-Þ](?:(?:(?<=\d)|(?<=[$€£])\d)\d*(?:[.,]\d+)*(?:\s?({unit})(?!\w))?"
+                      rf"|(?:(?<=[\w,;:]\x20{capital})()|(?<={capital})(?<!\w{capital}))[a-zß-ÿ]+(?!\w)))")
 
 
 def separators() -> bytes:
@@ -71,34 +76,28 @@ def separators() -> bytes:
 
 
 class Templates:
-    """Tokens, their kinds and the slots' values of texts; one instance serves one task."""
+    """Makes templates of texts; one instance serves one task."""
 
     def __init__(self) -> None:
         self.pattern, self.table = slot_pattern(), separators()
-        self.values: list[str] = []
-
-    def _placeholder(self, m: re.Match) -> str:
-        number, unit, name = m.group("number", "unit", "name")
-        if name:
-            self.values.append(name)
-            start = m.start()
-            before = m.string[max(start - 2, 0):start]
-            inside = len(before) == 2 and before[1] == " " and (before[0] in "_,;:" or before[0].isalnum())
-            return f" \x03{name}" if inside else f" \x04{name}"
-        self.values.append(number)
-        if unit:
-            self.values.append(unit)
-            return " \x01 \x02 "
-        return " \x01 "
-
-    def __call__(self, text: str) -> tuple[list[bytes], np.ndarray, list[str]]:
-        self.values = []
-        if min(text) < "\x05":
+
+    def __call__(self, text: str) -> tuple[bytes, list[str]]:
+        """The template as bytes, a kind of slot before each slot's token, and the slots' values."""
+        if any(c in text for c in "\x01\x02\x03\x04"):
             text = re.sub("[\x01-\x04]", " ", text)
-        found = self.pattern.sub(self._placeholder, text).lower().encode("utf-8", "surrogatepass").translate(self.table)
-        shown = np.frombuffer(b" " + found, dtype=np.uint8)
-        kinds = shown[1:][(shown[:-1] == 32) & (shown[1:] != 32)]
-        return found.translate(None, NAME + FIRST).split(), np.where(kinds <= ALL, kinds, 0), self.values
+        parts = self.pattern.split(text)
+        out, values = parts[:1], []
+        for slot, unit, inside, rest in zip(parts[1::4], parts[2::4], parts[3::4], parts[4::4], strict=True):
+            if slot[-1].isalpha() and unit is None:
+                out += (" \x04" if inside is None else " \x03", slot, rest)
+                values.append(slot)
+            elif unit is None:
+                out += (" \x01 ", rest)
+                values.append(slot.lstrip("$€£"))
+            else:
+                out += (" \x01 \x02 ", rest)
+                values += (slot[:-len(unit)].rstrip().lstrip("$€£"), unit)
+        return "".join(out).lower().encode("utf-8", "surrogatepass").translate(self.table), values
 
 
 def token_ids(tokens: list[bytes]) -> np.ndarray:
@@ -109,59 +108,97 @@ def window_hashes(ids: np.ndarray, window: int) -> np.ndarray:
     n = len(ids) - window + 1
     out = np.full(max(n, 0), np.uint64(window))
     for i in range(window if n > 0 else 0):
-        out = (out ^ ids[i:i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= ids[i:i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
 def in_windows(chosen: np.ndarray, window: int) -> np.ndarray:
     """How many tokens of each window are chosen."""
-    before = np.r_[0, np.cumsum(chosen)]
+    before = np.zeros(len(chosen) + 1, dtype=np.int64)
+    np.cumsum(chosen, out=before[1:])
     return before[window:] - before[:-window]
 
 
 class Forms:
-    """The forms of one text: their tokens and hashes are made when they are asked for."""
-
-    def __init__(self, tokens: list[bytes], kinds: np.ndarray, values: list[str]) -> None:
-        self.tokens, self.kinds, self.values = tokens, kinds, values
-        self.ids = token_ids(tokens)
-        self.value = np.cumsum(kinds > 0) - 1
-        self.exact: list[bytes] | None = None
-
-    def exact_tokens(self) -> list[bytes]:
-        """The tokens, each number and unit followed by its value."""
-        if self.exact is None:
-            self.exact = self.tokens[:]
-            for k in np.flatnonzero((self.kinds > 0) & (self.kinds <= PLAIN)).tolist():
-                self.exact[k] += self.values[self.value[k]].encode("utf-8", "surrogatepass")
-        return self.exact
-
-    def rows(self, key, window: int, literal: int, marked: np.ndarray | None) -> Iterator[tuple]:
+    """The forms of some texts, whose templates follow each other; windows lie within one of them."""
+
+    def __init__(self, keys: list, templates: list[bytes], values: list[list[str]]) -> None:
+        joined = b" ".join([b"", *templates])
+        shown = np.frombuffer(joined, dtype=np.uint8)
+        starts = np.flatnonzero((shown[:-1] == 32) & (shown[1:] != 32)) + 1
+        kinds = shown[starts]
+        self.kinds = np.where(kinds <= ALL, kinds, 0)
+        self.tokens = joined.translate(None, NAME + FIRST).split()
+        self.ids = token_ids(self.tokens)
+        self.values = [v for own in values for v in own]
+        self.value = np.cumsum(self.kinds > 0) - 1
+        self.keys = keys
+        sizes = np.array([len(t) + 1 for t in templates])
+        self.edges = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])  # first tokens of the texts, and the end
+        self.text = np.repeat(np.arange(len(keys)), np.diff(self.edges))
+
+    def exact(self, k: int) -> bytes:
+        """A token, a number or unit followed by its value."""
+        if 0 < self.kinds[k] <= PLAIN:
+            return self.tokens[k] + self.values[self.value[k]].encode("utf-8", "surrogatepass")
+        return self.tokens[k]
+
+    def exact_hashes(self, few: np.ndarray, window: int) -> np.ndarray:
+        """The hashes of the given windows with values; others stay unmade."""
+        ids = self.ids.copy()
+        near = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.add.at(near, few, 1)
+        np.add.at(near, few + window, -1)
+        for k in np.flatnonzero((np.cumsum(near[:-1]) > 0) & (self.kinds > 0) & (self.kinds <= PLAIN)).tolist():
+            ids[k] = zlib.crc32(self.exact(k))
+        return window_hashes(ids, window)[few]
+
+    def rows(self, window: int, literal: int, marked: np.ndarray | None) -> Iterator[tuple]:
         """The windows of all forms, or those of them whose hash is marked; a form equal to one before it is left out."""
+        if len(self.ids) < window:
+            return
+        fits = self.text[window - 1:] == self.text[:len(self.ids) - window + 1]
         for form in FORMS:
-            few = window - in_windows((self.kinds > 0) & (self.kinds <= form), window) < min(literal, window)
+            few = in_windows((self.kinds > 0) & (self.kinds <= form), window) > window - min(literal, window)
             if form == PLAIN:
                 hashes = window_hashes(self.ids, window)
-                if few.any():
-                    hashes = np.where(few, window_hashes(token_ids(self.exact_tokens()), window), hashes)
-                own = np.full(len(hashes), True)
+                dense = np.flatnonzero(few)
+                if len(dense):
+                    hashes[dense] = self.exact_hashes(dense, window)
+                own = fits
             else:
-                own = (in_windows(self.kinds == form, window) > 0) & ~few
+                own = fits & (in_windows(self.kinds == form, window) > 0) & ~few
                 if not own.any():
                     continue
                 named = (self.kinds > PLAIN) & (self.kinds <= form)
                 hashes = window_hashes(np.where(named, np.uint64(zlib.crc32(NAME)), self.ids), window)
             if marked is not None:
-                own &= marked[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)].astype(bool)
+                own = own & marked[(hashes >> np.uint64(64 - BITMAP)).view(np.int64)]
             for p in np.flatnonzero(own).tolist():
                 if form == PLAIN and few[p]:
-                    template, slots = self.exact_tokens()[p:p + window], []
+                    template, slots = [self.exact(k) for k in range(p, p + window)], []
                 else:
                     kinds = self.kinds[p:p + window].tolist()
                     template = [NAME if PLAIN < k <= form else t for t, k in zip(self.tokens[p:p + window], kinds, strict=True)]
                     slots = [self.values[self.value[p + k]] for k, kind in enumerate(kinds) if 0 < kind <= form]
-                yield key, int(hashes[p].view(np.int64)), p, b" ".join(template), slots, window, form, len(self.tokens)
+                first, end = self.edges[self.text[p]:self.text[p] + 2].tolist()
+                yield self.keys[self.text[p]], int(hashes[p].view(np.int64)), p - first, b" ".join(template), slots, window, form, end - first
+
+
+def together(texts: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """(key, text) pairs in lists of about ``size`` characters, as each list costs some calls of its own."""
+    held, length = [], 0
+    for key, text in texts:
+        if text:
+            held.append((key, text))
+            length += len(text)
+        if held and length >= size:
+            yield held
+            held, length = [], 0
+    if held:
+        yield held
 
 
 def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, literal: int) -> DataFrame:
@@ -175,19 +212,15 @@ def _windows(rows: DataFrame, marks: dict[int, bytes] | None, window: int, liter
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Templates()
-        bits = {w: np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little") for w, b in (marks or {}).items()}
+        bits = {w: np.unpackbits(np.frombuffer(b, dtype=np.uint8), bitorder="little").view(bool) for w, b in (marks or {}).items()}
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                tokens, kinds, values = make(text)
-                forms = Forms(tokens, kinds, values)
-                for width in [min(window, len(tokens))] if marks is None else bits:
-                    if not width or len(tokens) < width:
-                        continue
-                    marked = None if marks is None else bits[width]
-                    out += forms.rows(key, width, literal, marked)
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for some in together(pairs, TOGETHER if marks is not None else 1):
+                forms = Forms([key for key, _ in some], *zip(*(make(text) for _, text in some), strict=True))
+                for width in [min(window, len(forms.tokens))] if marks is None else bits:
+                    if width:
+                        out += forms.rows(width, literal, None if marks is None else bits[width])
             types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), *[pa.int32()] * 3]
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

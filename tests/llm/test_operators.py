@@ -155,6 +155,48 @@ def test_cosines_equal_plain_arithmetic(spark, documents):
             assert got[key].origin != "own"
 
 
+def document_windows(spark, texts, marks):
+    """The function that makes the windows of Arrow batches, and a batch of these texts."""
+    import pyarrow as pa
+
+    class Rows:
+        schema = spark.createDataFrame([], "id long, text string").schema
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    return lambda: [r for b in templates._windows(Rows(), marks, 8, 4)(iter([batch])) for r in b.to_pylist()]
+
+
+def test_windows_of_texts_searched_together_are_those_of_each_alone(spark):
+    texts = ["In Rome, Paris 7 km or 12.5 % of $3 and 4 days so 5 6 7 8 9 10 11 was Ann there", None, "", "one two", "x " * 7,
+             "A b_C, Dora: 8 kg\x01 ΑΣ ٣ km/h €5,5 USD Émile too was here at 9min as Bob went on 1.5.6 km"] * 3
+    every = {8: b"\xff" * (1 << 21)}
+    together = document_windows(spark, texts, every)()
+    alone = [r | {"id": i} for i, text in enumerate(texts) for r in document_windows(spark, [text], every)()]
+    order = lambda r: (r["id"], r["form"], r["place"])
+    assert sorted(together, key=order) == sorted(alone, key=order)
+    assert len({(r["id"], r["place"]) for r in together}) == sum(max(0, n - 7) for n in (24, 0, 0, 2, 7, 24)) * 3  # tokens of each
+
+
+def test_windows_cost_little_more_than_words(spark):
+    """CPU seconds of the windows of many short texts, over those of cutting them into words with a number each."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text <> ''").collect()]
+    windows = document_windows(spark, texts, {8: bytes(1 << 21)})
+
+    def seconds(work):
+        took = []
+        for _ in range(5):
+            begin = time.process_time()
+            work()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    plain = seconds(lambda: [list(map(zlib.crc32, re.sub(r"\W+", " ", t).lower().encode().split())) for t in texts])
+    assert seconds(windows) < 2 * plain
+
+
 def test_licence_words_written_do_not_follow_copies_and_common_words(spark, monkeypatch):
     """Notices of the same text are judged once, and lines that only have a template's common words not at all."""
     written, cut_lineage = [], licenses.cut_lineage
