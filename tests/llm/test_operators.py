@@ -155,6 +155,15 @@ def test_cosines_equal_plain_arithmetic(spark, documents):
             assert got[key].origin != "own"
 
 
+def test_rows_of_often_used_keys_are_looked_up_like_others(spark):
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3_000)], "key long, row long")
+    table = spark.createDataFrame([(0, 2_001, "often"), *((i, 1, "seldom") for i in range(3, 3_000, 6))], "key long, n long, value string")
+    for how in ("inner", "left"):
+        got = suffix_dedup._looked_up(rows, table, ["key"], 3_000, how)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "broadcast" in plan and sorted(got.collect(), key=str) == sorted(rows.join(table, "key", how).collect(), key=str)
+
+
 def document_windows(spark, texts, marks):
     """The function that makes the windows of Arrow batches, and a batch of these texts."""
     import pyarrow as pa
