@@ -342,6 +342,27 @@ def test_repeated_passages_match_brute_force(spark, documents, monkeypatch):
         assert got == want
 
 
+def test_repeats_of_400_bytes_match_brute_force_beyond_one_piece(spark, documents):
+    rng = np.random.default_rng(5)
+    noise = "".join(rng.choice(list("abcdefgh "), suffix_dedup.PIECE + 20_000))
+    edge = suffix_dedup.PIECE
+    rows = [(i, r.text) for i, r in documents.items()]
+    rows += [(-1, noise), (-2, "x" + noise[edge - 300:edge + 300] + "y"), (-3, noise[edge - 399:edge]), (-4, noise[9_000:9_400] + "é"), (-5, None)]
+    raw = {i: (t or "").encode() for i, t in rows}
+    counts = Counter(hash(t[p:p + 400]) for t in raw.values() for p in range(len(t) - 399))
+    want = {}
+    for i, t in raw.items():
+        gone = bytearray(len(t))
+        for p in range(len(t) - 399):
+            if counts[hash(t[p:p + 400])] > 1:
+                gone[p:p + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        want[i] = (len(t), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest())
+    assert want[-1][1] == 1_000 and want[-2][1] == 600 and want[-3][1] == 0
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+
+
 def brute_ratio(counts, context, char):
     low = 1 / 256 if not context else brute_ratio(counts, context[1:], char)
     seen = counts.get(context)
