@@ -363,6 +363,25 @@ def test_repeats_of_400_bytes_match_brute_force_beyond_one_piece(spark, document
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
 
 
+def test_often_used_keys_are_told_by_the_rows_they_are_joined_to(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    lone = ["".join(rng.choice(list("abcdef"), 3_000)) for _ in range(4)]
+    passage = "".join(rng.choice(list("abcdef"), 150))
+    texts = lone + [f"{i:04} {passage[i % 7:]} {i:04}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    joined, plain = [], suffix_dedup._looked_up
+
+    def noted(rows, table, keys, total, how="inner"):
+        joined.append((keys[1:], total, rows.count()))
+        return plain(rows, table, keys, total, how)
+
+    monkeypatch.setattr(suffix_dedup, "_looked_up", noted)
+    monkeypatch.setattr(suffix_dedup, "SMALL", 1)
+    suffix_dedup.without_repeats(docs, length=60)
+    assert {k[-1] for k, *_ in joined if k} == {"context", "core", "full"}
+    assert [x for x in joined if x[1] != x[2]] == []
+
+
 def brute_ratio(counts, context, char):
     low = 1 / 256 if not context else brute_ratio(counts, context[1:], char)
     seen = counts.get(context)
