@@ -54,8 +54,8 @@ def log_likelihood(facts: DataFrame, scores: DataFrame, cuts: DataFrame,
     return joined.withColumn("log_lik", _log_cell()).drop("theta", "cuts")
 
 
-def starting_cuts(facts: DataFrame, levels: int) -> Column:
-    """Pooled cumulative logits as one array literal (``levels`` - 1 numbers)."""
+def starting_values(facts: DataFrame, levels: int) -> list[float]:
+    """Pooled cumulative logits, kept apart (``levels`` - 1 numbers)."""
     sums = [F.sum((F.col("y") <= k).cast("double") * F.col("n")).alias(f"c{k}") for k in range(1, levels)]
     row = facts.agg(F.sum("n").alias("n"), *sums).first()
     import math
@@ -64,7 +64,12 @@ def starting_cuts(facts: DataFrame, levels: int) -> Column:
     start = [math.log(s / (1.0 - s)) for s in shares]
     for k in range(1, len(start)):
         start[k] = max(start[k], start[k - 1] + MIN_GAP)
-    return F.array(*[F.lit(c) for c in start])
+    return start
+
+
+def starting_cuts(facts: DataFrame, levels: int) -> Column:
+    """The starting values as one array literal."""
+    return F.array(*[F.lit(c) for c in starting_values(facts, levels)])
 
 
 def fit_scores(facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str],

@@ -27,8 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreframe.operators import blocks
 from scoreframe.operators.joins import left_on
 from scoreframe.operators.ordered import number_rows
+from scoreframe.operators.ordinal_blocks import PackedFit
 from scoreframe.operators.ordinal import _log_cell, _log_logistic, _logistic, starting_cuts
 from scoreframe.session import cut_lineage
 
@@ -65,12 +67,18 @@ def _banded(right: list[Column], lower: list[Column], pivots: list[Column]) -> l
     return out
 
 
+def _marks(facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str]) -> tuple[dict[str, str], DataFrame]:
+    """The inner name of each key column, and the marks within the levels under these names."""
+    inner = {c: f"__part_{i}" for i, c in enumerate(dict.fromkeys([*score_key, *cut_key]))}
+    kinds = dict(facts.dtypes)
+    keys = [blocks.plain(c, kinds[c]).alias(v) for c, v in inner.items()]
+    return inner, facts.where(F.col("y").between(1, levels)).select(*keys, F.col("y").cast("int").alias("y"))
+
+
 class _Fit:
-    def __init__(self, facts: DataFrame, levels: int, score_key: list[str], cut_key: list[str], trait: str | None = None,
+    def __init__(self, rows: DataFrame, inner: dict[str, str], levels: int, score_key: list[str], cut_key: list[str], trait: str | None = None,
                  prior: dict | None = None):
         self.k = levels - 1
-        inner = {c: f"__part_{i}" for i, c in enumerate(dict.fromkeys([*score_key, *cut_key]))}
-        rows = facts.where(F.col("y").between(1, levels)).select(*[F.col(f"`{c}`").alias(v) for c, v in inner.items()], F.col("y").cast("int").alias("y"))
         rows = cut_lineage(rows.groupBy(*inner.values(), "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
         self.keys, ids = {}, {}
         for name, own in (("s", score_key), ("r", cut_key)):
@@ -86,7 +94,7 @@ class _Fit:
             self.keys[name] = table.select(F.col(name).alias("__id"), *[F.col(inner[c]).alias(c) for c in own], F.col("n").cast("bigint").alias("__n"))
         self.cells = cut_lineage(rows.select("s", "r", "y", "n"))
         self.theta = ids["s"].select("s", F.lit(0.0).alias("theta"))
-        self.cuts = ids["r"].select("r", starting_cuts(self.cells, levels).alias("cuts")) if not self.cells.isEmpty() else None
+        self.cuts = ids["r"].select("r", starting_cuts(self.cells, levels).alias("cuts"))
 
     @staticmethod
     def _completed(found: DataFrame, names: list[str], trait: str, traits: list[str]) -> DataFrame:
@@ -254,9 +262,20 @@ def fit_mode(facts: DataFrame, levels: int, score_key: list[str], cut_key: list[
     if covariance is not None:
         prior = _precision(*covariance)
         facts = facts.where(F.col(f"`{trait}`").isin(list(prior)))
-    fit = _Fit(facts, levels, score_key, cut_key, trait, prior)
-    if fit.cuts is None or levels < 3:
+    inner, rows = _marks(facts, levels, score_key, cut_key)
+    rows = cut_lineage(rows)
+    found, size, n_rows = blocks.counted(rows, [inner[c] for c in score_key])
+    if not n_rows or levels < 3:
         raise ValueError("needs a mark and three levels")
+    if size * (len(prior) if prior else 1) <= blocks.HELD:
+        packed = PackedFit(rows, levels, inner, score_key, cut_key, found, n_rows, trait, prior)
+        steps, height = packed.solve(tolerance, max_steps, SHORTEST)
+        return ModeFit(packed.score_table(), packed.cut_table(), steps, packed.products, packed.gradient, height, packed.gradient <= tolerance)
+    return _joined_mode(_Fit(rows, inner, levels, score_key, cut_key, trait, prior), score_key, cut_key, tolerance, max_steps)
+
+
+def _joined_mode(fit: _Fit, score_key: list[str], cut_key: list[str], tolerance: float, max_steps: int) -> ModeFit:
+    """The same with every vector as a table: for more scores than the driver holds."""
     height, steps, products = fit.objective(fit.theta, fit.cuts), 0, 0
     while True:
         scores, raters, links, gradient = fit.derivatives()
