@@ -372,9 +372,9 @@ def mixed_sql(tail: str, response: str = "score", rounds: int = SQL_ROUNDS) -> s
 RESPONSE = "score + (rater % 5) * 0.5 + ((ratee * 7) % 11) * 0.2"
 
 
-def mixed_fit(st, response: str = "score"):
+def mixed_fit(st):
     rows = st.ratings.filter("score IS NOT NULL").select(
-        "rater", "ratee", "trait", "grp", "tax", F.expr(response).cast("double").alias("score"), "l_orderkey", "l_linenumber")
+        "rater", "ratee", "trait", "grp", "tax", F.col("score").cast("double").alias("score"), "l_orderkey", "l_linenumber")
     return rows, mixed.fit_intercepts(rows, "score", ["tax"], FACTORS, tolerance=1e-8)
 
 
@@ -405,7 +405,9 @@ SELECT ratee, trait, round(x.effect, 5) AS effect_score, round(y.effect, 4) AS e
 FROM ({mixed_sql(CELLS_SQL)}) x JOIN ({mixed_sql(CELLS_SQL, RESPONSE, 4)}) y USING (ratee, trait)""")
 def m9_two(st):
     """What each (person, trait) adds to two responses, each free of its raters, classes and covariates."""
-    first, second = (mixed_fit(st, r)[1].effects["cell"] for r in ("score", RESPONSE))
+    rows = st.ratings.filter("score IS NOT NULL").select(
+        "rater", "ratee", "trait", "grp", "tax", F.col("score").cast("double").alias("score"), F.expr(RESPONSE).cast("double").alias("response"))
+    first, second = (fit.effects["cell"] for fit in mixed.fit_responses(rows, ["score", "response"], ["tax"], FACTORS, tolerance=1e-8))
     second = second.select("ratee", "trait", F.round("effect", 4).alias("effect_response"))
     return joins.left_on(first.select("ratee", "trait", F.round("effect", 5).alias("effect_score")), second, ["ratee", "trait"])
 

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from scoreframe.operators import blocks, ordinal_mode
+from scoreframe.operators import blocks, mixed, ordinal_mode
 from tests.test_ordinal_mode import marks  # noqa: F401
 
 
@@ -53,3 +54,46 @@ def test_ordinal_mode_takes_few_jobs_whatever_the_raters_sizes(spark, marks, mon
         tables = fit()
         assert tables.converged
         check(scored(found), scored(tables), 1e-6)
+
+
+def test_mixed_fit_takes_few_jobs_whatever_the_levels_sizes(spark, monkeypatch, jobs):
+    """Levels of 1 to 40 rows, a missing key, a nested factor, a covariate; all rows twice."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 30, 300) // 2 * rng.integers(0, 2, 300), rng.integers(0, 9, 300)
+    rows = [(int(i) if i else None, f"b{k}", int(k % 3), float(x), float(1 + x + i / 9 + k + e)) for i, k, x, e in zip(a, b, rng.normal(size=300), rng.normal(size=300))]
+    df = spark.createDataFrame(rows * 2, "a int, b string, c int, x double, y double").repartition(3)
+    factors = {"a": ["a"], "b": ["b", "c"], "c": ["c"]}
+
+    def fit():
+        return mixed.fit_intercepts(df, "y", ["x"], factors)
+
+    def seen(fit):
+        effects = {(f, *r[:len(k)]): r[len(k):] for f, k in factors.items() for r in fit.effects[f].collect()}
+        return {"beta": fit.beta, "spread": [fit.residual_var, *fit.effect_vars.values()]}, effects
+
+    found, taken = jobs("mixed", fit)
+    assert found.converged and taken < 60 + 6 * (found.steps + found.rounds)
+    monkeypatch.setattr(blocks, "WHOLE", 20)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "GATHERED", 0)
+    large = fit()
+    assert large.converged
+    check(seen(found), seen(large), 1e-5)
+    monkeypatch.setattr(blocks, "HELD", 0)
+    tables = fit()
+    assert tables.converged
+    check(seen(found), seen(tables), 1e-5)
+
+
+def test_responses_are_fitted_as_if_alone(spark):
+    """Packed once if they are missing in the same rows, and apart otherwise."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 13), int(i % 5), float(rng.normal() + i % 13), float(rng.normal() - i % 5)) for i in range(150)]
+    df = spark.createDataFrame(rows, "a int, b int, y double, z double")
+    holes = df.withColumn("z", F.when(F.col("a") != 2, F.col("z")))
+    for table in (df, holes):
+        for name, fit in zip("yz", mixed.fit_responses(table, ["y", "z"], [], {"a": ["a"], "b": ["b"]}), strict=True):
+            alone = mixed.fit_intercepts(table, name, [], {"a": ["a"], "b": ["b"]})
+            assert fit.converged and np.allclose([fit.residual_var, *fit.beta], [alone.residual_var, *alone.beta], atol=1e-8)
+            got, want = ({r.a: r.effect for r in f.effects["a"].collect()} for f in (fit, alone))
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
