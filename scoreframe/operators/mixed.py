@@ -39,6 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that the worke
 
 #: An effect variance counts as at least this share of the residual variance.
 LEAST = 1e-9
+#: Effects are solved to this share of the last residual as long as the variances move.
+ROUGH = 1e-4
 #: Sums of doubles are not held to less than this share of the largest one.
 EXACT = 2e-14
 
@@ -353,8 +355,11 @@ class Packed:
     def _shared(self, v: np.ndarray, fixed: np.ndarray, response: bool = True) -> dict:
         return {"y": self.response if response else None, "ids": self.ids, "xs": self.xs, "v": v, "fixed": fixed, "penalty": self.near_penalty}
 
-    def solve(self, penalties: np.ndarray, tolerance: float, max_steps: int) -> bool:
-        """Conjugate gradients from the present state; restarted until the true residual is small everywhere."""
+    def solve(self, penalties: np.ndarray, tolerance: float, max_steps: int, share: float = 0.0) -> bool:
+        """Conjugate gradients from the present state; restarted until the true residual is small everywhere.
+
+        With a ``share`` they end once the residual is that share of what it was; the next call measures it anew.
+        """
         names = list(self.factors)
         self.near_penalty = float(penalties[names.index(self.near)])
         self.penalty = np.zeros(self.size)
@@ -369,7 +374,8 @@ class Packed:
                 return self.gradient <= tolerance
             z, ahead = r / scale, np.linalg.solve(self.xx, rest)
             rz, p = r @ z + rest @ ahead, z
-            while self.steps < max_steps and max(np.abs(r).max(initial=0.0), np.abs(rest).max()) > tolerance / 4:
+            enough = max(tolerance / 4, share * self.gradient)
+            while self.steps < max_steps and max(np.abs(r).max(initial=0.0), np.abs(rest).max()) > enough:
                 q, fixed_q = (-x for x in self.rest(p, ahead, False))
                 a = rz / (p @ q + ahead @ fixed_q)
                 self.v, self.beta = self.v + a * p, self.beta + a * ahead
@@ -378,6 +384,8 @@ class Packed:
                 last, rz = rz, r @ z + rest @ solved
                 p, ahead = z + rz / last * p, solved + rz / last * ahead
                 self.steps += 1
+            if enough > tolerance / 4:
+                return False
 
     def effects(self) -> dict[str, DataFrame]:
         """For each factor its keys, ``effect`` and ``n``."""
@@ -443,18 +451,23 @@ def _fitted(complete: DataFrame, y: str, covariates: list[str], factors: dict[st
     solver = packed or Solver(design)
     noise, spread = design.variances(solver.beta)
     rounds, settled = 0, False
+    share = ROUGH if packed else 0.0
     while True:
-        solved = solver.solve(noise / spread, tolerance, max_steps)
+        solved = solver.solve(noise / spread, tolerance, max_steps, share) if packed else solver.solve(noise / spread, tolerance, max_steps)
         rounds += 1
-        if settled or not solved or rounds >= max_rounds:
+        if not solved and (not share or solver.steps >= max_steps) or solved and rounds >= max_rounds:
             break
         new_noise, new_spread = design.variances(solver.beta)
         moved = max(abs(new_noise - noise), np.abs(new_spread - spread).max())
         # the last variances and the effects solved for them belong together
-        settled = moved <= tolerance * (new_noise + new_spread.sum())
+        still = moved <= tolerance * (new_noise + new_spread.sum())
+        settled = still and solved
         if settled:
             break
-        noise, spread = new_noise, new_spread
+        if still or rounds >= max_rounds:
+            share = 0.0  # the same variances once more, to the end
+        else:
+            noise, spread = new_noise, new_spread
     effects = packed.effects() if packed else {}
     state = None if packed else cut_lineage(solver.state.select(F.col("id").alias("__id"), F.col("x").alias("effect")))
     for name, keys in factors.items() if not packed else ():
