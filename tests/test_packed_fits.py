@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreframe.operators import blocks, mixed, ordinal_mode
+from scoreframe.operators import absorbed, blocks, mixed, ordinal_mode
 from tests.test_ordinal_mode import marks  # noqa: F401
 
 
@@ -97,3 +97,25 @@ def test_responses_are_fitted_as_if_alone(spark):
             assert fit.converged and np.allclose([fit.residual_var, *fit.beta], [alone.residual_var, *alone.beta], atol=1e-8)
             got, want = ({r.a: r.effect for r in f.effects["a"].collect()} for f in (fit, alone))
             assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+
+
+def test_sweeps_take_few_jobs_whatever_the_levels_sizes(spark, monkeypatch, jobs):
+    """Two parts that share no level, levels of 1 to 40 rows, a missing key."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(a) or None, f"b{(a % 2) * 3 + k}", float(x), float(2 * x + a + k + e))
+            for i, (a, k, x, e) in enumerate(zip(rng.integers(0, 30, 300) // 2 * rng.integers(0, 2, 300), rng.integers(0, 3, 300), rng.normal(size=300), rng.normal(size=300)))]
+    df = spark.createDataFrame(rows, "i int, a int, b string, x double, y double").repartition(3)
+
+    def fit():
+        table, left = absorbed.fit_absorbed(df, "y", ["x"], {"a": ["a"], "b": ["b"]})
+        row = table.first()
+        assert row.converged
+        return row.steps, ({"x": (row.estimate, row.std_error, row.df)}, {r.i: r.residual for r in left.collect()})
+
+    (steps, found), taken = jobs("swept", fit)
+    assert taken < 80 + 6 * steps
+    monkeypatch.setattr(blocks, "WHOLE", 20)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    check(found, fit()[1], 1e-7)
+    monkeypatch.setattr(blocks, "HELD", 0)
+    check(found, fit()[1], 1e-7)
